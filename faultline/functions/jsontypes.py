@@ -18,51 +18,50 @@ def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
-def json_type(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind == "VOID", "null")
-        .otherwise("missing")
-    )
+def scalar_type(value: Column) -> Column:
+    """STRING, BOOLEAN, BIGINT, DOUBLE, DECIMAL or VOID (a JSON null) of a scalar.
+
+    Not for arrays and objects: their type is that of every member merged.
+    """
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
 def is_missing(value: Column) -> Column:
-    return json_type(value) == "missing"
+    return value.isNull()
 
 
 def is_string(value: Column, minimum: int = 0) -> Column:
     text = F.try_variant_get(value, "$", "string")
-    return (json_type(value) == "string") & (F.length(text) >= minimum)
+    return (F.length(text) >= minimum) & (scalar_type(value) == "STRING")
 
 
 def is_number(value: Column) -> Column:
-    return json_type(value) == "number"
+    # A string of digits also reads as a double, so the type has to be seen.
+    number = F.try_variant_get(value, "$", "double")
+    return number.isNotNull() & scalar_type(value).isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
 
 
-def is_one_of(value: Column, allowed: tuple[str, ...]) -> Column:
+def is_scalar(value: Column) -> Column:
+    """A string, number or boolean."""
     text = F.try_variant_get(value, "$", "string")
-    return (json_type(value) == "string") & text.isin(*allowed)
+    return text.isNotNull() & scalar_type(value).isin(
+        "STRING", "BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "BOOLEAN"
+    )
+
+
+def is_one_of(value: Column, allowed: tuple[str, ...]) -> Column:
+    # No allowed word is the text of another JSON type.
+    return F.try_variant_get(value, "$", "string").isin(*allowed)
 
 
 def is_datetime(value: Column) -> Column:
     text = F.try_variant_get(value, "$", "string")
-    return (
-        (json_type(value) == "string")
-        & text.rlike(DATETIME)
-        & F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd").isNotNull()
-    )
+    return text.rlike(DATETIME) & F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd").isNotNull()
 
 
-def elements(value: Column) -> Column:
+def elements(value: Column, path: str = "$") -> Column:
     """Members of a JSON array as array<variant>; null when it is no array."""
-    return F.when(
-        json_type(value) == "array", F.try_variant_get(value, "$", "array<variant>")
-    )
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 def is_array_of(value: Column, test, minimum: int = 0) -> Column:
@@ -71,5 +70,5 @@ def is_array_of(value: Column, test, minimum: int = 0) -> Column:
 
 
 def is_map_of(value: Column, test) -> Column:
-    members = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
-    return (json_type(value) == "object") & F.forall(members, test)
+    members = F.try_variant_get(value, "$", "map<string,variant>")
+    return members.isNotNull() & F.forall(F.map_values(members), test)
