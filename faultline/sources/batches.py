@@ -80,11 +80,11 @@ def _attributes(v: Column) -> Column:
 
 
 def _string_map(v: Column) -> Column:
-    return J.is_map_of(v, J.is_string)
+    return J.is_map_of(v, lambda m: J.is_string(m))
 
 
 def _strings(v: Column) -> Column:
-    return J.is_array_of(v, J.is_string)
+    return J.is_array_of(v, lambda m: J.is_string(m))
 
 
 # The contract: section -> field -> test of the field's JSON value.
