@@ -121,7 +121,7 @@ CTES: dict[str, str] = {
                CASE b.incident_id % 10 WHEN 0 THEN 'json' WHEN 1 THEN 'confidence' WHEN 2 THEN 'evidence'
                     WHEN 3 THEN 'evidence' WHEN 4 THEN 'summary' END AS reason,
                0.2 * (3 + CASE WHEN n_deployments > 0 THEN 1 ELSE 0 END) + 0.0875 AS confidence,
-               3 + CASE WHEN n_deployments > 0 THEN 1 ELSE 0 END AS n_evidence,
+               CAST(3 + CASE WHEN n_deployments > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence,
                b.title || ' at ' || b.service_name || ': ' || n_logs || ' logs and ' || n_metrics
                  || ' metric series in the window.' AS summary,
                CASE WHEN n_deployments > 0 THEN 'Deployment ' || b.version || ' preceded the incident.'
@@ -141,14 +141,14 @@ CTES: dict[str, str] = {
                       THEN CASE f.tool_index WHEN 4 THEN 'search index offline' ELSE 'metric store offline' END
                     WHEN a.reason IS NOT NULL THEN 'Invalid report: ' || a.reason ELSE a.summary END AS summary,
                CASE WHEN a.reason IS NULL THEN a.cause END AS probable_root_cause,
-               CASE WHEN a.reason IS NULL THEN round(a.confidence, 3) END AS confidence,
+               CAST(CASE WHEN a.reason IS NULL THEN round(a.confidence, 3) END AS DOUBLE) AS confidence,
                CASE WHEN a.reason IS NULL THEN a.n_evidence END AS n_evidence,
                i.detected_at AS created_at
         FROM m_incidents i
         LEFT JOIN (SELECT * FROM m_calls WHERE status = 'error') f ON f.incident_id = i.id
         LEFT JOIN m_answers a ON a.incident_id = i.id""",
     "m_steps": """
-        SELECT investigation_id, tool_index AS step_index, 'tool_call' AS step_type, tool_name AS title, created_at
+        SELECT investigation_id, CAST(tool_index AS BIGINT) AS step_index, 'tool_call' AS step_type, tool_name AS title, created_at
         FROM m_calls WHERE status = 'success'
         UNION ALL SELECT investigation_id, 5, 'prompt', 'Build structured investigation prompt', tools_at FROM m_answers
         UNION ALL SELECT investigation_id, 6, CASE WHEN reason IS NULL THEN 'final' ELSE 'observation' END,
