@@ -161,6 +161,7 @@ def typed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.parse(batch_texts(spark, sf_dir))
 
 
+@stored("posted_services")
 def posted_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The service table after all posted batches."""
     empty = spark.createDataFrame([], ingest.SERVICES)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.schemas import EMBEDDING_DIMENSION
+from faultline.session import spread
 
 # Fixed value: multiplier of the token hash.
 HASH_FACTOR = 33
@@ -91,7 +92,7 @@ def hash_embed(
                 }
             )
 
-    return df.select(key, text).mapInPandas(
+    return spread(df.select(key, text)).mapInPandas(
         embed, f"{key} {key_type}, bucket long, tokens long, weight double"
     )
 

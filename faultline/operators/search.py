@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 
 from faultline.functions.embedding import count_matrix
 from faultline.schemas import SEARCH_LIMIT, SEARCH_LIMIT_MAX
+from faultline.session import spread
 
 QUERY_ROWS = 20_000
 BLOCK_ROWS = 20_000
 _CELLS = 4_000_000  # scores held at once by a task
+_QUERIES_OUT = 10_000  # queries per frame a task gives back
+_NOTHING = pd.DataFrame({"query": [], "item": [], "score": []}, dtype=object)
 
 Vectorize = Callable[[pd.Series], np.ndarray]
 
@@ -61,38 +64,60 @@ def _score(
         return (left @ right.T) / np.sqrt(left_square[:, None] * right_square[None, :])
 
 
-def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    """k nearest per query: by distance to 6 decimals, NaN last, then by passage id."""
-    frame = frame.assign(_order=(1.0 - frame["score"]).round(6))
-    frame = frame.sort_values(["query", "_order", "item"], na_position="last", kind="stable")
-    return frame.groupby("query", sort=False).head(k).drop(columns="_order")
+def _plain(column: pd.Series) -> np.ndarray:
+    return column.to_numpy() if column.dtype.kind in "iuf" else column.to_numpy(dtype=object)
 
 
-def _top_of_slice(scores: np.ndarray, items: np.ndarray, k: int) -> pd.DataFrame:
-    n_queries, n_items = scores.shape
-    distance = np.round(np.where(np.isnan(scores), np.inf, 1.0 - scores), 6)
-    keep = min(k, n_items)
-    # Everything up to the k-th distance, ties at the edge included.
-    edge = np.partition(distance, keep - 1, axis=1)[:, keep - 1]
-    query, column = np.nonzero(distance <= edge[:, None])
-    return pd.DataFrame({"query": query, "item": items[column], "score": scores[query, column]})
+def _keys(order: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """One sortable number per cell: distance first, then the item's place among its kind."""
+    _, place = np.unique(items, return_inverse=True)
+    return (order << 32) + place.reshape(items.shape)  # one row of items serves all queries
 
 
 def _scan(
     batches: Iterator[pd.DataFrame], vectors: np.ndarray, to_vectors: Vectorize, k: int
-) -> pd.DataFrame:
-    """Best k passages per query over one task's passages (columns item, content)."""
+) -> tuple[np.ndarray, np.ndarray]:
+    """Best k items per query over one task's items (columns item, content): (items, scores).
+
+    Nearest is by distance to 6 decimals with NaN last, then by item.
+    """
     square = np.einsum("ij,ij->i", vectors, vectors)
-    step = max(1, _CELLS // max(1, len(vectors)))
-    step = min(step, max(1, _CELLS // vectors.shape[1]))
-    best = pd.DataFrame({"query": [], "item": [], "score": []})
+    step = max(1, _CELLS // max(len(vectors), vectors.shape[1]))
+    best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     for batch in batches:
         for at in range(0, len(batch), step):
             part = batch.iloc[at : at + step]
+            items = _plain(part["item"])
             scores = _score(vectors, square, to_vectors(part["content"]))
-            found = _top_of_slice(scores, part["item"].to_numpy(), k)
-            best = _best(found if best.empty else pd.concat([best, found]), k)
-    return best
+            order = np.rint(np.where(np.isnan(scores), 3.0, 1.0 - scores) * 1e6).astype(np.int64)
+            keys = _keys(order, items)
+            keep = min(k, len(items))
+            top = np.argpartition(keys, keep - 1, axis=1)[:, :keep]
+            found = (
+                np.take_along_axis(order, top, 1),
+                items[top],
+                np.take_along_axis(scores, top, 1),
+            )
+            if best is not None:
+                found = tuple(np.hstack(pair) for pair in zip(best, found, strict=True))
+            top = np.argsort(_keys(found[0], found[1]), axis=1)[:, :k]
+            best = tuple(np.take_along_axis(part, top, 1) for part in found)
+    if best is None:
+        empty = np.empty((len(vectors), 0))
+        return empty, empty
+    return best[1], best[2]
+
+
+def _rows(ids: np.ndarray, items: np.ndarray, scores: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Long rows of the best items, a bounded number of queries at a time."""
+    for at in range(0, len(ids), _QUERIES_OUT):
+        stop = at + _QUERIES_OUT
+        frame = {
+            "query": np.repeat(ids[at:stop], items.shape[1]),
+            "item": items[at:stop].ravel(),
+            "score": scores[at:stop].ravel(),
+        }
+        yield pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in frame.items()})
 
 
 def _grid(
@@ -101,20 +126,17 @@ def _grid(
     query_blocks = max(1, math.ceil(queries.count() / block_rows))
     item_blocks = max(1, math.ceil(items.count() / block_rows))
 
-    def spread(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+    def copies(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         )
 
-    left = spread(queries, "query", "_q", query_blocks, "_i", item_blocks)
-    right = spread(items, "item", "_i", item_blocks, "_q", query_blocks)
+    left = copies(queries, "query", "_q", query_blocks, "_i", item_blocks)
+    right = copies(items, "item", "_i", item_blocks, "_q", query_blocks)
 
     def cell(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"query": [], "item": [], "score": []})
-        ids = q["query"].to_numpy()
-        best = _scan(iter([i]), to_vectors(q["content"]), to_vectors, k)
-        return best.assign(query=ids[best["query"].to_numpy(dtype=np.int64)])
+        items, scores = _scan(iter([i] if len(i) else []), to_vectors(q["content"]), to_vectors, k)
+        return pd.concat([*_rows(_plain(q["query"]), items, scores), _NOTHING])
 
     return left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(cell, schema)
 
@@ -158,15 +180,13 @@ def vector_topk(
         found = queries.sparkSession.createDataFrame([], schema)
     else:
         sc = queries.sparkSession.sparkContext
-        ids = head["query"].to_numpy()
-        shared = sc.broadcast((ids, to_vectors(head["content"])))
+        shared = sc.broadcast((_plain(head["query"]), to_vectors(head["content"])))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, vectors = shared.value
-            best = _scan(batches, vectors, to_vectors, k)
-            yield best.assign(query=ids[best["query"].to_numpy(dtype=np.int64)])
+            yield from _rows(ids, *_scan(batches, vectors, to_vectors, k))
 
-        found = i.mapInPandas(scan, schema)
+        found = spread(i).mapInPandas(scan, schema)
 
     distance = F.round(1 - F.col("score"), 6)
     nearest = W.partitionBy("query").orderBy(distance.asc(), F.col("item").asc())

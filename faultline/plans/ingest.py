@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators import keyed
+from faultline.session import materialize
 from faultline.sources import batches as B
 
 # Table shapes in DDL, used when a store is still empty.
@@ -115,15 +116,24 @@ def incident_rows(items: DataFrame, services: DataFrame) -> DataFrame:
     )
 
 
+def resolve_tables(
+    tables: Mapping[str, DataFrame], parts: Mapping[str, DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """Services and deployments after the batch, written out: every fact looks them up."""
+    services = keyed.upsert_services(tables["services"], service_rows(parts["services"]))
+    services = materialize(services, "services")
+    deployments = keyed.upsert_deployments(
+        tables["deployments"], deployment_rows(parts["deployments"], services)
+    )
+    return services, materialize(deployments, "deployments")
+
+
 def ingest(
     tables: Mapping[str, DataFrame], batches: DataFrame
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
     """(rewritten tables, rows to append, summary) for typed batches."""
     parts = B.split(batches)
-    services = keyed.upsert_services(tables["services"], service_rows(parts["services"]))
-    deployments = keyed.upsert_deployments(
-        tables["deployments"], deployment_rows(parts["deployments"], services)
-    )
+    services, deployments = resolve_tables(tables, parts)
     logs = log_rows(parts["logs"], services, deployments)
     metrics = metric_rows(parts["metrics"], services)
     scenarios = incident_rows(parts["incidents"], services)

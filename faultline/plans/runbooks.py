@@ -11,7 +11,7 @@ from faultline.operators import keyed
 from faultline.operators.lookup import service_names, with_service_name
 from faultline.operators.search import text_vectors, vector_topk
 from faultline.schemas import CHUNK_CHARACTERS, SEARCH_LIMIT
-from faultline.session import lookup_join
+from faultline.session import lookup_join, materialize, spread
 
 
 def chunk_runbooks(runbooks: DataFrame, limit: int = CHUNK_CHARACTERS) -> DataFrame:
@@ -19,7 +19,7 @@ def chunk_runbooks(runbooks: DataFrame, limit: int = CHUNK_CHARACTERS) -> DataFr
 
     ``runbooks`` has id, slug, body and service_name, as ``runbook_list`` gives.
     """
-    pieces = runbooks.select(
+    pieces = spread(runbooks).select(
         F.col("id").alias("runbook_id"),
         "slug",
         "service_name",
@@ -65,6 +65,7 @@ def attach_passages(
         .join(service_names(services), "service_id", "left")
         .drop("service_id")
     )
+    passages = materialize(passages, "passages")
     return lookup_join(hits, passages, ["chunk_id"], spread=["text", "rank"])
 
 
@@ -82,6 +83,7 @@ def search_runbooks(
     Another embedding is given as ``to_vectors`` over the column ``vector``.
     """
     texts = queries.select("text").distinct().withColumn("key", F.col("text"))
+    # The hits are used three times below; k rows per query are cheap to write.
     hits = vector_topk(
         texts,
         chunks,
@@ -92,7 +94,7 @@ def search_runbooks(
         to_vectors=to_vectors,
         limit=limit,
     ).withColumnsRenamed({"key": "text", "id": "chunk_id"})
-    return attach_passages(hits, chunks, runbooks, services)
+    return attach_passages(materialize(hits, "hits"), chunks, runbooks, services)
 
 
 def incident_queries(incidents: DataFrame, services: DataFrame) -> DataFrame:

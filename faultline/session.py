@@ -70,6 +70,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work before a costly map: few input splits are shuffled apart.
+
+    A large table arrives in more splits than there are cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     bound = BROADCAST_ROWS if rows is None else rows
     return df.limit(bound + 1).count() <= bound

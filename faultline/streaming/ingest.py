@@ -30,30 +30,8 @@ def apply_batch(store: TableStore, raw: DataFrame, version: int) -> None:
         name: df if (df := store.rewritten(name)) is not None else spark.createDataFrame([], ddl)
         for name, ddl in EMPTY.items()
     }
-    parts = B.split(batches)
-    services = materialize(
-        I.keyed.upsert_services(tables["services"], I.service_rows(parts["services"])), "services"
-    )
-    deployments = materialize(
-        I.keyed.upsert_deployments(
-            tables["deployments"], I.deployment_rows(parts["deployments"], services)
-        ),
-        "deployments",
-    )
-    scenarios = I.incident_rows(parts["incidents"], services)
-    store.commit(
-        version,
-        rewritten={
-            "services": services,
-            "deployments": deployments,
-            "incidents": I.keyed.insert_absent_incidents(tables["incidents"], scenarios),
-        },
-        appended={
-            "log_entries": I.log_rows(parts["logs"], services, deployments),
-            "metric_points": I.metric_rows(parts["metrics"], services),
-            "rejected": violations,
-        },
-    )
+    rewritten, appended, _ = I.ingest(tables, batches)
+    store.commit(version, rewritten, {**appended, "rejected": violations})
 
 
 def stream_ingest(
