@@ -10,6 +10,7 @@ from faultline.catalog.sqltext import sql
 from faultline.functions import embedding, text
 from faultline.operators import detect, evidence, lookup, search
 from faultline.plans import ingest, runbooks
+from faultline.session import spread
 from faultline.sources import adapters as A
 
 # --- look-ups -------------------------------------------------------------------------
@@ -225,13 +226,13 @@ sig AS (SELECT s.id AS service_id, s.name AS service_name, max_latency, coalesce
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.table(spark, sf_dir, "documents")
+    docs = spread(A.table(spark, sf_dir, "documents"))
     clean = docs.select("doc_id", text.normalize_text(F.col("text")).alias("body"))
     return clean.select("doc_id", F.md5("body").alias("body"), F.length("body").cast("long").alias("size"))
 
 
 def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.table(spark, sf_dir, "documents")
+    docs = spread(A.table(spark, sf_dir, "documents"))
     parts = text.split_sections(text.normalize_text(F.col("text")))
     rows = docs.select("doc_id", F.posexplode(parts).alias("at", "section"))
     return rows.select(
@@ -242,7 +243,7 @@ def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole document as one section, cut into pieces of at most 300 characters."""
-    docs = A.table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("body"))
+    docs = spread(A.table(spark, sf_dir, "documents")).select("doc_id", text.normalize_text(F.col("text")).alias("body"))
     rows = docs.select("doc_id", F.posexplode(text.pack_sentences(F.col("body"), 300)).alias("at", "piece"))
     return rows.filter(F.col("piece") != "").select(
         "doc_id", F.col("at").cast("long").alias("at"), F.md5("piece").alias("piece"),

@@ -100,6 +100,7 @@ SELECT 'svc-' || user_id AS service_name, {ISO} AS "at", {LEVEL} AS level, event
 FROM events WHERE event_type IN ('error', 'purchase')"""
 
 
+@ws.stored("dirty_batches")
 def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ws.batch_texts(spark, sf_dir, dirty=True)
 

@@ -28,3 +28,13 @@ def milliseconds(value: Column) -> Column:
 def bullets(items: Column, none: str = "- None provided") -> Column:
     lines = F.array_join(F.transform(items, lambda item: F.concat(F.lit("- "), item)), "\n")
     return F.when(F.size(items) > 0, lines).otherwise(F.lit(none))
+
+
+def two_decimals(value: Column) -> Column:
+    """Fixed notation rounded from the exact binary value, exact halves up.
+
+    The formatter rounds exact halves to even; they are the odd multiples of 1/8.
+    """
+    eighths = value * 8
+    is_half = (eighths == F.floor(eighths)) & (eighths % 2 == 1)
+    return F.format_number(F.when(is_half, value + 0.001).otherwise(value), 2)

@@ -188,6 +188,8 @@ def vector_topk(
 
         found = spread(i).mapInPandas(scan, schema)
 
+    # Arrow frames carry NaN as null.
+    found = found.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
     distance = F.round(1 - F.col("score"), 6)
     nearest = W.partitionBy("query").orderBy(distance.asc(), F.col("item").asc())
     return (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas
 from faultline.functions import jsontypes as J
-from faultline.functions.display import bullets
+from faultline.functions.display import bullets, two_decimals
 from faultline.operators.lookup import with_service_name
 from faultline.session import lookup_join
 
@@ -680,7 +680,7 @@ def report_text(report: DataFrame, heading: str = "Investigation") -> DataFrame:
         lambda r: F.concat(F.lit("- "), F.coalesce(r["title"], r["slug"], F.lit("runbook"))),
     )
     diagnostics = lines(F.col("recommended_next_diagnostics"), lambda d: F.concat(F.lit("- "), d))
-    confidence = or_(F.format_string("%.2f", F.col("confidence")), "unknown")
+    confidence = or_(two_decimals(F.col("confidence")), "unknown")
     text = F.concat_ws(
         "\n",
         F.lit(heading),
@@ -688,9 +688,7 @@ def report_text(report: DataFrame, heading: str = "Investigation") -> DataFrame:
         F.concat(F.lit("Investigation: "), or_(F.col("investigation_id"), "unknown")),
         F.concat(F.lit("Incident: "), or_(F.col("incident_title"), "unknown")),
         F.concat(F.lit("Service: "), or_(F.col("service_name"), "unknown")),
-        F.concat(
-            F.lit("Confidence: "), F.when(F.col("confidence").isNull(), "unknown").otherwise(confidence)
-        ),
+        F.concat(F.lit("Confidence: "), confidence),
         F.lit(""),
         F.lit("Summary"),
         or_(F.col("summary"), "No summary returned."),

@@ -156,12 +156,11 @@ def contract_violations(
     """
     doc = F.col("_doc")
     parsed = raw.select("batch_id", F.try_parse_json("value").alias("_doc"))
-    lists = {name: J.elements(doc, f"$.{name}") for name in sections}
     opened = parsed.select(
         "batch_id",
         doc.isNotNull().alias("_is_json"),
         J.field(doc, "generatedAt").alias("_generated"),
-        *[items.alias(name) for name, items in lists.items()],
+        *[J.elements(doc, f"$.{name}").alias(name) for name in sections],
         *[J.field(doc, name).isNull().alias(f"_no_{name}") for name in sections],
     )
     tests = {"json": F.col("_is_json")}
@@ -173,29 +172,32 @@ def contract_violations(
         else:
             good = F.col(name).isNotNull() | F.col(f"_no_{name}")
         tests[name] = ~F.col("_is_json") | good
-    found = opened.select(
-        "batch_id",
-        F.lit("batch").alias("section"),
-        F.lit(None).cast("long").alias("ordinal"),
-        F.explode(failed_rules(tests)).alias("field"),
-    )
-    for name in sections:
-        rules = CONTRACT[name]
-        items = parsed.select("batch_id", F.posexplode(lists[name]).alias("_at", "_item"))
-        # Members first, so that the tests of a field read it once.
-        members = items.select(
-            "batch_id", "_at", *[J.field(F.col("_item"), f).alias(f) for f in rules]
-        )
-        broken = failed_rules({f: test(F.col(f)) for f, test in rules.items()})
-        found = found.unionByName(
-            members.select(
-                "batch_id",
-                F.lit(name).alias("section"),
-                F.col("_at").cast("long").alias("ordinal"),
-                F.explode(broken).alias("field"),
-            )
+
+    def broken(name: str, ordinal: Column, fields: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("section"), ordinal.cast("long").alias("ordinal"), fields.alias("fields")
         )
-    return found
+
+    def broken_rows(name: str) -> Column:
+        rules = CONTRACT[name]
+
+        def check(item: Column, at: Column) -> Column:
+            return broken(name, at, failed_rules({f: t(J.field(item, f)) for f, t in rules.items()}))
+
+        return F.transform(F.coalesce(F.col(name), F.array()), check)
+
+    # One parse of a batch serves all its sections.
+    rows = F.concat(
+        F.array(broken("batch", F.lit(None), failed_rules(tests))),
+        *[broken_rows(name) for name in sections],
+    )
+    found = opened.select("batch_id", F.filter(rows, lambda r: F.size(r["fields"]) > 0).alias("_rows"))
+    # The outer form: the plain one would repeat the whole check in a filter before it.
+    return (
+        found.select("batch_id", F.inline_outer("_rows"))
+        .select("batch_id", "section", "ordinal", F.explode_outer("fields").alias("field"))
+        .filter(F.col("field").isNotNull())
+    )
 
 
 def logs_violations(raw: DataFrame) -> DataFrame:
