@@ -15,7 +15,7 @@ from faultline.operators import evidence, lookup
 from faultline.plans import investigate as inv
 from faultline.plans import ingest, observe, runbooks
 from faultline.schemas import PROMPT_VERSION
-from faultline.session import materialize, scratch_path
+from faultline.session import materialize, scratch_path, spread
 from faultline.sources import adapters as A
 from faultline.sources import batches as B
 
@@ -173,7 +173,7 @@ def posted_services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_runbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.runbooks(spark, sf_dir).withColumn("service_name", F.lit(None).cast("string"))
+    return spread(A.runbooks(spark, sf_dir)).withColumn("service_name", F.lit(None).cast("string"))
 
 
 @stored("chunks")

@@ -60,10 +60,13 @@ def log_search(
     limit: int | None = None,
 ) -> DataFrame:
     """Newest logs that meet every given filter; an empty filter counts as absent."""
+    by_day = "day" in logs.columns  # stored logs have a folder per day
     if start:
         logs = logs.filter(F.col("timestamp") >= F.lit(start))
+        logs = logs.filter(F.col("day") >= F.lit(start).cast("date")) if by_day else logs
     if end:
         logs = logs.filter(F.col("timestamp") <= F.lit(end))
+        logs = logs.filter(F.col("day") <= F.lit(end).cast("date")) if by_day else logs
     if level:
         logs = logs.filter(F.col("level") == level)
     if service:

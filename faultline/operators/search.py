@@ -3,10 +3,11 @@
 Scoring is a matrix product per Arrow batch. Each task keeps only the best k per query,
 so what is shuffled is k rows per query and task and never a (query, passage) pair list.
 
-* Up to ``QUERY_ROWS`` queries travel to the tasks as one broadcast matrix, and the
-  passages are scored where they are read.
-* Beyond that both sides are cut into blocks of bounded size and every pair of blocks is
-  one task's work; a block holds a hash share of its side, so no key can make it large.
+* Up to ``QUERY_ROWS`` queries of at most ``SIDE_BYTES`` travel to the tasks as one
+  broadcast matrix, and the passages are scored where they are read.
+* Beyond that both sides are cut into blocks of bounded rows and bytes and every pair of
+  blocks is one task's work; a block holds a hash share of its side, so no key can make it
+  large.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from faultline.functions.embedding import count_matrix
 from faultline.schemas import SEARCH_LIMIT, SEARCH_LIMIT_MAX
@@ -26,6 +28,7 @@ from faultline.session import spread
 
 QUERY_ROWS = 20_000
 BLOCK_ROWS = 20_000
+SIDE_BYTES = 256 * 1024 * 1024
 _CELLS = 4_000_000  # scores held at once by a task
 _QUERIES_OUT = 10_000  # queries per frame a task gives back
 _NOTHING = pd.DataFrame({"query": [], "item": [], "score": []}, dtype=object)
@@ -120,11 +123,30 @@ def _rows(ids: np.ndarray, items: np.ndarray, scores: np.ndarray) -> Iterator[pd
         yield pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in frame.items()})
 
 
+def _size(df: DataFrame) -> tuple[int, int]:
+    """(rows, about how many bytes their contents take)."""
+    if isinstance(df.schema["content"].dataType, StringType):
+        weight = F.octet_length("content")
+    else:
+        weight = F.size("content") * 8
+    rows, size = df.agg(F.count("*"), F.sum(weight.cast("long"))).first()
+    return rows, size or 0
+
+
 def _grid(
-    queries: DataFrame, items: DataFrame, to_vectors: Vectorize, k: int, schema: str, block_rows: int
+    queries: DataFrame,
+    items: DataFrame,
+    query_vectors: Vectorize,
+    item_vectors: Vectorize,
+    k: int,
+    schema: str,
+    block_rows: int,
 ) -> DataFrame:
-    query_blocks = max(1, math.ceil(queries.count() / block_rows))
-    item_blocks = max(1, math.ceil(items.count() / block_rows))
+    def blocks(df: DataFrame) -> int:
+        rows, size = _size(df)
+        return max(1, math.ceil(rows / block_rows), math.ceil(size / SIDE_BYTES))
+
+    query_blocks, item_blocks = blocks(queries), blocks(items)
 
     def copies(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn(
@@ -135,7 +157,9 @@ def _grid(
     right = copies(items, "item", "_i", item_blocks, "_q", query_blocks)
 
     def cell(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        items, scores = _scan(iter([i] if len(i) else []), to_vectors(q["content"]), to_vectors, k)
+        items, scores = _scan(
+            iter([i] if len(i) else []), query_vectors(q["content"]), item_vectors, k
+        )
         return pd.concat([*_rows(_plain(q["query"]), items, scores), _NOTHING])
 
     return left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(cell, schema)
@@ -150,6 +174,7 @@ def vector_topk(
     query_content: str,
     item_content: str,
     to_vectors: Vectorize = text_vectors,
+    to_query_vectors: Vectorize | None = None,
     limit: int = SEARCH_LIMIT,
     query_rows: int | None = None,
     block_rows: int | None = None,
@@ -158,9 +183,11 @@ def vector_topk(
 
     Distance ascending with NaN (a zero vector) last, ties by item key. Items with a
     null content are not searched; items without a common token score 0 and fill up
-    the k rows.
+    the k rows. ``to_vectors`` makes the matrix of a batch of contents; another embedder,
+    or stored vectors, come in there (``to_query_vectors`` where queries differ).
     """
     k = check_limit(limit)
+    query_vectors = to_query_vectors or to_vectors
     query_rows = QUERY_ROWS if query_rows is None else query_rows
     q = queries.filter(F.col(query_content).isNotNull()).select(
         F.col(query_key).alias("query"), F.col(query_content).alias("content")
@@ -171,16 +198,17 @@ def vector_topk(
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query"), (i, "item"))}
     schema = f"query {kinds['query']}, item {kinds['item']}, score double"
 
-    head = q.limit(query_rows + 1).toPandas()  # bounded: the query matrix of the broadcast form
-    if len(head) > query_rows:
-        found = _grid(
-            q, i, to_vectors, k, schema, BLOCK_ROWS if block_rows is None else block_rows
-        )
-    elif head.empty:
+    rows, size = _size(q)
+    if rows > query_rows or size > SIDE_BYTES:
+        block_rows = BLOCK_ROWS if block_rows is None else block_rows
+        found = _grid(q, i, query_vectors, to_vectors, k, schema, block_rows)
+    elif rows == 0:
         found = queries.sparkSession.createDataFrame([], schema)
     else:
-        sc = queries.sparkSession.sparkContext
-        shared = sc.broadcast((_plain(head["query"]), to_vectors(head["content"])))
+        asked = q.toPandas()  # at most QUERY_ROWS rows and SIDE_BYTES, counted above
+        shared = queries.sparkSession.sparkContext.broadcast(
+            (_plain(asked["query"]), query_vectors(asked["content"]))
+        )
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, vectors = shared.value

@@ -34,8 +34,11 @@ def overview_cards(incidents: DataFrame, investigations: DataFrame, calls: DataF
         F.count("*").alias("investigations"),
         F.max_by("confidence_score", F.struct("created_at", "id")).alias("_confidence"),
     ).select("investigations", percent(F.col("_confidence")).alias("confidence"))
-    # Three one-row tables side by side.
-    return heads.crossJoin(loaded).crossJoin(calls.agg(F.count("*").alias("tool_calls")))
+    # Three rows, each with its own columns, folded into one.
+    cards = heads.unionByName(loaded, allowMissingColumns=True).unionByName(
+        calls.agg(F.count("*").alias("tool_calls")), allowMissingColumns=True
+    )
+    return cards.agg(*[F.max(c).alias(c) for c in cards.columns])
 
 
 def incident_board(listed: DataFrame, investigations: DataFrame) -> DataFrame:

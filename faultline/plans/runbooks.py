@@ -9,7 +9,7 @@ from faultline.functions.embedding import embedding_column
 from faultline.functions.text import chunk_text, utf16_length
 from faultline.operators import keyed
 from faultline.operators.lookup import service_names, with_service_name
-from faultline.operators.search import text_vectors, vector_topk
+from faultline.operators.search import Vectorize, text_vectors, vector_topk
 from faultline.schemas import CHUNK_CHARACTERS, SEARCH_LIMIT
 from faultline.session import lookup_join, materialize, spread
 
@@ -19,7 +19,7 @@ def chunk_runbooks(runbooks: DataFrame, limit: int = CHUNK_CHARACTERS) -> DataFr
 
     ``runbooks`` has id, slug, body and service_name, as ``runbook_list`` gives.
     """
-    pieces = spread(runbooks).select(
+    pieces = runbooks.select(
         F.col("id").alias("runbook_id"),
         "slug",
         "service_name",
@@ -42,10 +42,14 @@ def ingest_runbooks(
     runbooks: DataFrame, services: DataFrame, stored: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(chunk table after the upsert, {runbooks, chunks} written)."""
-    listed = with_service_name(runbooks, services, "left")
+    listed = with_service_name(spread(runbooks), services, "left")
     chunks = chunk_runbooks(listed).withColumn("embedding", embedding_column(F.col("content")))
-    counts = chunks.agg(F.count("*").alias("chunks")).select(
-        F.lit(runbooks.count()).cast("long").alias("runbooks"), "chunks"
+    written = runbooks.select(F.lit("runbook").alias("kind")).unionByName(
+        chunks.select(F.lit("chunk").alias("kind"))
+    )
+    counts = written.agg(
+        F.count_if(F.col("kind") == "runbook").alias("runbooks"),
+        F.count_if(F.col("kind") == "chunk").alias("chunks"),
     )
     if stored is None:
         return chunks, counts
@@ -76,11 +80,13 @@ def search_runbooks(
     services: DataFrame,
     limit: int = SEARCH_LIMIT,
     vector: str = "content",
-    to_vectors=text_vectors,
+    to_vectors: Vectorize = text_vectors,
+    to_query_vectors: Vectorize | None = None,
 ) -> DataFrame:
     """The nearest chunks of every distinct query text, with their passages.
 
-    Another embedding is given as ``to_vectors`` over the column ``vector``.
+    Another embedder is given as ``to_query_vectors`` for the texts and ``to_vectors`` for
+    the chunk column ``vector``, which may hold stored vectors.
     """
     texts = queries.select("text").distinct().withColumn("key", F.col("text"))
     # The hits are used three times below; k rows per query are cheap to write.
@@ -92,6 +98,7 @@ def search_runbooks(
         query_content="text",
         item_content=vector,
         to_vectors=to_vectors,
+        to_query_vectors=to_query_vectors,
         limit=limit,
     ).withColumnsRenamed({"key": "text", "id": "chunk_id"})
     return attach_passages(materialize(hits, "hits"), chunks, runbooks, services)

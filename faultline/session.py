@@ -64,6 +64,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has materialized."""
+    path = f"{shared_dir(spark)}/faultline/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: keeps partitions and row order, survives lost executors."""
     shared_dir(df.sparkSession)
@@ -73,7 +80,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work before a costly map: few input splits are shuffled apart.
 
-    A large table arrives in more splits than there are cores and is left alone.
+    A large table arrives in more splits than there are cores and is left alone. For
+    tables read from storage; asking a shuffled one for its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df

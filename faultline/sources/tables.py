@@ -1,7 +1,7 @@
 """Tables as parquet folders whose versions become visible together.
 
     root/<table>/version=<n>   whole content of a rewritten table
-    root/<table>/batch=<n>     rows appended by commit n
+    root/<table>/batch=<n>     rows appended by commit n; facts in a folder per day
     root/_commits              one row per commit: version and the tables it rewrote
 
 A reader sees the last committed version only. Writing version n again (a retried batch)
@@ -43,7 +43,10 @@ class TableStore:
         for name, df in (rewritten or {}).items():
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
         for name, df in (appended or {}).items():
-            clustered(df).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={version}")
+            writer = clustered(df).write.mode("overwrite")
+            if "timestamp" in df.columns:
+                writer = writer.partitionBy("day")
+            writer.parquet(f"{self.root}/{name}/batch={version}")
         row = self.spark.range(1).select(
             F.lit(version).cast("long").alias("version"),
             F.array(*[F.lit(n) for n in rewritten or {}]).cast("array<string>").alias("rewritten"),
@@ -69,7 +72,15 @@ class TableStore:
 
 
 def clustered(df: DataFrame) -> DataFrame:
-    """Sort facts by service and time inside each file, so row groups can be skipped."""
-    if {"service_id", "timestamp"} <= set(df.columns):
-        return df.sortWithinPartitions("service_id", "timestamp")
-    return df
+    """The layout of facts: a folder per day, files cut by time, rows by service and time.
+
+    Readers skip days by folder and row groups by their smallest and largest values. The
+    cut is by range over (time, service), so a busy service or day spreads over files.
+    """
+    if not {"service_id", "timestamp"} <= set(df.columns):
+        return df
+    return (
+        df.withColumn("day", F.to_date("timestamp"))
+        .repartitionByRange("timestamp", "service_id")
+        .sortWithinPartitions("day", "service_id", "timestamp")
+    )

@@ -35,10 +35,20 @@ def apply_batch(store: TableStore, raw: DataFrame, version: int) -> None:
 
 
 def stream_ingest(
-    spark: SparkSession, source: str, store: TableStore, checkpoint: str, *, available_now: bool = True
+    spark: SparkSession,
+    source: str,
+    store: TableStore,
+    checkpoint: str,
+    *,
+    files_per_trigger: int = 1000,
+    available_now: bool = True,
 ):
-    """Start the stream over ``source`` (one batch per line of its files)."""
-    lines = B.identify(spark.readStream.text(source))
+    """Start the stream over ``source`` (one batch per line of its files).
+
+    ``files_per_trigger`` bounds a commit, however long the backlog is.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    lines = B.identify(reader.text(source))
 
     def run(df: DataFrame, epoch: int) -> None:
         apply_batch(store, df, epoch + 1)

@@ -201,3 +201,25 @@ def test_runbooks_without_a_service_are_listed(spark):
     assert [(r["slug"], r["service_name"]) for r in rows(lookup.runbook_list(runbooks, services))] == [
         ("a", None), ("b", "rec"),
     ]
+
+
+def test_facts_are_stored_by_day_and_read_by_day(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    _, appended, _ = ingest.ingest(
+        empty(spark),
+        typed(spark, {**FULL, "logs": [LOG, {**LOG, "timestamp": "2026-06-27T01:00:00Z"}]}),
+    )
+    rewritten, _, _ = ingest.ingest(empty(spark), typed(spark, FULL))
+    store.commit(1, rewritten, appended)
+    logs = store.appended("log_entries")
+    found = lookup.log_search(logs, store.rewritten("services"), start="2026-06-27 00:00:00")
+    assert [r["timestamp"] for r in found.collect()] == [datetime(2026, 6, 27, 1)]
+    assert "day" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+
+
+def test_scratch_lies_in_the_shared_folder(spark):
+    import os
+
+    session.materialize(spark.range(3), "probe")
+    folder = f"{session.shared_dir(spark)}/faultline/{spark.sparkContext.applicationId}"
+    assert os.path.isdir(folder.removeprefix("file:"))
