@@ -190,6 +190,10 @@ def detect_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def detection_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.detection_outcomes(_signals(spark, sf_dir), THRESHOLD)
+
+
 def detect_with_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule per metric: half its highest value."""
     metrics = A.metric_points(spark, sf_dir)
@@ -417,6 +421,12 @@ QUERIES = {
         detect_incidents,
         sql(SIGNALS + "SELECT service_id, service_name, max_latency, errors FROM sig WHERE max_latency >= 100 AND errors > 0"),
     ),
+    "detection_outcomes": (
+        detection_outcomes,
+        sql(SIGNALS + """, o AS (SELECT *, coalesce(max_latency, 0) >= 100 AND errors > 0 AS detected FROM sig)
+            SELECT service_id, service_name, detected, CASE WHEN detected THEN service_name || ' reached 100 with errors logged'
+              ELSE 'No incident threshold exceeded.' END AS reason FROM o"""),
+    ),
     "detect_with_rules": (
         detect_with_rules,
         sql("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.keyed import insert_absent_incidents
@@ -50,10 +50,21 @@ def service_signals(
     )
 
 
+def _exceeded(threshold: float) -> Column:
+    return (F.coalesce("max_latency", F.lit(0.0)) >= threshold) & (F.col("errors") > 0)
+
+
 def detect_incidents(signals: DataFrame, threshold: float = LATENCY_THRESHOLD) -> DataFrame:
     """Services whose peak reaches the threshold and that logged errors."""
-    peak = F.coalesce(F.col("max_latency"), F.lit(0.0))
-    return signals.filter((peak >= threshold) & (F.col("errors") > 0))
+    return signals.filter(_exceeded(threshold))
+
+
+def detection_outcomes(signals: DataFrame, threshold: float = LATENCY_THRESHOLD) -> DataFrame:
+    """Every service with the verdict and its reason."""
+    found = _exceeded(threshold)
+    reached = F.concat("service_name", F.lit(f" reached {threshold:g} with errors logged"))
+    reason = F.when(found, reached).otherwise("No incident threshold exceeded.")
+    return signals.select("service_id", "service_name", found.alias("detected"), reason.alias("reason"))
 
 
 def detections_to_incidents(
