@@ -14,11 +14,12 @@ position, and a span is the interval of positions [first, last):
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultline.session import checkpoint, fits_broadcast
+from faultline.session import checkpoint, fits_broadcast, materialize
 
 BRANCH = 32
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id()
@@ -72,11 +73,15 @@ def locate_spans(
     part = F.shiftright("_slot", 33).alias("_part")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION))
 
-    # One row per partition, so this side is small whatever the data is.
-    sizes = ordered.groupBy(part).agg(F.count_if(F.col("_kind") == _FACT).alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row per partition, whatever the data is: small enough for the driver.
+    sizes = ordered.groupBy(part).agg(F.count_if(F.col("_kind") == _FACT).alias("_n")).collect()
+    sizes = sorted((r["_part"], r["_n"]) for r in sizes)
+    totals = itertools.accumulate((n for _, n in sizes), initial=0)
     starts = F.broadcast(
-        sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        facts.sparkSession.createDataFrame(
+            [(p, total) for (p, _), total in zip(sizes, totals, strict=False)],
+            "_part long, _start long",
+        )
     )
 
     numbered = (
@@ -163,7 +168,7 @@ def summarize_spans(
         F.sum("total").alias("total"),
         F.sum("samples").alias("samples"),
     ]
-    spans = spans.filter("first < last")
+    spans = materialize(spans.filter("first < last"), "spans")
     widest = spans.agg(F.max(F.col("last") - F.col("first"))).first()[0] or 0
     levels = 1
     while BRANCH**levels <= widest:

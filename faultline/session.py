@@ -26,6 +26,7 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.checkpoint.compress": "true",
         "spark.ui.enabled": "false",
         **conf,
     }
