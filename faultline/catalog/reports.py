@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,13 +112,14 @@ SELECT incident_id, TRUE AS valid, title || ' at ' || service_name || ': ' || n_
   CAST(3 + CASE WHEN n_deployments > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence FROM m_bundle""")
 
 
-def _echo(batch: pd.DataFrame) -> pd.Series:
-    return batch["prompt_text"].str.count("\n").astype(str)
+def _read_service(batch: pd.DataFrame, temperature: float, max_tokens: int) -> pd.Series:
+    asked = batch["prompt_text"].str.split("\n\nuser: ", n=1).str[1]
+    return asked.map(lambda text: json.loads(text)["incident"]["serviceName"])
 
 
 def batch_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in model that answers with the number of line breaks of the prompt."""
-    return inv.batch_generate(ws.prompts(spark, sf_dir), _echo)
+    """A stand-in model that answers with the service name it reads in the prompt."""
+    return inv.batch_generate(ws.prompts(spark, sf_dir), _read_service)
 
 
 def validate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +324,7 @@ def generation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 GENERATION_SQL = sql("""
 SELECT investigation_id AS trace_id, 'investigation.llm_generation' AS name, 'model-' || (incident_id % 3) AS model,
   CASE WHEN incident_id % 2 = 0 THEN 'ollama' ELSE 'gemini' END AS provider, tools_at AS start_time, answered_at AS end_time,
-  1000 + incident_id % 2000 AS latency_ms, reason IS NULL AS structured_output_success,
+  1000 + incident_id % 2000 AS latency_ms, CAST(0.1 AS DOUBLE) AS temperature, reason IS NULL AS structured_output_success,
   CASE WHEN reason IS NULL THEN 'DEFAULT' ELSE 'ERROR' END AS level, 'Invalid report: ' || reason AS status_message,
   42 + incident_id % 10 AS input_tokens, 42 + incident_id % 10 + 9 + incident_id % 5 AS total_tokens FROM m_answers""")
 
@@ -443,6 +446,19 @@ SELECT call_id, CASE WHEN provider = 'gemini' AND call_id % 11 = 0 THEN 'provide
   WHEN event_type = 'view' THEN 'bad_response' END AS error_code FROM c"""
 
 
+def message_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, and events read as messages: a role nobody has, a content that is empty."""
+    e = A.table(spark, sf_dir, "events")
+    read = e.select(
+        F.col("user_id").alias("conv_id"),
+        F.col("event_id").alias("turn"),
+        F.when(F.col("event_type") == "view", "user").when(F.col("event_type") == "click", "assistant")
+        .when(F.col("event_type") == "signup", "tool").otherwise("system").alias("role"),
+        F.when(F.col("value") >= 1, F.col("props")).otherwise("").alias("content"),
+    )
+    return observe.message_violations(A.messages(spark, sf_dir).unionByName(read))
+
+
 def conversation_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.conversation_payload(A.messages(spark, sf_dir))
 
@@ -540,7 +556,11 @@ QUERIES = {
     "summary_prompts": (summary_prompts, SUMMARY_PROMPT_SQL),
     "build_eval_prompts": (build_eval_prompts, EVAL_SQL),
     "template_reports": (template_reports, TEMPLATE_SQL),
-    "batch_generate": (batch_generate, None),
+    "batch_generate": (
+        batch_generate,
+        sql("""SELECT a.incident_id, b.service_name AS response FROM m_answers a
+            JOIN m_bundle b ON b.incident_id = a.incident_id"""),
+    ),
     "validate_reports": (
         validate_reports,
         sql("""SELECT investigation_id, reason IS NULL AS valid, coalesce(reason, '') AS reasons,
@@ -582,6 +602,12 @@ QUERIES = {
     "estimate_tokens": (estimate_tokens, ESTIMATE_SQL),
     "normalize_usage": (normalize_usage, USAGE_SQL),
     "classify_llm_errors": (classify_llm_errors, CLASSIFY_SQL),
+    "message_violations": (
+        message_violations,
+        """SELECT user_id AS conv_id, event_id AS turn, 'role' AS field FROM events WHERE event_type = 'signup'
+           UNION ALL SELECT user_id, event_id, 'content' FROM events WHERE value < 1
+           UNION ALL SELECT conv_id, turn, 'content' FROM conversations WHERE coalesce(text, '') = ''""",
+    ),
     "conversation_payload": (
         conversation_payload,
         """SELECT conv_id, CASE role WHEN 'system' THEN 'instruction' ELSE 'contents' END AS section, turn,

@@ -20,8 +20,8 @@ def service_signals(
     """Peak of the metric and number of error logs; a service with neither stays.
 
     Each fact table is reduced per service before the join, so the join meets at most
-    one row per service and side. ``fanout_errors`` is the count the reference gets by
-    joining both fact tables first: errors x metric rows (errors when there are none).
+    one row per service and side. ``fanout_errors`` is the count a join of both fact tables
+    would give: errors x metric rows (errors when there are none).
     """
     peaks = (
         metrics.filter(F.col("metric_name") == metric)

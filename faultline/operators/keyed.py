@@ -166,7 +166,7 @@ def cascade_delete(
     """The parent table and its children without the rows of the deleted ids."""
     gone = ids.select(F.col("id")).distinct()
     left = dict(tables)
-    left[parent] = lookup_join(tables[parent], gone, ["id"], "left_anti", spread=["id"])
+    left[parent] = tables[parent].join(gone, "id", "left_anti")
     for child, column in schemas.CASCADES[parent].items():
         if child in tables:
             left[child] = lookup_join(

@@ -90,7 +90,7 @@ def incident_lookup(
     incidents: DataFrame, services: DataFrame, ids: DataFrame, *, with_service_id: bool = False
 ) -> DataFrame:
     """The incidents with these ids; the investigation form also has the service id."""
-    wanted = lookup_join(incidents, ids.select("id").distinct(), ["id"], "left_semi", spread=["id"])
+    wanted = incidents.join(ids.select("id").distinct(), "id", "left_semi")
     columns = [*INCIDENT_COLUMNS, *(["service_id"] if with_service_id else [])]
     return with_service_name(wanted, services).select(*columns)
 

@@ -20,11 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from faultline.functions.embedding import count_matrix
 from faultline.schemas import SEARCH_LIMIT, SEARCH_LIMIT_MAX
-from faultline.session import spread
+from faultline.session import measure, spread
 
 QUERY_ROWS = 20_000
 BLOCK_ROWS = 20_000
@@ -123,16 +122,6 @@ def _rows(ids: np.ndarray, items: np.ndarray, scores: np.ndarray) -> Iterator[pd
         yield pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in frame.items()})
 
 
-def _size(df: DataFrame) -> tuple[int, int]:
-    """(rows, about how many bytes their contents take)."""
-    if isinstance(df.schema["content"].dataType, StringType):
-        weight = F.octet_length("content")
-    else:
-        weight = F.size("content") * 8
-    rows, size = df.agg(F.count("*"), F.sum(weight.cast("long"))).first()
-    return rows, size or 0
-
-
 def _grid(
     queries: DataFrame,
     items: DataFrame,
@@ -143,7 +132,7 @@ def _grid(
     block_rows: int,
 ) -> DataFrame:
     def blocks(df: DataFrame) -> int:
-        rows, size = _size(df)
+        rows, size = measure(df)
         return max(1, math.ceil(rows / block_rows), math.ceil(size / SIDE_BYTES))
 
     query_blocks, item_blocks = blocks(queries), blocks(items)
@@ -198,7 +187,7 @@ def vector_topk(
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query"), (i, "item"))}
     schema = f"query {kinds['query']}, item {kinds['item']}, score double"
 
-    rows, size = _size(q)
+    rows, size = measure(q)
     if rows > query_rows or size > SIDE_BYTES:
         block_rows = BLOCK_ROWS if block_rows is None else block_rows
         found = _grid(q, i, query_vectors, to_vectors, k, schema, block_rows)

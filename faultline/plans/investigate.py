@@ -15,12 +15,10 @@ from faultline import schemas
 from faultline.functions import jsontypes as J
 from faultline.functions.display import bullets, two_decimals
 from faultline.operators.lookup import with_service_name
-from faultline.session import lookup_join
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 METRIC_FIELDS = ("metric_name", "unit", "min", "max", "avg", "samples")
-MESSAGE = "array<struct<role:string,content:string>>"
 
 
 # --- evidence -------------------------------------------------------------------------
@@ -160,6 +158,9 @@ def prompt_text(messages: Column) -> Column:
     return F.array_join(lines, "\n\n")
 
 
+# The lines of the two prompts below are fixed values too.
+
+
 def summary_prompt(
     summary: Column, evidence: Column, runbook_context: Column,
     company: str = "the company", product: str | None = None,
@@ -210,6 +211,7 @@ def build_eval_prompts(
 
 # --- generation -----------------------------------------------------------------------
 
+# The request of a model call.
 TEMPERATURE = 0.1
 MAX_TOKENS = 1200
 
@@ -275,20 +277,20 @@ def template_report(bundle: DataFrame) -> DataFrame:
     return bundle.select("incident_id", F.to_json(report).alias("response"))
 
 
-Generate = Callable[[pd.DataFrame], pd.Series]
+Generate = Callable[[pd.DataFrame, float, int], pd.Series]
 
 
 def batch_generate(prompts: DataFrame, generate: Generate) -> DataFrame:
     """Answers of a model call per prompt: (incident_id, response).
 
-    ``generate`` gets Arrow batches of (incident_id, prompt_text) on the executors and
-    returns one text per row; it should use temperature 0.1 and at most 1200 tokens.
+    ``generate(batch, temperature, max_tokens)`` gets Arrow batches of (incident_id,
+    prompt_text) on the executors and returns one text per row.
     """
     key = prompts.schema["incident_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = list(generate(batch))
+            answers = list(generate(batch, TEMPERATURE, MAX_TOKENS))
             yield pd.DataFrame({"incident_id": batch["incident_id"], "response": answers})
 
     return prompts.select("incident_id", "prompt_text").mapInPandas(
@@ -596,15 +598,12 @@ def investigation_detail(
     The collected arrays hold at most 4 tool calls and 6 steps: one call per tool, and
     (investigation_id, step_index) is unique.
     """
-    heads = lookup_join(
-        investigations.withColumnRenamed("id", "investigation_id").drop("service_id"),
-        incidents.select(F.col("id").alias("incident_id"), "service_id", F.col("title").alias("incident_title")),
-        ["incident_id"],
-        spread=["investigation_id"],
-    )
-    heads = with_service_name(heads.withColumnRenamed("investigation_id", "id"), services).withColumnRenamed(
-        "id", "investigation_id"
+    titles = incidents.select(
+        F.col("id").alias("incident_id"), "service_id", F.col("title").alias("incident_title")
     )
+    heads = with_service_name(
+        investigations.drop("service_id").join(titles, "incident_id"), services
+    ).withColumnRenamed("id", "investigation_id")
     call = F.struct("created_at", "id", "tool_name", "input", "output", "status", "latency_ms")
     step = F.struct("step_index", "id", "step_type", "title", "content", "metadata", "created_at")
     call_lists = calls.groupBy("investigation_id").agg(F.sort_array(F.collect_list(call)).alias("tool_calls"))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions.text import TOKENS_PER_MESSAGE, estimate_tokens
-from faultline.plans.investigate import extract_final_report, tool_output_summary
+from faultline.plans.investigate import TEMPERATURE, extract_final_report, tool_output_summary
+from faultline.schemas import ROLES
 from faultline.session import lookup_join
 
 
@@ -91,6 +92,7 @@ def generation_rows(checked: DataFrame) -> DataFrame:
         F.timestamp_add("MILLISECOND", -F.col("duration_ms"), F.col("created_at")).alias("start_time"),
         F.col("created_at").alias("end_time"),
         F.col("duration_ms").cast("long").alias("latency_ms"),
+        F.lit(TEMPERATURE).alias("temperature"),
         usage_details(F.col("usage")).alias("usage"),
         ok.alias("structured_output_success"),
         F.when(ok, "DEFAULT").otherwise("ERROR").alias("level"),
@@ -180,16 +182,6 @@ def normalize_usage(calls: DataFrame, *, either: str = "gemini") -> DataFrame:
     return calls.withColumn("usage", usage)
 
 
-# Error codes of a model call.
-ERROR_CODES = (
-    "provider_disabled",
-    "provider_unavailable",
-    "provider_timeout",
-    "model_missing",
-    "bad_response",
-)
-
-
 def classify_llm_errors(calls: DataFrame, *, hosted: str = "gemini") -> DataFrame:
     """Adds ``error_code``, null for a good call.
 
@@ -211,6 +203,16 @@ def classify_llm_errors(calls: DataFrame, *, hosted: str = "gemini") -> DataFram
     return calls.withColumn("error_code", code)
 
 
+def message_violations(messages: DataFrame) -> DataFrame:
+    """Messages no model call takes: an unknown role or an empty content."""
+    bad_role = ~F.coalesce(F.col("role").isin(*ROLES), F.lit(False))
+    no_content = ~F.coalesce(F.length("content") > 0, F.lit(False))
+    fields = F.array_compact(
+        F.array(F.when(bad_role, F.lit("role")), F.when(no_content, F.lit("content")))
+    )
+    return messages.select("conv_id", "turn", F.explode(fields).alias("field"))
+
+
 def conversation_payload(messages: DataFrame) -> DataFrame:
     """Messages as a hosted model takes them, one row each, in ``turn`` order.
 

@@ -62,8 +62,8 @@ def attach_passages(
     """Text and titles of the chunks found; only chunks that were hit are read out."""
     wanted = hits.select(F.col("chunk_id").alias("id")).distinct()
     passages = (
-        lookup_join(chunks.select("id", "runbook_id", "chunk_index", "content"), wanted, ["id"],
-                    "left_semi", spread=["id"])
+        chunks.select("id", "runbook_id", "chunk_index", "content")
+        .join(wanted, "id", "left_semi")
         .withColumnRenamed("id", "chunk_id")
         .join(runbooks.select(F.col("id").alias("runbook_id"), "title", "slug", "service_id"), "runbook_id")
         .join(service_names(services), "service_id", "left")

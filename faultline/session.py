@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A lookup side is broadcast only when it has at most this many (narrow) rows.
+# A lookup side is broadcast only when it has at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Copies of a lookup side that is too large to broadcast; also the number of
 # tasks the rows of one hot key are spread over.
 SALTS = 32
@@ -27,6 +29,8 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.checkpoint.compress": "true",
+        # The last of two equal keys counts, as in the JSON parser of the contract.
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.enabled": "false",
         **conf,
     }
@@ -41,16 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder of this machine.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if sc.applicationId not in _fallback_dirs:
-        path = tempfile.mkdtemp(prefix="faultline-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or _fallback_dirs.get(sc.applicationId)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        path = _fallback_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="faultline-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
-        _fallback_dirs[sc.applicationId] = path
-    return _fallback_dirs[sc.applicationId]
+    return path
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -88,9 +90,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
+def _width(field: T.StructField) -> Column:
+    """About how many bytes a value takes."""
+    value, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        size = F.size(value) * 8
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        size = F.octet_length(F.to_json(F.struct(value)))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(0))
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a table; folded where it lies, no rows are moved."""
+    total = sum((_width(f) for f in df.schema.fields), F.lit(0))
+    rows, size = df.agg(F.count("*"), F.sum(total)).first()
+    return rows, size or 0
+
+
 def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
-    bound = BROADCAST_ROWS if rows is None else rows
-    return df.limit(bound + 1).count() <= bound
+    count, size = measure(df)
+    return count <= (BROADCAST_ROWS if rows is None else rows) and size <= BROADCAST_BYTES
 
 
 def salt(spread: list[str], salts: int) -> Column:
@@ -106,7 +129,7 @@ def lookup_join(
     spread: list[str],
     rows: int | None = None,
 ) -> DataFrame:
-    """Join many facts to a lookup that has one row per key.
+    """Join many facts to a lookup of their keys, where one key may have most of the facts.
 
     A lookup of proven size is broadcast. A larger one is joined by shuffle on the
     keys plus a salt taken from ``spread`` (columns that identify a fact), so the

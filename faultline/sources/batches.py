@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas
 from faultline.functions import jsontypes as J
-from faultline.session import lookup_join, materialize
+from faultline.session import materialize
 
 SECTIONS = ("services", "deployments", "logs", "metrics", "incidents")
 
@@ -208,5 +208,4 @@ def logs_violations(raw: DataFrame) -> DataFrame:
 def accept(raw: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted batches, rejected ones): one bad row rejects its whole batch."""
     bad = materialize(violations.select("batch_id").distinct(), "rejected_batches")
-    good = lookup_join(raw, bad, ["batch_id"], "left_anti", spread=["batch_id"])
-    return good, lookup_join(raw, bad, ["batch_id"], "left_semi", spread=["batch_id"])
+    return raw.join(bad, "batch_id", "left_anti"), raw.join(bad, "batch_id", "left_semi")

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FACT_KEYS = {"service_id", "timestamp", "id"}
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -44,7 +47,7 @@ class TableStore:
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
         for name, df in (appended or {}).items():
             writer = clustered(df).write.mode("overwrite")
-            if "timestamp" in df.columns:
+            if FACT_KEYS <= set(df.columns):
                 writer = writer.partitionBy("day")
             writer.parquet(f"{self.root}/{name}/batch={version}")
         row = self.spark.range(1).select(
@@ -75,12 +78,12 @@ def clustered(df: DataFrame) -> DataFrame:
     """The layout of facts: a folder per day, files cut by time, rows by service and time.
 
     Readers skip days by folder and row groups by their smallest and largest values. The
-    cut is by range over (time, service), so a busy service or day spreads over files.
+    cut is by range over (time, service, id), so a busy service or moment spreads too.
     """
-    if not {"service_id", "timestamp"} <= set(df.columns):
+    if not FACT_KEYS <= set(df.columns):
         return df
     return (
         df.withColumn("day", F.to_date("timestamp"))
-        .repartitionByRange("timestamp", "service_id")
+        .repartitionByRange("timestamp", "service_id", "id")
         .sortWithinPartitions("day", "service_id", "timestamp")
     )

@@ -154,3 +154,10 @@ def test_invalid_answer_becomes_step_six(spark):
     assert (step["step_index"], step["step_type"], step["title"], step["content"]) == (
         6, "observation", "Invalid model response", "not-json",
     )
+
+
+def test_the_last_of_two_equal_keys_counts(spark):
+    text = json.dumps(BATCH)
+    good = text[:-1] + ', "generatedAt": "2026-06-26T10:00:00Z"}'
+    bad = text[:-1] + ', "generatedAt": 5}'
+    assert check(spark, good, bad) == {(1, "batch", None, "generatedAt")}

@@ -223,3 +223,11 @@ def test_scratch_lies_in_the_shared_folder(spark):
     session.materialize(spark.range(3), "probe")
     folder = f"{session.shared_dir(spark)}/faultline/{spark.sparkContext.applicationId}"
     assert os.path.isdir(folder.removeprefix("file:"))
+
+
+def test_look_ups_are_measured_in_rows_and_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "abc", [1.0, 2.0]), (2, None, None)], "a int, b string, c array<double>")
+    assert session.measure(df) == (2, 16 + 3 + 16)
+    assert session.fits_broadcast(df) and not session.fits_broadcast(df, rows=1)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 10)
+    assert not session.fits_broadcast(df)
