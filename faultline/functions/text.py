@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from faultline.schemas import CHUNK_CHARACTERS
 
-# Fixed value: the whitespace of the ECMAScript `\s` class and of its trim().
-SPACES = (
-    r"\t\n\x0B\f\r\x20\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+# Fixed value: the code points of the ECMAScript white space (its trim() and `\s`).
+SPACE_POINTS = (
+    9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
 )
-SPACE = f"[{SPACES}]"
+SPACE = "[" + "".join(rf"\x{{{point:X}}}" for point in SPACE_POINTS) + "]"
 # What opens a section, where a sentence ends, what a word is.
 SECTION_BREAK = rf"\n(?=#{{1,3}}{SPACE}|[A-Z][A-Za-z0-9 /-]{{2,}}:)"
 SENTENCE_BREAK = rf"(?<=[.!?]){SPACE}+"
@@ -22,7 +22,8 @@ TOKENS_PER_MESSAGE = 4
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Looks at the ends only, unlike a pattern, which scans the whole text."""
+    return F.btrim(text, F.lit("".join(map(chr, SPACE_POINTS))))
 
 
 def utf16_length(text: Column) -> Column:
@@ -37,9 +38,11 @@ def normalize_text(text: Column) -> Column:
 
 
 def split_sections(normalized: Column) -> Column:
-    """Cut in front of headings; no section for an empty text."""
-    parts = F.transform(F.split(normalized, SECTION_BREAK, -1), trim)
-    return F.filter(parts, lambda part: part != "")
+    """Cut in front of headings; no section for an empty text.
+
+    Parts of a normalized text have no space at their ends.
+    """
+    return F.filter(F.split(normalized, SECTION_BREAK, -1), lambda part: part != "")
 
 
 def pack_sentences(section: Column, limit: int = CHUNK_CHARACTERS) -> Column:
