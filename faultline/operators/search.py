@@ -105,13 +105,14 @@ def _scan(
             top = np.argsort(_keys(found[0], found[1]), axis=1)[:, :k]
             best = tuple(np.take_along_axis(part, top, 1) for part in found)
     if best is None:
-        empty = np.empty((len(vectors), 0))
-        return empty, empty
+        return np.empty((len(vectors), 0), dtype=object), np.empty((len(vectors), 0))
     return best[1], best[2]
 
 
 def _rows(ids: np.ndarray, items: np.ndarray, scores: np.ndarray) -> Iterator[pd.DataFrame]:
     """Long rows of the best items, a bounded number of queries at a time."""
+    if items.size == 0:
+        return
     for at in range(0, len(ids), _QUERIES_OUT):
         stop = at + _QUERIES_OUT
         frame = {

@@ -25,10 +25,19 @@ METRIC_FIELDS = ("metric_name", "unit", "min", "max", "avg", "samples")
 
 
 def _collect(rows: DataFrame, name: str, order: list[str], fields: dict[str, str]) -> DataFrame:
-    """One ordered array per incident. Callers bound the rows per incident beforehand."""
+    """One ordered array per incident. Callers bound the rows per incident beforehand.
+
+    Only the order columns are compared: an item may hold a map or a VARIANT, which have
+    no order.
+    """
     item = F.struct(*[F.col(c).alias(a) for c, a in fields.items()]).alias("item")
-    pairs = F.sort_array(F.collect_list(F.struct(*order, item)))
-    return rows.groupBy("incident_id").agg(F.transform(pairs, lambda p: p["item"]).alias(name))
+    pairs = F.collect_list(F.struct(F.struct(*order).alias("at"), item))
+
+    def compare(a: Column, b: Column) -> Column:
+        return F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+
+    ordered = F.transform(F.array_sort(pairs, compare), lambda p: p["item"])
+    return rows.groupBy("incident_id").agg(ordered.alias(name))
 
 
 def evidence_bundle(

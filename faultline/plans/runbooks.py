@@ -66,10 +66,10 @@ def attach_passages(
         .join(wanted, "id", "left_semi")
         .withColumnRenamed("id", "chunk_id")
         .join(runbooks.select(F.col("id").alias("runbook_id"), "title", "slug", "service_id"), "runbook_id")
-        .join(service_names(services), "service_id", "left")
-        .drop("service_id")
     )
-    passages = materialize(passages, "passages")
+    # Most runbooks may have no service, so the look-up spreads that one key.
+    named = lookup_join(passages, service_names(services), ["service_id"], "left", spread=["chunk_id"])
+    passages = materialize(named.drop("service_id"), "passages")
     return lookup_join(hits, passages, ["chunk_id"], spread=["text", "rank"])
 
 

@@ -54,6 +54,16 @@ def test_many_copies_of_one_passage_with_text_ids(spark):
     assert got == brute(queries, items, 5)
 
 
+def test_few_passages_with_text_ids_in_both_forms(spark):
+    items = [("a", "store timeout"), ("b", "other words")]
+    q = spark.createDataFrame([("q1", "timeout"), ("q2", "words other")], "query_id string, text string")
+    d = spark.createDataFrame(items, "id string, body string").repartition(8)
+    want = {"q1": ["a", "b"], "q2": ["b", "a"]}
+    assert listed(S.vector_topk(q, d, **KEYS)) == want
+    assert listed(S.vector_topk(q, d, query_rows=1, block_rows=1, **KEYS)) == want
+    assert S.vector_topk(q, d.filter("false"), **KEYS).count() == 0
+
+
 def test_zero_vectors_sort_last_and_rows_fill_up_to_k(spark):
     items = [(1, "..."), (2, "alpha"), (3, "beta"), (4, None)]
     d = spark.createDataFrame(items, "id int, body string")

@@ -14,7 +14,12 @@ from faultline.sources import adapters as A
 from tests.conftest import rows
 
 # The ECMAScript white space, written out independently of the library.
-WS = "\t\n\x0b\x0c\r                  　﻿"
+WS = "\t\n\x0b\x0c\r " + "".join(
+    chr(int(p, 16))
+    for p in (
+        "A0 1680 2000 2001 2002 2003 2004 2005 2006 2007 2008 2009 200A 2028 2029 202F 205F 3000 FEFF"
+    ).split()
+)
 
 
 def units(s):
