@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from faultline.llm import exact_dedup, shards
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from faultline.llm import bpe, exact_dedup, shards
 from faultline.llm.common import table
 
 
+def op1_bpe_round_trip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    coded = bpe.encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -16,6 +30,7 @@ def op7_sharding(spark, sf_dir):
 
 def registry():
     return {
+        "op1_bpe_round_trip": (op1_bpe_round_trip, None),
         "op2_exact_dedup": (op2_exact_dedup, exact_dedup.SQL),
         "op7_sharding": (op7_sharding, None),
     }
