@@ -5,8 +5,7 @@ from __future__ import annotations
 import sys
 import types
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Bytes that separate words or are skipped when texts are compared: space and \t \n \v \f \r.
@@ -53,5 +52,20 @@ def worker_state(key: str, make):
     return home.__dict__[key]
 
 
-def arrow_batch(names: list[str], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=names)
+def gapless(rows: DataFrame, group: str, draw: Column, cells: int, order: list[Column]) -> DataFrame:
+    """``rows`` with ``slot``: 0, 1, 2, ... inside each group, in the order of a hash.
+
+    ``draw`` deals a group's rows to ``cells``; a slot is the rows of the cells before plus
+    the place in the own cell, so a large group is numbered by many tasks. ``rows`` should
+    be stored, as they are read twice. At most groups x cells counts are broadcast.
+    """
+    dealt = rows.withColumn("_cell", F.pmod(draw, F.lit(cells)).cast("int"))
+    before = Window.partitionBy(group).orderBy("_cell")
+    offsets = dealt.groupBy(group, "_cell").agg(F.count("*").alias("_rows"))
+    offsets = offsets.select(group, "_cell", (F.sum("_rows").over(before) - F.col("_rows")).alias("_before"))
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_cell").orderBy(draw, *order)))
+    return (
+        placed.join(F.broadcast(offsets), [group, "_cell"])
+        .withColumn("slot", (F.col("_before") + F.col("_place") - 1).cast("long"))
+        .drop("_cell", "_before", "_place")
+    )

@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, exact_dedup, shards
+from faultline.llm import bpe, exact_dedup, records, shards
 from faultline.llm.common import table
+from faultline.session import materialize, scratch_path
 
 
 def op1_bpe_round_trip(spark, sf_dir):
@@ -24,6 +25,14 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_binary_records(spark, sf_dir):
+    folder = scratch_path(spark, "token-records")
+    docs = table(spark, sf_dir, "documents")
+    manifest = records.write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    found = records.read_records(materialize(manifest, "token-manifest"), folder)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_sharding(spark, sf_dir):
     return shards.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -32,5 +41,6 @@ def registry():
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
         "op2_exact_dedup": (op2_exact_dedup, exact_dedup.SQL),
+        "op4_binary_records": (op4_binary_records, None),
         "op7_sharding": (op7_sharding, None),
     }

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import texts
+from faultline.llm.common import gapless, texts
 from faultline.session import materialize
 
 # Rows that are permuted together; a block's sort is the largest piece of work of a task.
@@ -106,20 +106,13 @@ def assign_shards(docs: DataFrame, shards: int = 24, seed: int = 2) -> DataFrame
     )
     dealt = materialize(dealt, "shard-dealt")
     cells = max(1, min(BLOCKS, math.ceil(total / shards / BLOCK_ROWS)))
-    dealt = dealt.withColumn("_cell", F.pmod(_draw(seed, "cell"), F.lit(cells)).cast("int"))
-    by_cell = Window.partitionBy("shard").orderBy("_cell")
-    offsets = dealt.groupBy("shard", "_cell").agg(F.count("*").alias("_rows"))
-    offsets = offsets.select(
-        "shard", "_cell", (F.sum("_rows").over(by_cell) - F.col("_rows")).alias("_before")
-    )
-    again = Window.partitionBy("shard", "_cell").orderBy(_draw(seed, "place"), *tie)
-    placed = dealt.withColumn("_place", F.row_number().over(again))
-    return placed.join(F.broadcast(offsets), ["shard", "_cell"]).select(  # at most shards x BLOCKS rows
+    placed = gapless(dealt, "shard", _draw(seed, "place"), cells, tie)
+    return placed.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
         F.col("shard").cast("int").alias("shard"),
-        (F.col("_before") + F.col("_place") - 1).cast("long").alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
