@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from faultline.llm.common import worker_state
+
 # Classes of characters.
 LETTER, DIGIT, OTHER, SPACE = 0, 1, 2, 3
 # Bytes of text worked on at once, and pieces that a worker keeps before it starts anew.
@@ -25,6 +27,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 def character_classes() -> bytes:
     """The class of each code point by the library's patterns, packed. Run on the driver."""
+    return worker_state("character-classes", _ask_library)
+
+
+def _ask_library() -> bytes:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 

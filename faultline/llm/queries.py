@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, exact_dedup, records, shards
+from faultline.llm import bpe, exact_dedup, packing, records, shards
 from faultline.llm.common import table
 from faultline.session import materialize, scratch_path
 
@@ -37,10 +37,16 @@ def op7_sharding(spark, sf_dir):
     return shards.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def registry():
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
         "op2_exact_dedup": (op2_exact_dedup, exact_dedup.SQL),
         "op4_binary_records": (op4_binary_records, None),
         "op7_sharding": (op7_sharding, None),
+        "op8_packing": (op8_packing, None),
     }
