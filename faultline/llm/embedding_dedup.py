@@ -112,14 +112,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, seed: int = 10) -> Da
         F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("unit").alias("unit")
     )
     #: A class without any vec_id takes no part in components but counts as links.
-    classes = materialize(classes.withColumn("node", F.xxhash64(*group, "key")), "vector-classes")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     sizes = classes.groupBy(*group).count().where(F.col("count") > CELL_ROWS)
     large = sizes.orderBy(F.desc("count"), *group).limit(PIVOTS // 2).collect()
     wanted, room = {}, PIVOTS
     for label, size, count in large:
         wanted[label, size] = min(LABEL_PIVOTS, math.ceil(count / CELL_ROWS), room)
         room -= wanted[label, size]
-    by_hash = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), "node"), "key")
+    by_hash = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), "key"), "key")
     ranked = classes.join(F.broadcast(sizes.orderBy(F.desc("count"), *group).limit(PIVOTS // 2)), group)
     ranked = ranked.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= LABEL_PIVOTS)
     pivots: dict[tuple, list] = {k: [] for k, n in wanted.items() if n > 1}

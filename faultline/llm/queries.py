@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, embedding_dedup, exact_dedup, packing, records, shards
+from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, records, shards
 from faultline.llm.common import table
 from faultline.session import materialize, scratch_path
 
@@ -42,6 +42,10 @@ def op8_packing(spark, sf_dir):
     return packing.pack(packing.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -53,5 +57,6 @@ def registry():
         "op4_binary_records": (op4_binary_records, None),
         "op7_sharding": (op7_sharding, None),
         "op8_packing": (op8_packing, None),
+        "op9_near_dedup": (op9_near_dedup, None),
         "op10_embedding_dedup": (op10_embedding_dedup, embedding_dedup.SQL),
     }
