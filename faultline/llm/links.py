@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         took = materialize(took.select("id", F.least("id", "m").alias("m")), "links-took")
         for _ in range(2):
             onward = took.select(F.col("id").alias("m"), F.col("m").alias("n"))
-            took = materialize(took.join(onward, "m").select("id", F.col("n").alias("m")), "links-took")
+            took = took.join(onward, "m").select("id", F.col("n").alias("m"))
+        took = materialize(took, "links-took")
         steps.append(took)
         of = took.select(F.col("id").alias("a"), F.col("m").alias("x"))
         to = took.select(F.col("id").alias("b"), F.col("m").alias("y"))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import texts, worker_state
@@ -31,8 +31,8 @@ AGREE = 40
 PREFIX = COORDINATES - AGREE + 1
 # Counters of the frequency sketch: one fixed array, whatever the input.
 COUNTERS = 1 << 16
-# Bytes of text worked on at once; texts of a list in one block.
-SLICE, BLOCK = 1 << 20, 512
+# Bytes of text worked on at once; rows and bytes of one of the two chunks of a block.
+SLICE, BLOCK, BLOCK_BYTES = 1 << 20, 1024, 16 << 20
 
 _fixed = np.random.default_rng(925)
 _STEPS = _fixed.integers(1, 1 << 63, WORDS + 1, dtype=np.uint64) | np.uint64(1)
@@ -201,6 +201,109 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["node"])
 
 
+def _blocks(rows: DataFrame, group: str, size: Column) -> DataFrame:
+    """Rows of groups with several parts, dealt to blocks: each pair of chunks is one.
+
+    A chunk has about ``BLOCK`` rows and ``BLOCK_BYTES`` of ``size`` at most.
+    """
+    groups = rows.groupBy(group).agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.sum(size).alias("size")
+    )
+    chunks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_BYTES)).cast("int")
+    rows = rows.join(groups.where("low <> high").select(group, chunks.alias("chunks")), group)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
+    return rows.drop("other", "chunks")
+
+
+def _compared(rows: DataFrame, group: str, percent: int) -> DataFrame:
+    """Pairs (a, b) that join the parts of each block: links, or where no sets are given, agreeing pairs."""
+    block = [group, "first", "second"]
+    rows = rows.select(*block, "own", "node", "part", "n_shingles", "sign", "shingles")
+    rows = rows.repartition(*block).sortWithinPartitions(*block, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            start = 0
+            for end in [*block_ends(batch), None]:
+                waiting.append(batch.slice(start) if end is None else batch.slice(start, end - start))
+                if waiting[0].num_rows and waiting[-1].num_rows and not _same(waiting[0], waiting[-1]):
+                    yield joining_pairs(pa.Table.from_batches(waiting[:-1]), percent)
+                    waiting = waiting[-1:]
+                waiting = [w for w in waiting if w.num_rows]
+                start = end
+        if waiting:
+            yield joining_pairs(pa.Table.from_batches(waiting), percent)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def block_ends(batch: pa.RecordBatch) -> list[int]:
+    """Where blocks change inside a batch of sorted rows."""
+    change = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+    for k in range(3):
+        values = batch.column(k).to_numpy()
+        change |= values[1:] != values[:-1]
+    return (np.flatnonzero(change) + 1).tolist()
+
+
+def _same(x: pa.RecordBatch, y: pa.RecordBatch) -> bool:
+    return all(x.column(k)[0].as_py() == y.column(k)[0].as_py() for k in range(3))
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many of 64 bytes each row of x agrees with y, added up eight at a time."""
+    words = (x == y).view(np.uint64)
+    total = words[:, 0].copy()
+    for k in range(1, words.shape[1]):
+        total += words[:, k]
+    return (total * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
+def joining_pairs(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs of a block that make one part of several, fewer than it has rows.
+
+    A row is compared with those behind it that are of another part by then, first by the
+    low byte of each coordinate, then by the coordinates, then by the sets if there are any.
+    """
+    own, nodes, part, sizes = (rows[c].to_numpy() for c in ("own", "node", "part", "n_shingles"))
+    part, n = part.copy(), rows.num_rows
+    one = rows["first"][0].as_py() == rows["second"][0].as_py()
+    signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+    low = np.ascontiguousarray(signs.astype(np.uint8))
+    exact = n > 0 and rows["shingles"][0].is_valid
+    if exact:
+        values = np.frombuffer(b"".join(rows["shingles"].to_pylist()), dtype="<u8")
+        values, places = np.unique(values, return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        mark = np.zeros(len(values), dtype=bool)
+    found = []
+    for i in range(n - 1):
+        may = part[i + 1 :] != part[i]
+        if not one:
+            may &= own[i + 1 :] != own[i]
+        may &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
+        at = np.flatnonzero(may) + i + 1
+        if len(at):
+            at = at[agreeing(low[at], low[i]) >= AGREE]
+            at = at[(signs[at] == signs[i]).sum(axis=1) >= AGREE]
+        if exact and len(at):
+            mine = places[bounds[i] : bounds[i + 1]]
+            mark[mine] = True
+            theirs = np.concatenate([places[bounds[j] : bounds[j + 1]] for j in at.tolist()])
+            both = np.add.reduceat(mark[theirs], np.cumsum([0, *sizes[at[:-1]]]), dtype=np.int64)
+            mark[mine] = False
+            at = at[100 * both >= percent * (sizes[i] + sizes[at] - both)]
+        if len(at):
+            others, which = np.unique(part[at], return_index=True)
+            found += [(nodes[i], nodes[j]) for j in at[which].tolist()]
+            part[np.isin(part, others)] = part[i]
+    columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(2)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -215,9 +318,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Equal sets are folded to one class before they are posted, so a group of copies is one
     row. In each posting list the most typical class (the one whose tokens are the most
-    frequent) is paired with the others: as many pairs as postings. Lists whose classes are
-    linked by then are skipped; in what is left, pairs from different components are counted
-    over the whole signature in blocks, and only those that agree enough leave a block.
+    frequent) is paired with the others: as many pairs as postings. Collisions of a pair are
+    counted over the whole signature, and pairs that agree enough make families. A list
+    whose classes are of one family by then is skipped; what is left of the others is
+    counted in blocks, where classes of one family skip each other too. Links are pairs of
+    a family whose full sets are similar enough: the pairs with a typical class first, then
+    in families that these leave in several parts, block by block, the pairs that may still
+    join two parts. A block returns fewer pairs than it has rows, so a family of thousands of
+    texts that are all alike costs rows in proportion.
     """
     spark = docs.sparkSession
     signed = texts(docs).mapInArrow(_sign, "doc_id long, n_shingles long, key binary, sign binary")
@@ -253,43 +361,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     # Lists of one class say nothing; what is left is small, so it is stored.
     shared = materialize(posted.join(lists.where("size > 1"), "token").select("token", "node", "hub"), "postings")
-    star = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = shared.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    star = star.distinct()
     near = materialize(_agree(star, classes, percent), "near-pairs")
 
-    def confirmed(pairs: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Links among pairs, and the sets read so far."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        if sets is not None:
-            nodes = nodes.join(sets.select("node"), "node", "left_anti")
-        wanted = materialize(nodes.join(classes.select("node", "rep", "key"), "node"), "near-wanted")
-        more = materialize(_sets(docs, wanted), "near-sets")
-        sets = more if sets is None else sets.union(more)
-        return materialize(_exactly(pairs, sets, percent), "near-links"), sets
-
-    links, sets = confirmed(near, None)
-    parts = materialize(components(links), "near-parts")
-    at = shared.join(parts.withColumnRenamed("id", "node"), "node", "left")
-    at = at.select("token", "node", F.coalesce("component", "node").alias("component"))
-    mixed_lists = at.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
-    )
-    mixed_lists = mixed_lists.where("low <> high").select(
-        "token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
-    )
-    rest = at.join(mixed_lists, "token")
-    rest = rest.join(classes.select("node", "n_shingles", "sign"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
-
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        return across(rows, percent)
-
-    columns = ["token", "first", "second", "own", "node", "component", "n_shingles", "sign"]
-    more = rest.select(*columns).groupBy("token", "first", "second").applyInPandas(block, "a long, b long")
-    more = materialize(more.distinct().join(near, ["a", "b"], "left_anti"), "near-pairs")
-    links_too, _ = confirmed(more, sets)
-    parts = components(links.union(links_too))
+    # Families: classes that agree enough, in chains. Every link lies inside a family.
+    family = materialize(components(near), "near-families").select(F.col("id").alias("node"), "component")
+    # The hub of a list has met all others; who is left matters if from several families.
+    at = shared.where("node <> hub").join(family, "node", "left")
+    at = at.select("token", "node", F.coalesce("component", "node").alias("part"))
+    rest = _blocks(at, "token", F.lit(0)).join(classes.select("node", "n_shingles", "sign"), "node")
+    rest = rest.withColumn("shingles", F.lit(None).cast("binary"))
+    more = _compared(rest, "token", percent)
+    family = components(near.union(more)).select(F.col("id").alias("node"), F.col("component").alias("family"))
+    family = materialize(family.join(classes, "node"), "near-families")
+    sets = materialize(_sets(docs, family.select("rep", "node", "key")), "near-sets")
+
+    links = materialize(_exactly(near, sets, percent), "near-links")
+    parts = components(links).select(F.col("id").alias("node"), "component")
+    at = family.join(parts, "node", "left").join(sets, "node")
+    at = at.select("family", "node", F.coalesce("component", "node").alias("part"), "n_shingles", "sign", "shingles")
+    at = materialize(at, "near-members")
+    rest = _blocks(at.select("family", "node", "part", "n_shingles"), "family", 8 * F.col("n_shingles"))
+    rest = rest.drop("n_shingles").join(at.select("node", "n_shingles", "sign", "shingles"), "node")
+    parts = components(links.union(_compared(rest, "family", percent)))
 
     named = classes.select("key", "node", "rep").join(parts.withColumnRenamed("id", "node"), "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
@@ -300,21 +395,3 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = found.select("doc_id", "n_shingles", component.alias("component_id"))
     # Rows of one id may hold several texts; they are one document.
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-
-
-def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a block from different components that agree in enough coordinates."""
-    rows = rows.sort_values("node", kind="stable").reset_index(drop=True)
-    signs = np.frombuffer(b"".join(rows["sign"]), dtype="<u4").reshape(-1, COORDINATES)
-    nodes, parts, sizes = (rows[c].to_numpy() for c in ("node", "component", "n_shingles"))
-    own, one = rows["own"].to_numpy(), rows["first"].iloc[0] == rows["second"].iloc[0]
-    found = []
-    for i in range(len(rows)):
-        may = (parts != parts[i]) & (np.arange(len(rows)) > i)
-        if not one:
-            may &= own != own[i]
-        may &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
-        at = np.flatnonzero(may)
-        at = at[(signs[at] == signs[i]).sum(axis=1) >= AGREE]
-        found += [(nodes[i], nodes[j]) for j in at]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
