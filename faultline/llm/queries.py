@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, records, shards
+from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, quality, records, shards
 from faultline.llm.common import table
 from faultline.session import materialize, scratch_path
 
@@ -33,6 +33,11 @@ def op4_binary_records(spark, sf_dir):
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_sharding(spark, sf_dir):
     return shards.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def registry():
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
         "op2_exact_dedup": (op2_exact_dedup, exact_dedup.SQL),
         "op4_binary_records": (op4_binary_records, None),
+        "op5_quality": (op5_quality, None),
         "op7_sharding": (op7_sharding, None),
         "op8_packing": (op8_packing, None),
         "op9_near_dedup": (op9_near_dedup, None),
