@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, quality, records, shards
+from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, quality, records, secret_scan, shards
 from faultline.llm.common import table
 from faultline.session import materialize, scratch_path
 
@@ -38,6 +38,10 @@ def op5_quality(spark, sf_dir):
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_secrets(spark, sf_dir):
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_sharding(spark, sf_dir):
     return shards.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def registry():
         "op2_exact_dedup": (op2_exact_dedup, exact_dedup.SQL),
         "op4_binary_records": (op4_binary_records, None),
         "op5_quality": (op5_quality, None),
+        "op6_secrets": (op6_secrets, None),
         "op7_sharding": (op7_sharding, None),
         "op8_packing": (op8_packing, None),
         "op9_near_dedup": (op9_near_dedup, None),
