@@ -17,8 +17,8 @@ from faultline.llm.common import worker_state
 # Classes of characters.
 LETTER, DIGIT, OTHER, SPACE = 0, 1, 2, 3
 # Bytes of text worked on at once, and pieces that a worker keeps before it starts anew.
-SLICE, KEPT = 1 << 20, 1_500_000
-SLOTS = 22
+SLICE, KEPT = 1 << 19, 400_000
+SLOTS = 20
 
 _rng = np.random.default_rng(20240229)
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
