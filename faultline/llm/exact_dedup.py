@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import BLANK, smallest, texts
+from faultline.session import lookup_join, materialize
 
 
 def content(text: Column) -> Column:
@@ -71,23 +72,23 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns as they are.
 
     Of rows that repeat text and doc_id the one with the most code points stays, then the
-    first by its other columns.
+    first by its other columns. Texts move once, to be compared; rows meet the keys of what
+    goes in a join that broadcasts these only if they are counted few.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     id_at, text_at = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    whole = F.coalesce(F.col(text_at), F.lit(""))
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias("_sha")]
+    found = duplicate_groups(docs).groupBy(*key).agg(F.max("kept").alias("_stays"), F.count("*").alias("_n"))
+    found = materialize(found.where(~F.col("_stays") | (F.col("_n") > 1)).drop("_n"), "duplicate-keys")
+    whole = F.coalesce(F.col(text_at).cast("string"), F.lit(""))
     rows = docs.toDF(*names).withColumns(
-        {"_key": F.col(id_at).cast("long"), "_sha": F.sha2(content(whole), 256), "_points": F.char_length(whole)}
+        {"_id": F.coalesce(F.col(id_at).cast("long").cast("string"), F.lit("")), "_sha": F.sha2(content(whole), 256)}
     )
-    stay = duplicate_groups(docs).filter("kept").select(
-        F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_stay_sha")
-    )
-    same = F.col("_key").eqNullSafe(F.col("_stay")) & (F.col("_sha") == F.col("_stay_sha"))
-    kept = rows.join(stay, same, "left_semi")
+    rows = lookup_join(rows, found, ["_id", "_sha"], "left", spread=[text_at])
     others = [F.to_json(F.struct(n)) for n in names if n not in (id_at, text_at)]
-    order = Window.partitionBy("_key", "_sha").orderBy(F.col("_points").desc(), F.col(text_at), *others)
-    kept = kept.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1")
-    return kept.select(*names).toDF(*docs.columns)
+    order = Window.partitionBy("_id", "_sha").orderBy(F.char_length(whole).desc(), F.col(text_at), *others)
+    repeated = rows.where("_stays").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return rows.where("_stays IS NULL").select(*names).union(repeated.select(*names)).toDF(*docs.columns)
 
 
 SQL = r"""

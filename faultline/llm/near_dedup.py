@@ -395,3 +395,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = found.select("doc_id", "n_shingles", component.alias("component_id"))
     # Rows of one id may hold several texts; they are one document.
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each component, columns as they are.
+
+    Rows without an id stay, as no other row can name them.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+    gone = near_duplicates(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"))
+    gone = materialize(gone.distinct(), "near-gone")
+    rows = docs.toDF(*names).withColumn("_id", F.col(names[id_at]).cast("long"))
+    kept = lookup_join(rows, gone, ["_id"], "left_anti", spread=[names[text_at]])
+    return kept.select(*names).toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, quality, records, secret_scan, shards
+from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, quality, records, secret_scan, shards, toxicity
 from faultline.llm.common import table
 from faultline.session import materialize, scratch_path
 
@@ -25,6 +25,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_binary_records(spark, sf_dir):
     folder = scratch_path(spark, "token-records")
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +68,7 @@ def registry():
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
         "op2_exact_dedup": (op2_exact_dedup, exact_dedup.SQL),
+        "op3_toxicity": (op3_toxicity, None),
         "op4_binary_records": (op4_binary_records, None),
         "op5_quality": (op5_quality, None),
         "op6_secrets": (op6_secrets, None),
