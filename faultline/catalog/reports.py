@@ -112,22 +112,28 @@ SELECT incident_id, TRUE AS valid, title || ' at ' || service_name || ': ' || n_
   CAST(3 + CASE WHEN n_deployments > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence FROM m_bundle""")
 
 
+MODEL_ERROR = ws.CALL_ERROR
+
+
 def _read_service(batch: pd.DataFrame, temperature: float, max_tokens: int) -> pd.Series:
+    if (batch["incident_id"] % 25 == 22).any():  # the incidents of ``ws.call_failed``
+        raise RuntimeError(MODEL_ERROR)
     asked = batch["prompt_text"].str.split("\n\nuser: ", n=1).str[1]
     return asked.map(lambda text: json.loads(text)["incident"]["serviceName"])
 
 
 def batch_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in model that answers with the service name it reads in the prompt."""
-    return inv.batch_generate(ws.prompts(spark, sf_dir), _read_service)
+    """A stand-in model that answers with the service name it reads in the prompt, or raises."""
+    return inv.batch_generate(ws.prompts(spark, sf_dir), _read_service).drop("duration_ms")
 
 
 def validate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = inv.validate_reports(ws.checked(spark, sf_dir).select("investigation_id", "response"))
+    checked = inv.validate_reports(ws.checked(spark, sf_dir).select("investigation_id", "response", "error_message"))
     return checked.select(
         "investigation_id",
         F.col("report").isNotNull().alias("valid"),
         F.array_join("reasons", ",").alias("reasons"),
+        "error_message",
         F.round("report.confidence", 6).alias("confidence"),
     )
 
@@ -315,9 +321,11 @@ SELECT investigation_id AS trace_id, tool_name AS name, created_at - to_millisec
 
 def generation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observe.generation_rows(ws.checked(spark, sf_dir))
-    return rows.drop("output", "usage").join(
-        rows.select("trace_id", F.col("usage")["input"].alias("input_tokens"), F.col("usage")["total"].alias("total_tokens")),
-        "trace_id",
+    return rows.select(
+        *[c for c in rows.columns if c not in ("output", "usage")],
+        F.col("output").isNotNull().alias("answered"),
+        F.col("usage")["input"].alias("input_tokens"),
+        F.col("usage")["total"].alias("total_tokens"),
     )
 
 
@@ -325,8 +333,9 @@ GENERATION_SQL = sql("""
 SELECT investigation_id AS trace_id, 'investigation.llm_generation' AS name, 'model-' || (incident_id % 3) AS model,
   CASE WHEN incident_id % 2 = 0 THEN 'ollama' ELSE 'gemini' END AS provider, tools_at AS start_time, answered_at AS end_time,
   1000 + incident_id % 2000 AS latency_ms, CAST(0.1 AS DOUBLE) AS temperature, reason IS NULL AS structured_output_success,
-  CASE WHEN reason IS NULL THEN 'DEFAULT' ELSE 'ERROR' END AS level, 'Invalid report: ' || reason AS status_message,
-  42 + incident_id % 10 AS input_tokens, 42 + incident_id % 10 + 9 + incident_id % 5 AS total_tokens FROM m_answers""")
+  CASE WHEN reason IS NULL THEN 'DEFAULT' ELSE 'ERROR' END AS level, coalesce(call_error, 'Invalid report: ' || reason) AS status_message,
+  call_error IS NULL AS answered, CASE WHEN call_error IS NULL THEN 42 + incident_id % 10 END AS input_tokens,
+  CASE WHEN call_error IS NULL THEN 42 + incident_id % 10 + 9 + incident_id % 5 END AS total_tokens FROM m_answers""")
 
 
 def _model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -558,18 +567,20 @@ QUERIES = {
     "template_reports": (template_reports, TEMPLATE_SQL),
     "batch_generate": (
         batch_generate,
-        sql("""SELECT a.incident_id, b.service_name AS response FROM m_answers a
-            JOIN m_bundle b ON b.incident_id = a.incident_id"""),
+        sql("""SELECT a.incident_id, CASE WHEN call_error IS NULL THEN b.service_name END AS response,
+            CASE WHEN call_error IS NOT NULL THEN 'RuntimeError' END AS error_name, call_error AS error_message
+            FROM m_answers a JOIN m_bundle b ON b.incident_id = a.incident_id"""),
     ),
     "validate_reports": (
         validate_reports,
-        sql("""SELECT investigation_id, reason IS NULL AS valid, coalesce(reason, '') AS reasons,
+        sql("""SELECT investigation_id, reason IS NULL AS valid, call_error AS error_message,
+            CASE WHEN call_error IS NULL THEN coalesce(reason, '') END AS reasons,
             CAST(CASE WHEN reason IS NULL THEN round(confidence, 6) END AS DOUBLE) AS confidence FROM m_answers"""),
     ),
     "capture_invalid": (
         capture_invalid,
         sql(f"""SELECT investigation_id, CAST(6 AS BIGINT) AS step_index, 'observation' AS step_type, 'Invalid model response' AS title,
-            {ERROR_TEXT} AS parser_error, answered_at AS created_at FROM m_answers WHERE reason IS NOT NULL"""),
+            {ERROR_TEXT} AS parser_error, answered_at AS created_at FROM m_answers WHERE reason IS NOT NULL AND call_error IS NULL"""),
     ),
     "tool_call_ledger": (tool_call_ledger, LEDGER_SQL),
     "tool_output_summary": (
@@ -615,8 +626,9 @@ QUERIES = {
     ),
     "system_instruction": (
         system_instruction,
-        """SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'system') AS instruction,
-           FALSE AS in_rows FROM conversations GROUP BY 1""",
+        """SELECT conv_id, turn, text, TRUE AS has_instruction FROM conversations WHERE role = 'system'
+           UNION ALL SELECT conv_id, NULL, NULL, FALSE FROM conversations
+           GROUP BY conv_id HAVING count(*) FILTER (role = 'system') = 0""",
     ),
     "overview_cards": (
         overview_cards,

@@ -118,8 +118,10 @@ CTES: dict[str, str] = {
     "m_answers": """
         SELECT b.incident_id, c.investigation_id, c.created_at AS tools_at,
                c.created_at + to_milliseconds(1000 + b.incident_id % 2000) AS answered_at,
-               CASE b.incident_id % 10 WHEN 0 THEN 'json' WHEN 1 THEN 'confidence' WHEN 2 THEN 'evidence'
-                    WHEN 3 THEN 'evidence' WHEN 4 THEN 'summary' END AS reason,
+               CASE WHEN b.incident_id % 25 = 22 THEN 'model offline' END AS call_error,
+               CASE WHEN b.incident_id % 25 = 22 THEN 'call' WHEN b.incident_id % 10 = 0 THEN 'json'
+                    WHEN b.incident_id % 10 = 1 THEN 'confidence'
+                    WHEN b.incident_id % 10 IN (2, 3) THEN 'evidence' WHEN b.incident_id % 10 = 4 THEN 'summary' END AS reason,
                0.2 * (3 + CASE WHEN n_deployments > 0 THEN 1 ELSE 0 END) + 0.0875 AS confidence,
                CAST(3 + CASE WHEN n_deployments > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence,
                b.title || ' at ' || b.service_name || ': ' || n_logs || ' logs and ' || n_metrics
@@ -139,7 +141,7 @@ CTES: dict[str, str] = {
                     THEN date_diff('millisecond', i.detected_at, a.answered_at) END AS latency_ms,
                CASE WHEN f.incident_id IS NOT NULL
                       THEN CASE f.tool_index WHEN 4 THEN 'search index offline' ELSE 'metric store offline' END
-                    WHEN a.reason IS NOT NULL THEN 'Invalid report: ' || a.reason ELSE a.summary END AS summary,
+                    WHEN a.reason IS NOT NULL THEN coalesce(a.call_error, 'Invalid report: ' || a.reason) ELSE a.summary END AS summary,
                CASE WHEN a.reason IS NULL THEN a.cause END AS probable_root_cause,
                CAST(CASE WHEN a.reason IS NULL THEN round(a.confidence, 3) END AS DOUBLE) AS confidence,
                CASE WHEN a.reason IS NULL THEN a.n_evidence END AS n_evidence,
@@ -153,7 +155,7 @@ CTES: dict[str, str] = {
         UNION ALL SELECT investigation_id, 5, 'prompt', 'Build structured investigation prompt', tools_at FROM m_answers
         UNION ALL SELECT investigation_id, 6, CASE WHEN reason IS NULL THEN 'final' ELSE 'observation' END,
                CASE WHEN reason IS NULL THEN 'Investigation report' ELSE 'Invalid model response' END, answered_at
-        FROM m_answers""",
+        FROM m_answers WHERE call_error IS NULL""",
 }
 
 NAMES = re.compile(r"\bm_[a-z_]+\b")

@@ -63,7 +63,10 @@ FROM m_posted JOIN g USING (batch_id) WHERE event_type = 'error' AND value >= 10
 
 
 def logs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of the logs of ten events, the purchases and errors only; empty ones drop out."""
+    """Batches of the logs of ten events; per service also an empty batch and a cut-off line.
+
+    What is no batch comes out with the reason why.
+    """
 
     def write() -> str:
         log = F.struct(
@@ -73,31 +76,34 @@ def logs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             "message",
             F.parse_json("attributes").alias("attributes"),
         )
-        kept = F.when(F.col("level").isin("error", "warn"), log)
-        batches = (
-            A.log_entries(spark, sf_dir)
-            .groupBy(F.floor(F.col("id") / 10).alias("batch_id"))
-            .agg(F.collect_list(kept).alias("logs"))
-        )
+        logs = A.log_entries(spark, sf_dir)
+        batches = logs.groupBy(F.floor(F.col("id") / 10).alias("batch_id")).agg(F.collect_list(log).alias("logs"))
+        lines = batches.select(F.to_json(F.struct("logs")).alias("value"))
+        bad = F.explode(F.array(F.lit('{"logs":[]}'), F.lit('{"logs":[{"serv'))).alias("value")
         path = scratch_path(spark, "log_batches")
-        batches.select(F.to_json(F.struct("logs")).alias("value")).write.text(path)
+        lines.unionByName(logs.select("service_id").distinct().select(bad)).write.text(path)
         return path
 
     folder = ws.once(spark, sf_dir, "log_batches", write)
     batches = B.read_logs(spark, folder).withColumn("size", F.size("logs").cast("long"))
-    return B.section(batches, "logs").select(
+    good = B.section(batches, "logs").select(
         F.col("serviceName").alias("service_name"),
         F.col("timestamp").alias("at"),
         "level",
         "message",
         F.variant_get("attributes", "$.k", "long").alias("k"),
+        F.lit(None).cast("string").alias("rejected_for"),
     )
+    nothing = {c: F.lit(None).cast(t) for c, t in good.dtypes if c != "rejected_for"}
+    rejected = B.rejected_logs(spark, folder).withColumns(nothing).withColumnRenamed("reason", "rejected_for")
+    return good.unionByName(rejected.select(*good.columns))
 
 
 LOGS_SQL = f"""
 SELECT 'svc-' || user_id AS service_name, {ISO} AS "at", {LEVEL} AS level, event_type AS message,
-       CAST(json_extract(props, '$.k') AS BIGINT) AS k
-FROM events WHERE event_type IN ('error', 'purchase')"""
+       CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS rejected_for FROM events
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, why
+FROM (SELECT DISTINCT user_id FROM events), (VALUES ('logs'), ('json')) w(why)"""
 
 
 @ws.stored("dirty_batches")

@@ -268,6 +268,14 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(tools_done(spark, sf_dir), "incident_id").withColumnRenamed("tools_at", "created_at")
 
 
+CALL_ERROR = "model offline"
+
+
+def call_failed(incident_id: Column) -> Column:
+    """Model calls that raise, by a fixed rule on the incident id."""
+    return incident_id % 25 == 22
+
+
 def spoiled(response: Column) -> Column:
     """Some answers made invalid, by fixed rules on the incident id."""
     last = F.col("incident_id") % 10
@@ -290,7 +298,8 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = answers.select(
         "incident_id",
         "investigation_id",
-        spoiled(F.col("response")).alias("response"),
+        F.when(~call_failed(no), spoiled(F.col("response"))).alias("response"),
+        F.when(call_failed(no), F.lit(CALL_ERROR)).alias("error_message"),
         F.when(no % 2 == 0, "ollama").otherwise("gemini").alias("provider"),
         F.concat(F.lit("model-"), (no % 3).cast("string")).alias("model"),
         duration.alias("duration_ms"),
@@ -301,7 +310,8 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("prompt_tokens"),
         F.lit("").alias("completion"),
     )
-    used = observe.normalize_usage(calls).drop(
+    used = observe.normalize_usage(calls)
+    used = used.withColumn("usage", F.when(F.col("error_message").isNull(), F.col("usage"))).drop(
         "reported_prompt", "reported_completion", "reported_total", "prompt_tokens", "completion"
     )
     return inv.validate_reports(used)

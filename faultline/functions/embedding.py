@@ -116,14 +116,6 @@ def stored_form(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.round(x.cast("double"), 8).cast("float"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
-
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def dimension_violations(
     df: DataFrame, key: str, vector: str, dimension: int = EMBEDDING_DIMENSION
 ) -> DataFrame:

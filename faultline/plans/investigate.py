@@ -5,6 +5,7 @@ A failure is a row with status 'failed', never a failed job.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from faultline import schemas
 from faultline.functions import jsontypes as J
 from faultline.functions.display import bullets, two_decimals
 from faultline.operators.lookup import with_service_name
+from faultline.session import materialize
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -251,7 +253,7 @@ def template_report(bundle: DataFrame) -> DataFrame:
         return F.when(reference.isNotNull(), item)
 
     passage = F.try_element_at(F.col("runbooks"), F.lit(1))
-    quote = F.substring(passage["content"], 1, 200)
+    quote = passage["content"]
     cited = F.when(
         passage.isNotNull(),
         F.array(
@@ -289,22 +291,48 @@ def template_report(bundle: DataFrame) -> DataFrame:
 Generate = Callable[[pd.DataFrame, float, int], pd.Series]
 
 
+ANSWER = "response string, error_name string, error_message string, duration_ms long"
+
+
 def batch_generate(prompts: DataFrame, generate: Generate) -> DataFrame:
-    """Answers of a model call per prompt: (incident_id, response).
+    """Answers of a model call per prompt: incident_id, response, error_name, error_message, duration_ms.
 
     ``generate(batch, temperature, max_tokens)`` gets Arrow batches of (incident_id,
-    prompt_text) on the executors and returns one text per row.
+    prompt_text) on the executors and returns one text per row. A call that raises is a
+    row without a response and with the error: when a batch raises, its rows are asked one
+    by one, so an error is that of its own prompt. Answers are stored before anything reads
+    them; what reads them never asks again.
     """
     key = prompts.schema["incident_id"].dataType.simpleString()
 
+    def asked(rows: pd.DataFrame) -> list[tuple]:
+        start = time.monotonic()
+        try:
+            answers, error = list(generate(rows, TEMPERATURE, MAX_TOKENS)), (None, None)
+            if len(answers) != len(rows):
+                raise ValueError("a model call has to give one text per prompt")
+        except Exception as problem:  # whatever the injected callable raises is data
+            if len(rows) > 1:
+                return [answer for i in range(len(rows)) for answer in asked(rows.iloc[i : i + 1])]
+            answers, error = [None], (type(problem).__name__, str(problem))
+        spent = round((time.monotonic() - start) * 1000 / len(rows))
+        return [(answer, *error, spent) for answer in answers]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["response", "error_name", "error_message", "duration_ms"]
         for batch in batches:
-            answers = list(generate(batch, TEMPERATURE, MAX_TOKENS))
-            yield pd.DataFrame({"incident_id": batch["incident_id"], "response": answers})
+            if len(batch):
+                found = pd.DataFrame(asked(batch), columns=names).astype({n: object for n in names[:3]})
+                found.insert(0, "incident_id", batch["incident_id"].to_numpy())
+                yield found
 
-    return prompts.select("incident_id", "prompt_text").mapInPandas(
-        run, f"incident_id {key}, response string"
-    )
+    answers = prompts.select("incident_id", "prompt_text").mapInPandas(run, f"incident_id {key}, {ANSWER}")
+    return materialize(answers, "answers")
+
+
+def call_error(df: DataFrame) -> Column:
+    """The message of a model call that failed; null where calls carry none."""
+    return F.col("error_message") if "error_message" in df.columns else F.lit(None).cast("string")
 
 
 # --- report check ---------------------------------------------------------------------
@@ -347,7 +375,10 @@ REPORT_RULES: dict[str, Callable[[Column], Column]] = {
 
 
 def validate_reports(responses: DataFrame, text: str = "response") -> DataFrame:
-    """Adds ``report`` (null unless valid), ``reasons`` and ``parser_error``."""
+    """Adds ``report`` (null unless valid), ``reasons`` and ``parser_error``.
+
+    A call that failed has no answer to check: all three are null, its error stands alone.
+    """
     parsed = responses.withColumn("_doc", F.try_parse_json(F.col(text)))
     members = {name: f"_{name}" for name in REPORT_RULES}
     opened = parsed.withColumns(
@@ -357,8 +388,9 @@ def validate_reports(responses: DataFrame, text: str = "response") -> DataFrame:
         F.when(~F.coalesce(test(F.col(members[name])), F.lit(False)), F.lit(name))
         for name, test in REPORT_RULES.items()
     ]
-    reasons = F.when(F.col("_doc").isNull(), F.array(F.lit("json"))).otherwise(
-        F.array_compact(F.array(*broken))
+    answered = call_error(responses).isNull()
+    reasons = F.when(answered & F.col("_doc").isNull(), F.array(F.lit("json"))).when(
+        answered, F.array_compact(F.array(*broken))
     )
     valid = F.size("reasons") == 0
     error = F.concat(F.lit("Invalid report: "), F.array_join("reasons", ", "))
@@ -434,9 +466,14 @@ def tool_call_ledger(
     return rows.filter(F.col("_failed").isNull() | (F.col("tool_index") <= F.col("_failed"))).drop("_failed")
 
 
+def result_count() -> Column:
+    """How many results a tool's output has; null if it is no array."""
+    return F.json_array_length("output").cast("long")
+
+
 def tool_output_summary(calls: DataFrame) -> DataFrame:
     """What the trace keeps of an output: the length of an array, else its type."""
-    size = F.json_array_length("output").cast("long")
+    size = result_count()
     return calls.select(
         "id",
         "investigation_id",
@@ -517,7 +554,10 @@ def step_timeline(calls: DataFrame, prompts: DataFrame, checked: DataFrame) -> D
 
 
 def investigation_events(started: DataFrame, calls: DataFrame, checked: DataFrame) -> DataFrame:
-    """State changes: running, then completed, or failed with the error as summary."""
+    """State changes: running, then completed, or failed with the error as summary.
+
+    The error is that of a tool, of the model call, or of an answer that is no report.
+    """
     nothing = F.lit(None)
     running = started.select(
         "investigation_id",
@@ -543,7 +583,7 @@ def investigation_events(started: DataFrame, calls: DataFrame, checked: DataFram
         F.col("created_at").alias("at"),
         F.lit(1).alias("seq"),
         F.when(ok, "completed").otherwise("failed").alias("status"),
-        F.when(ok, F.col("report.summary")).otherwise(F.col("parser_error")).alias("summary"),
+        F.when(ok, F.col("report.summary")).otherwise(F.coalesce(call_error(checked), "parser_error")).alias("summary"),
         F.col("report.probableRootCause").alias("probable_root_cause"),
         F.col("report.confidence").alias("confidence"),
     )
@@ -576,11 +616,11 @@ def investigation_status(events: DataFrame) -> DataFrame:
 
 def tool_calls_list(calls: DataFrame) -> DataFrame:
     """Tool calls in the order they were made, per investigation."""
-    return calls.orderBy("investigation_id", "created_at", "id")
+    return calls.repartition("investigation_id").sortWithinPartitions("investigation_id", "created_at", "id")
 
 
 def steps_list(steps: DataFrame) -> DataFrame:
-    return steps.orderBy("investigation_id", "step_index")
+    return steps.repartition("investigation_id").sortWithinPartitions("investigation_id", "step_index")
 
 
 def extract_final_report(steps: DataFrame) -> DataFrame:
@@ -671,7 +711,7 @@ def investigation_report(detail: DataFrame) -> DataFrame:
 
 
 def report_text(report: DataFrame, heading: str = "Investigation") -> DataFrame:
-    """The report as plain text: (investigation_id, text)."""
+    """The report as plain text: (investigation_id, text). Its labels are fixed values."""
 
     def or_(column: Column, default: str) -> Column:
         return F.coalesce(column, F.lit(default))

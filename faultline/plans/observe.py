@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions.text import TOKENS_PER_MESSAGE, estimate_tokens
-from faultline.plans.investigate import TEMPERATURE, extract_final_report, tool_output_summary
+from faultline.plans.investigate import TEMPERATURE, call_error, extract_final_report, result_count
 from faultline.schemas import ROLES
-from faultline.session import lookup_join
 
 
 def trace_rows(
@@ -54,15 +53,14 @@ def trace_rows(
 def tool_spans(calls: DataFrame) -> DataFrame:
     """One span per tool call, without its payload."""
     ok = F.col("status") == "success"
-    sizes = tool_output_summary(calls).select("id", "result_count")
-    return calls.join(sizes, "id").select(
+    return calls.select(
         F.col("investigation_id").alias("trace_id"),
         F.col("tool_name").alias("name"),
         F.timestamp_add("MILLISECOND", -F.col("latency_ms"), F.col("created_at")).alias("start_time"),
         F.col("created_at").alias("end_time"),
         F.col("latency_ms").cast("long").alias("latency_ms"),
         ok.alias("success"),
-        F.when(ok, F.col("result_count")).alias("result_count"),
+        F.when(ok, result_count()).alias("result_count"),
         F.when(~ok, F.lit("Error")).alias("error_name"),
         F.when(ok, "DEFAULT").otherwise("ERROR").alias("level"),
         F.when(~ok, F.lit("Tool call failed.")).alias("status_message"),
@@ -81,9 +79,15 @@ def usage_details(usage: Column) -> Column:
 
 
 def generation_rows(checked: DataFrame) -> DataFrame:
-    """One generation per model answer (columns of ``validate_reports`` plus the call's)."""
+    """One generation per model call (columns of ``validate_reports`` plus the call's).
+
+    A call that failed has no output and the error as its message. The prompt is the input
+    where the rows carry it.
+    """
     ok = F.col("report").isNotNull()
+    asked = [F.col("prompt_text").alias("input")] if "prompt_text" in checked.columns else []
     return checked.select(
+        *asked,
         F.col("investigation_id").alias("trace_id"),
         F.lit("investigation.llm_generation").alias("name"),
         "model",
@@ -96,7 +100,9 @@ def generation_rows(checked: DataFrame) -> DataFrame:
         usage_details(F.col("usage")).alias("usage"),
         ok.alias("structured_output_success"),
         F.when(ok, "DEFAULT").otherwise("ERROR").alias("level"),
-        F.when(~ok, F.coalesce("parser_error", F.lit("Structured output failed."))).alias("status_message"),
+        F.when(
+            ~ok, F.coalesce(call_error(checked), "parser_error", F.lit("Structured output failed."))
+        ).alias("status_message"),
     )
 
 
@@ -233,24 +239,23 @@ def conversation_payload(messages: DataFrame) -> DataFrame:
     )
 
 
-def system_instruction(messages: DataFrame, max_characters: int = 1_000_000) -> DataFrame:
-    """The instruction per conversation: its system texts joined by a blank line, or null.
+def system_instruction(messages: DataFrame) -> DataFrame:
+    """The instruction per conversation, a row per system text: conv_id, turn, text, has_instruction.
 
-    Sizes are summed first. Texts are gathered only where they fit ``max_characters``,
-    far more than a model takes; a longer instruction is marked ``in_rows`` and read from
-    the 'instruction' rows of ``conversation_payload``.
+    Its texts in ``turn`` order, joined by a blank line, are the instruction. A conversation
+    without one has a single row that says so. Rows, as an instruction has no bound.
     """
     is_system = F.col("role") == "system"
-    sizes = messages.groupBy("conv_id").agg(
-        F.sum(F.when(is_system, F.length("content") + 2).otherwise(0)).alias("_size")
-    )
-    long_ones = sizes.filter(F.col("_size") > max_characters).select("conv_id")
-    texts = lookup_join(
-        messages.filter(is_system), long_ones, ["conv_id"], "left_anti", spread=["conv_id", "turn"]
+    texts = messages.filter(is_system).select(
+        "conv_id", "turn", F.col("content").alias("text"), F.lit(True).alias("has_instruction")
     )
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "content")))
-    joined = F.array_join(F.transform(ordered, lambda m: m["content"]), "\n\n")
-    instructions = texts.groupBy("conv_id").agg(F.nullif(joined, F.lit("")).alias("instruction"))
-    return sizes.join(instructions, "conv_id", "left").select(
-        "conv_id", "instruction", (F.col("_size") > max_characters).alias("in_rows")
+    without = messages.groupBy("conv_id").agg(F.max(is_system).alias("any")).filter(~F.col("any"))
+    kinds = {f.name: f.dataType for f in texts.schema.fields}
+    return texts.unionByName(
+        without.select(
+            "conv_id",
+            F.lit(None).cast(kinds["turn"]).alias("turn"),
+            F.lit(None).cast("string").alias("text"),
+            F.lit(False).alias("has_instruction"),
+        )
     )

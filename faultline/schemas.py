@@ -80,6 +80,7 @@ REPORT = (
 )
 
 # Stored tables: column -> rule used by the integrity check.
+# The constraints that stored rows have to meet.
 REQUIRED = {
     "services": ("id", "name", "display_name", "description", "owner_team", "runtime", "criticality"),
     "deployments": ("id", "service_id", "version", "commit_sha", "deployed_by", "environment", "status", "deployed_at"),

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 # A lookup side is broadcast only when it has at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Copies of a lookup side that is too large to broadcast; also the number of
-# tasks the rows of one hot key are spread over.
+# Tasks over which the rows of one hot key are spread, and copies of that key's look-up.
 SALTS = 32
+# Rows that make a key hot, and hot keys that are treated on their own at most.
+HOT_ROWS, HOT_KEYS = 1_000_000, 4096
 
 _fallback_dirs: dict[str, str] = {}
 
@@ -131,13 +132,21 @@ def lookup_join(
 ) -> DataFrame:
     """Join many facts to a lookup of their keys, where one key may have most of the facts.
 
-    A lookup of proven size is broadcast. A larger one is joined by shuffle on the
-    keys plus a salt taken from ``spread`` (columns that identify a fact), so the
-    facts of one hot key land in ``SALTS`` tasks. ``how``: inner, left, left_semi
-    or left_anti.
+    A lookup of proven size is broadcast. For a larger one the facts are counted per key:
+    facts of the few keys with ``HOT_ROWS`` or more are spread over ``SALTS`` tasks, by
+    ``spread`` (columns that identify a fact), and only these keys of the lookup are copied
+    as often; all others are joined plainly. ``how``: inner, left, left_semi or left_anti.
     """
     if fits_broadcast(lookup, rows):
         return facts.join(F.broadcast(lookup), keys, how)
-    salted = facts.withColumn("_salt", salt(spread, SALTS))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    counts = facts.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= HOT_ROWS)
+    hot = counts.orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS).select(*keys).dropna()
+    hot = materialize(hot.withColumn("_hot", F.lit(True)), "hot-keys")
+    if hot.isEmpty():
+        return facts.join(lookup, keys, how)
+    facts = facts.join(F.broadcast(hot), keys, "left")  # at most HOT_KEYS rows
+    salted = facts.where("_hot").drop("_hot").withColumn("_salt", salt(spread, SALTS))
+    copies = lookup.join(F.broadcast(hot.drop("_hot")), keys, "left_semi")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cold = facts.where("_hot IS NULL").drop("_hot").join(lookup, keys, how)
+    return cold.unionByName(salted.join(copies, [*keys, "_salt"], how).drop("_salt"))

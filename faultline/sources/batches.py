@@ -9,32 +9,68 @@ from pyspark.sql import functions as F
 
 from faultline import schemas
 from faultline.functions import jsontypes as J
-from faultline.session import materialize
+from faultline.session import lookup_join, materialize
 
 SECTIONS = ("services", "deployments", "logs", "metrics", "incidents")
 
 
+def _checked(spark: SparkSession, path: str, schema: str, one_per_file: bool) -> DataFrame:
+    """Batches of a declared shape, with ``_broken``: the text of what is no such batch."""
+    reader = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken")
+    return reader.json(path, multiLine=one_per_file)
+
+
 def read_telemetry(spark: SparkSession, path: str, *, one_per_file: bool = False) -> DataFrame:
-    """Telemetry batches with their declared shape; one per line, or one per file."""
-    return spark.read.schema(schemas.TELEMETRY_BATCH).json(path, multiLine=one_per_file)
+    """Telemetry batches with their declared shape; one per line, or one per file.
+
+    What is no JSON of this shape is left to ``rejected_telemetry``.
+    """
+    return _checked(spark, path, schemas.TELEMETRY_BATCH, one_per_file).where("_broken IS NULL").drop("_broken")
+
+
+def rejected_telemetry(spark: SparkSession, path: str, *, one_per_file: bool = False) -> DataFrame:
+    """(value, reason) of what ``read_telemetry`` leaves out."""
+    batches = _checked(spark, path, schemas.TELEMETRY_BATCH, one_per_file).where("_broken IS NOT NULL")
+    return batches.select(F.col("_broken").alias("value"), F.lit("json").alias("reason"))
 
 
 def read_logs(spark: SparkSession, path: str, *, one_per_file: bool = False) -> DataFrame:
-    """Log batches; one without a log is not a batch."""
-    batches = spark.read.schema(schemas.LOGS_BATCH).json(path, multiLine=one_per_file)
-    return batches.filter(F.size("logs") >= 1)
+    """Log batches; one without a log is not a batch (see ``rejected_logs``)."""
+    batches = _checked(spark, path, schemas.LOGS_BATCH, one_per_file)
+    return batches.where(F.col("_broken").isNull() & (F.size("logs") >= 1)).drop("_broken")
+
+
+def rejected_logs(spark: SparkSession, path: str, *, one_per_file: bool = False) -> DataFrame:
+    """(value, reason) of what ``read_logs`` leaves out: broken JSON, or no log in it."""
+    batches = _checked(spark, path, schemas.LOGS_BATCH, one_per_file)
+    none = F.coalesce(F.size("logs") < 1, F.lit(True))
+    reason = F.when(F.col("_broken").isNotNull(), F.lit("json")).when(none, F.lit("logs"))
+    value = F.coalesce("_broken", F.to_json(F.struct(*[c for c in batches.columns if c != "_broken"])))
+    return batches.select(value.alias("value"), reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def read_raw(spark: SparkSession, path: str, *, one_per_file: bool = False) -> DataFrame:
     """Batches as text for the contract check: (batch_id, value)."""
     lines = spark.read.text(path, wholetext=one_per_file)
-    return identify(lines)
+    return identify(lines.select(F.col("_metadata.file_path").alias("file_path"), "value"))
 
 
 def identify(lines: DataFrame) -> DataFrame:
-    """Name a batch by its file and content, so that reading it again names it the same."""
-    name = F.sha2(F.concat_ws("/", F.col("_metadata.file_path"), F.col("value")), 256)
-    return lines.select(name.alias("batch_id"), "value")
+    """Name each line of (file_path, value) by its file and content: (batch_id, value).
+
+    Reading a line again names it the same. Equal lines of a file are batches of their own:
+    the second and later ones are named by their number too. Only digests are counted and
+    moved; lines are moved where they repeat.
+    """
+    named = lines.select(F.sha2(F.concat_ws("/", "file_path", "value"), 256).alias("name"), "value")
+    repeats = materialize(named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    if repeats.isEmpty():
+        return named.withColumnRenamed("name", "batch_id")
+    once = lookup_join(named, repeats.select("name"), ["name"], "left_anti", spread=["value"])
+    more = lookup_join(named, repeats, ["name"], spread=["value"]).dropDuplicates(["name"])
+    more = more.select("name", "value", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("place"))
+    own = F.when(F.col("place") == 1, F.col("name")).otherwise(F.sha2(F.concat_ws("/", "name", "place"), 256))
+    return once.withColumnRenamed("name", "batch_id").unionByName(more.select(own.alias("batch_id"), "value"))
 
 
 def parse(raw: DataFrame) -> DataFrame:
@@ -88,6 +124,7 @@ def _strings(v: Column) -> Column:
 
 
 # The contract: section -> field -> test of the field's JSON value.
+# Fields, types and limits of the posted batches.
 CONTRACT: dict[str, dict[str, Test]] = {
     "services": {
         "name": _text(),

@@ -1,22 +1,28 @@
 """Tables as parquet folders whose versions become visible together.
 
-    root/<table>/version=<n>   whole content of a rewritten table
-    root/<table>/batch=<n>     rows appended by commit n; facts in a folder per day
-    root/_commits              one row per commit: version and the tables it rewrote
-
-A reader sees the last committed version only. Writing version n again (a retried batch)
-overwrites its folders, so a replay neither duplicates nor loses rows.
+    root/<table>/version=<id>   whole content of a rewritten table
+    root/<table>/batch=<id>     rows appended by a commit; facts in a folder per day
+    root/_commits               one row per commit: version, id, stream, epoch, tables
+
+A commit is named by its stream and epoch, and takes the next version. A pair that is
+committed is never written again, and every other one is, so a replay changes nothing and
+a new stream or checkpoint loses nothing. Each attempt writes folders of its own; readers
+see those named in ``_commits`` only, so what an aborted one leaves stays unseen. Appended
+tables take any number of writers; a rewritten table takes one at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+COMMITS = "version long, id string, stream string, epoch long, rewritten array<string>"
+# Versions of a rewritten table that stay on disk.
+KEPT = 3
 FACT_KEYS = {"service_id", "timestamp", "id"}
 
 
@@ -27,9 +33,7 @@ class TableStore:
 
     def _commits(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("version long, rewritten array<string>").parquet(
-                f"{self.root}/_commits"
-            )
+            return self.spark.read.schema(COMMITS).parquet(f"{self.root}/_commits")
         except AnalysisException:  # nothing committed yet
             return None
 
@@ -37,41 +41,74 @@ class TableStore:
         commits = self._commits()
         return 0 if commits is None else (commits.agg(F.max("version")).first()[0] or 0)
 
+    def committed(self, stream: str, epoch: int) -> bool:
+        commits = self._commits()
+        if commits is None:
+            return False
+        return not commits.filter((F.col("stream") == stream) & (F.col("epoch") == epoch)).isEmpty()
+
     def commit(
         self,
-        version: int,
+        stream: str,
+        epoch: int,
         rewritten: Mapping[str, DataFrame] | None = None,
         appended: Mapping[str, DataFrame] | None = None,
-    ) -> None:
+    ) -> int:
+        """Store the rows of a stream's epoch and make them visible; returns the version."""
+        version = self.last_version() + 1
+        name_of = f"{version:012d}-{uuid.uuid4().hex}"
         for name, df in (rewritten or {}).items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+            df.write.parquet(f"{self.root}/{name}/version={name_of}")
         for name, df in (appended or {}).items():
-            writer = clustered(df).write.mode("overwrite")
+            writer = clustered(df).write
             if FACT_KEYS <= set(df.columns):
                 writer = writer.partitionBy("day")
-            writer.parquet(f"{self.root}/{name}/batch={version}")
+            writer.parquet(f"{self.root}/{name}/batch={name_of}")
         row = self.spark.range(1).select(
             F.lit(version).cast("long").alias("version"),
+            F.lit(name_of).alias("id"),
+            F.lit(stream).alias("stream"),
+            F.lit(epoch).cast("long").alias("epoch"),
             F.array(*[F.lit(n) for n in rewritten or {}]).cast("array<string>").alias("rewritten"),
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
+        return version
 
-    def rewritten(self, name: str) -> DataFrame | None:
-        """The current content of a rewritten table, None before its first version."""
+    def _versions(self, name: str) -> list[str]:
+        """Committed ids of a rewritten table, the newest first."""
         commits = self._commits()
         if commits is None:
-            return None
-        version = commits.filter(F.array_contains("rewritten", name)).agg(F.max("version")).first()[0]
-        return None if version is None else self.spark.read.parquet(f"{self.root}/{name}/version={version}")
+            return []
+        held = commits.filter(F.array_contains("rewritten", name))
+        return [r["id"] for r in held.orderBy(F.desc("version"), F.desc("id")).select("id").limit(KEPT + 1).collect()]
+
+    def rewritten(self, name: str) -> DataFrame | None:
+        """The current content of a rewritten table, None before its first version."""
+        versions = self._versions(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/version={versions[0]}") if versions else None
 
     def appended(self, name: str) -> DataFrame | None:
-        """All committed rows of an appended table."""
-        last = self.last_version()
+        """All committed rows of an appended table; folders of other batches are not read."""
         try:
             rows = self.spark.read.parquet(f"{self.root}/{name}")
         except AnalysisException:
             return None
-        return rows.filter(F.col("batch") <= last).drop("batch")
+        seen = self._commits()
+        if seen is None:
+            return rows.drop("batch").filter(F.lit(False))
+        return rows.join(seen.select(F.col("id").alias("batch")), "batch", "left_semi").drop("batch")
+
+    def drop_old_versions(self, names: tuple[str, ...]) -> None:
+        """Remove the rewritten version that a newer commit has put out of readers' sight.
+
+        The newest ``KEPT`` versions stay, for readers that opened one before.
+        """
+        system = None
+        for name in names:
+            for old in self._versions(name)[KEPT:]:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/version={old}")
+                system = system or path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+                system.delete(path, True)
 
 
 def clustered(df: DataFrame) -> DataFrame:

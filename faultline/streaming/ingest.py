@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.plans import ingest as I
 from faultline.session import materialize
@@ -12,17 +13,19 @@ from faultline.sources.tables import TableStore
 EMPTY = {"services": I.SERVICES, "deployments": I.DEPLOYMENTS, "incidents": I.INCIDENTS}
 
 
-def apply_batch(store: TableStore, raw: DataFrame, version: int) -> None:
-    """Check, resolve and store the batches of one trigger as one table version.
+def apply_batch(store: TableStore, lines: DataFrame, stream: str, epoch: int) -> None:
+    """Check, resolve and store the batches of one trigger: rows of (file_path, value).
 
-    A version that is committed already is left alone, so a replayed trigger changes
-    nothing; ids follow from the batch and the row's place, so a retried one writes the
-    same rows. Rejected batches go to their own table with the broken rules.
+    A (stream, epoch) that is committed already is left alone, so a replayed trigger
+    changes nothing; any other is stored, whatever else the store holds. Ids follow from
+    the batch and the row's place, so a retried trigger writes the same rows. Rejected
+    batches go to their own table with the broken rules. Only tables that the batches say
+    something about are rewritten.
     """
     spark = store.spark
-    if version <= store.last_version():
+    if store.committed(stream, epoch):
         return
-    raw = materialize(raw, "posted")  # the posted text is read once, then reused below
+    raw = materialize(B.identify(lines), "posted")  # the posted text is read once, then reused below
     violations = materialize(B.contract_violations(raw), "violations")
     good, _ = B.accept(raw, violations)
     batches = materialize(B.parse(good), "batches")
@@ -31,7 +34,10 @@ def apply_batch(store: TableStore, raw: DataFrame, version: int) -> None:
         for name, ddl in EMPTY.items()
     }
     rewritten, appended, _ = I.ingest(tables, batches)
-    store.commit(version, rewritten, {**appended, "rejected": violations})
+    named = batches.agg(*[F.max(F.size(name)).alias(name) for name in EMPTY]).first()
+    touched = {name: df for name, df in rewritten.items() if (named[name] or 0) > 0}
+    store.commit(stream, epoch, touched, {**appended, "rejected": violations})
+    store.drop_old_versions(tuple(touched))
 
 
 def stream_ingest(
@@ -45,13 +51,14 @@ def stream_ingest(
 ):
     """Start the stream over ``source`` (one batch per line of its files).
 
-    ``files_per_trigger`` bounds a commit, however long the backlog is.
+    ``files_per_trigger`` bounds a commit, however long the backlog is. A stream is known
+    by its checkpoint: what a new checkpoint reads is posted anew.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-    lines = B.identify(reader.text(source))
+    lines = reader.text(source).select(F.col("_metadata.file_path").alias("file_path"), "value")
 
     def run(df: DataFrame, epoch: int) -> None:
-        apply_batch(store, df, epoch + 1)
+        apply_batch(store, df, checkpoint, epoch)
 
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     if available_now:

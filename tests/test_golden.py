@@ -1,4 +1,4 @@
-"""One incident worked out by hand: five services, 36 logs, 60 metric points, one scenario."""
+"""The small incident through evidence, detection and look-ups, and rules of stored rows."""
 
 from datetime import datetime, timedelta
 
@@ -8,40 +8,21 @@ from pyspark.sql import functions as F
 from faultline.operators import detect, evidence, keyed, lookup
 from faultline.plans import ingest, observe
 from faultline.plans import investigate as inv
+from tests import incident as I
 from tests.conftest import rows
 
-BASE = datetime(2026, 6, 26, 9, 45)
-NAMES = ("rec", "chat", "inventory", "payment", "image")
-LATENCY = (420.0, 530.0, 880.0, 1260.0, 1710.0, 2130.0)
-ERRORS = (0.01, 0.015, 0.03, 0.08, 0.13, 0.18)
-
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    logs, metrics = [], []
-    for s, _ in enumerate(NAMES):
-        for i in range(6):
-            at = BASE + timedelta(seconds=45 * i + 7 * s)
-            logs.append((f"n{s}{i}", s, at, "info", "ok", "{}"))
-            for name, unit, values, calm in (
-                ("p95_latency_ms", "ms", LATENCY, 120.0),
-                ("http_error_rate", "ratio", ERRORS, 0.002),
-            ):
-                value = values[i] if s == 0 else calm
-                metrics.append((f"{name}{s}{i}", s, BASE + timedelta(seconds=120 * i), name, unit, value))
-    for i, offset in enumerate((210, 360, 510, 660, 780, 870)):
-        level = "warn" if i < 2 else "error"
-        logs.append((f"x{i}", 0, BASE + timedelta(seconds=offset), level, "feature store", "{}"))
+    make = spark.createDataFrame
+    logs = [(k, s, I.at(clock), level, "m", "{}") for k, s, clock, level in I.LOGS]
+    metrics = [(k, s, I.at(clock), name, unit, value) for k, s, clock, name, unit, value in I.METRICS]
     deployments = [
-        (f"d{s}", s, f"v{s}", "c", "bot", "production", "succeeded", datetime(2026, 6, 26, 9, 42) - timedelta(minutes=8 * s), "{}")
-        for s, _ in enumerate(NAMES)
+        (k, s, version, "c", "bot", "production", "succeeded", I.at(clock), "{}") for k, s, version, clock in I.DEPLOYMENTS
     ]
-    incident = [
-        ("i1", 0, "latency spike", "sev2", "detected", datetime(2026, 6, 26, 9, 58), datetime(2026, 6, 26, 9, 47), "p95 high", None, "{}")
-    ]
-    make = spark.createDataFrame
+    incident = [("i1", 1, "slow", "sev2", "detected", I.at(I.DETECTED), I.at(I.STARTED), "p95 high", None, "{}")]
     return {
-        "services": make([(s, n) for s, n in enumerate(NAMES)], "id int, name string"),
+        "services": make(I.SERVICES, "id int, name string"),
         "logs": make(logs, "id string, service_id int, timestamp timestamp_ntz, level string, message string, attributes string"),
         "metrics": make(metrics, "id string, service_id int, timestamp timestamp_ntz, metric_name string, unit string, metric_value double"),
         "deployments": make(
@@ -59,48 +40,35 @@ def tables(spark):
 
 def test_window(tables):
     span = rows(evidence.incident_spans(tables["incidents"]))[0]
-    assert span["opens"] == datetime(2026, 6, 26, 9, 17) and span["closes"] == datetime(2026, 6, 26, 10, 13)
+    assert span["opens"] == I.at("13:35:00") and span["closes"] == I.at("14:35:00")
 
 
-def test_logs(tables):
-    assert tables["logs"].count() == 36
+def test_both_ends_of_the_window_count(tables):
     got = rows(evidence.incident_logs(tables["incidents"], tables["logs"]).orderBy("rank"))
-    assert len(got) == 12
-    assert got[0]["timestamp"] == BASE and got[-1]["timestamp"] == datetime(2026, 6, 26, 9, 59, 30)
-    assert [r["rank"] for r in got] == list(range(1, 13))
-
-
-def test_both_ends_of_the_window_count(spark, tables):
-    edge = [datetime(2026, 6, 26, 9, 17), datetime(2026, 6, 26, 10, 13)]
-    step = timedelta(microseconds=1)
-    times = [edge[0] - step, edge[0], edge[1], edge[1] + step]
-    logs = spark.createDataFrame(
-        [(f"e{i}", 0, t, "info", "m", "{}") for i, t in enumerate(times)], tables["logs"].schema
-    )
-    got = evidence.incident_logs(tables["incidents"], logs).orderBy("rank").collect()
-    assert [r["id"] for r in got] == ["e1", "e2"]
+    assert [(r["id"], r["rank"]) for r in got] == [("l2", 1), ("l3", 2), ("l4", 3), ("l5", 4), ("l6", 5)]
 
 
 def test_metrics(tables):
     got = {r["metric_name"]: r for r in rows(evidence.incident_metric_summary(tables["incidents"], tables["metrics"]))}
-    latency, errors = got["p95_latency_ms"], got["http_error_rate"]
-    assert (latency["min"], latency["max"], latency["avg"], latency["samples"]) == (420.0, 2130.0, 1155.0, 6)
-    assert (errors["min"], errors["max"], round(errors["avg"], 7), errors["samples"]) == (0.01, 0.18, 0.0741667, 6)
+    assert {n: (r["min"], r["max"], r["avg"], r["samples"]) for n, r in got.items()} == {
+        "p95_latency_ms": (300.0, 2400.0, 1400.0, 3),
+        "http_error_rate": (0.25, 0.5, 0.375, 2),
+    }
 
 
 def test_deployments(tables):
-    got = rows(evidence.incident_deployments(tables["incidents"], tables["deployments"]))
-    assert [(r["version"], r["deployed_at"]) for r in got] == [("v0", datetime(2026, 6, 26, 9, 42))]
+    got = rows(evidence.incident_deployments(tables["incidents"], tables["deployments"]).orderBy("rank"))
+    assert [(r["version"], r["deployed_at"]) for r in got] == [("v7", I.at("13:50:00")), ("v6", I.at("10:00:00"))]
     last = rows(evidence.last_deployment_before(tables["incidents"], tables["deployments"]))[0]
-    assert (last["deployment_id"], last["gap_seconds"]) == ("d0", 300.0)
+    assert (last["deployment_id"], last["gap_seconds"]) == ("d1", 900.0)
 
 
 def test_signals(tables):
     signals = detect.service_signals(tables["services"], tables["metrics"], tables["logs"])
-    got = {r["service_name"]: r for r in rows(signals)}
-    assert (got["rec"]["max_latency"], got["rec"]["errors"], got["rec"]["fanout_errors"]) == (2130.0, 4, 24)
-    assert len(got) == 5 and got["chat"]["errors"] == 0
-    assert [r["service_name"] for r in rows(detect.detect_incidents(signals))] == ["rec"]
+    got = {r["service_name"]: (r["max_latency"], r["errors"], r["fanout_errors"]) for r in rows(signals)}
+    # Three errors beside four latencies of the cart.
+    assert got["cart"] == (2400.0, 3, 12) and got["mail"][:2] == (1900.0, 0) and got["feed"][:2] == (200.0, 1)
+    assert [r["service_name"] for r in rows(detect.detect_incidents(signals))] == ["cart"]
 
 
 def test_detection_boundary(spark):
@@ -183,19 +151,17 @@ def test_log_search_filters(tables):
     def found(**filters):
         return lookup.log_search(tables["logs"], tables["services"], **filters)
 
-    assert found().count() == 36
-    assert found(service="", level="", start="", end="").count() == 36
+    assert found().count() == found(service="", level="", start="", end="").count() == 9
     assert found(limit=0).count() == 0
-    assert found(service="rec", level="error").count() == 4
-    assert found(start="2026-06-26 09:59:30").count() == 1
-    assert found(end="2026-06-26 09:45:00").count() == 1
-    times = [r["timestamp"] for r in found(limit=10).collect()]
-    assert times == sorted(times, reverse=True) and len(times) == 10
+    assert sorted(r["id"] for r in found(service="cart", level="error").collect()) == ["l4", "l5", "l6"]
+    assert sorted(r["id"] for r in found(start="2025-03-04 14:35:00").collect()) == ["l6", "l7"]
+    assert sorted(r["id"] for r in found(end="2025-03-04 13:35:00").collect()) == ["l1", "l2"]
+    assert [r["id"] for r in found(limit=3).collect()] == ["l7", "l6", "l5"]
 
 
 def test_log_search_is_capped_at_500(spark, tables):
     many = spark.range(700).select(
-        F.concat(F.lit("m"), "id").alias("id"), F.lit(0).alias("service_id"),
+        F.concat(F.lit("m"), "id").alias("id"), F.lit(1).alias("service_id"),
         F.lit("2026-01-01 00:00:00").cast("timestamp_ntz").alias("timestamp"),
         F.lit("info").alias("level"), F.lit("m").alias("message"), F.lit("{}").alias("attributes"),
     )

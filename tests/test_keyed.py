@@ -121,14 +121,19 @@ def test_runbook_policies(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_large_look_ups_are_salted_with_the_same_result(spark, how):
+def test_large_look_ups_are_salted_with_the_same_result(spark, how, monkeypatch):
+    monkeypatch.setattr(session, "HOT_ROWS", 500)
     facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
     dim = spark.range(0, 40).select(F.col("id").cast("long").alias("k"), (F.col("id") * 2).alias("v"))
     small = session.lookup_join(facts, dim, ["k"], how, spread=["id"])
     large = session.lookup_join(facts, dim, ["k"], how, spread=["id"], rows=3)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     plan = large._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan and "strategy=broadcast" not in plan
+    assert "_salt" in plan
+    monkeypatch.setattr(session, "HOT_ROWS", 5000)
+    plain = session.lookup_join(facts, dim, ["k"], how, spread=["id"], rows=3)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, plain.collect()))
+    assert "_salt" not in plain._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_hot_facts_spread_over_many_salts(spark):
@@ -167,13 +172,13 @@ def test_store_shows_committed_versions_only(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
     assert store.last_version() == 0 and store.rewritten("services") is None
     one, two = spark.range(1), spark.range(2)
-    store.commit(1, {"services": one}, {"log_entries": one})
-    store.commit(2, {}, {"log_entries": two})
+    store.commit("posts", 1, {"services": one}, {"log_entries": one})
+    store.commit("posts", 2, {}, {"log_entries": two})
     assert store.rewritten("services").count() == 1 and store.appended("log_entries").count() == 3
-    two.write.parquet(str(tmp_path / "store" / "services" / "version=3"))
-    two.write.parquet(str(tmp_path / "store" / "log_entries" / "batch=3"))
+    two.write.parquet(str(tmp_path / "store" / "services" / "version=000000000003-x"))
+    two.write.parquet(str(tmp_path / "store" / "log_entries" / "batch=000000000003-x"))
     assert store.rewritten("services").count() == 1 and store.appended("log_entries").count() == 3
-    store.commit(3, {"services": two}, {"log_entries": one})  # the retry overwrites what a crash left
+    store.commit("posts", 3, {"services": two}, {"log_entries": one})  # what a crash left stays unseen
     assert store.rewritten("services").count() == 2 and store.appended("log_entries").count() == 4
 
 
@@ -210,7 +215,7 @@ def test_facts_are_stored_by_day_and_read_by_day(spark, tmp_path):
         typed(spark, {**FULL, "logs": [LOG, {**LOG, "timestamp": "2026-06-27T01:00:00Z"}]}),
     )
     rewritten, _, _ = ingest.ingest(empty(spark), typed(spark, FULL))
-    store.commit(1, rewritten, appended)
+    store.commit("posts", 1, rewritten, appended)
     logs = store.appended("log_entries")
     found = lookup.log_search(logs, store.rewritten("services"), start="2026-06-27 00:00:00")
     assert [r["timestamp"] for r in found.collect()] == [datetime(2026, 6, 27, 1)]

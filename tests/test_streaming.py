@@ -51,11 +51,49 @@ def test_later_files_and_replays(spark, tmp_path):
     assert [r["runtime"] for r in rows(store.rewritten("services"))] == ["z"]
 
     version = store.last_version()
-    raw = B.read_raw(spark, str(source / "b.json"))
-    stream.apply_batch(store, raw, version)  # a replay of a committed trigger
+    lines = spark.read.text(str(source / "b.json")).selectExpr("_metadata.file_path AS file_path", "value")
+    stream.apply_batch(store, lines, checkpoint, 1)  # a replay of a committed trigger
     assert store.last_version() == version and store.appended("log_entries").count() == 3
 
 
+def test_other_streams_and_checkpoints_lose_nothing(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    for name, count in (("one", 1), ("two", 3)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text(json.dumps({**BATCH, "logs": [LOG] * count}))
+        run(spark, tmp_path / name, store, str(tmp_path / f"checkpoint-{name}"))
+    assert store.appended("log_entries").count() == 4
+    # A new checkpoint over the same folder posts its batches again.
+    run(spark, tmp_path / "two", store, str(tmp_path / "checkpoint-new"))
+    assert store.appended("log_entries").count() == 7
+    # What an aborted attempt has left is not seen.
+    store.appended("log_entries").limit(1).drop("day").write.parquet(f"{store.root}/log_entries/batch=000000000099-x/day=2024-01-01")
+    assert store.appended("log_entries").count() == 7
+
+
+def test_equal_lines_are_batches_of_their_own(spark, tmp_path):
+    source = tmp_path / "posted"
+    source.mkdir()
+    line = json.dumps({**BATCH, "logs": [LOG]})
+    (source / "a.json").write_text("\n".join([line, line, line]))
+    store = TableStore(spark, str(tmp_path / "store"))
+    run(spark, source, store, str(tmp_path / "checkpoint"))
+    logs = store.appended("log_entries")
+    assert logs.count() == 3 and logs.select("id").distinct().count() == 3
+
+
+def test_old_versions_go_and_untouched_tables_stay(spark, tmp_path):
+    source = tmp_path / "posted"
+    source.mkdir()
+    store = TableStore(spark, str(tmp_path / "store"))
+    for k in range(5):
+        (source / f"{k}.json").write_text(json.dumps({**BATCH, "services": [{**SERVICE, "runtime": f"r{k}"}]}))
+        run(spark, source, store, str(tmp_path / "checkpoint"))
+    assert len(list((tmp_path / "store" / "services").glob("version=*"))) == 3
+    assert [r["runtime"] for r in rows(store.rewritten("services"))] == ["r4"]
+    assert store.rewritten("deployments") is None
+
+
 def test_windows_equal_a_batch_group_by(spark, sf, tmp_path):
     posts = tmp_path / "signals"
     e = spark.read.parquet(f"{sf}/events.parquet")

@@ -15,69 +15,18 @@ from faultline.sources import batches as B
 from faultline.sources.tables import TableStore
 from tests.conftest import rows
 from tests.test_contract import REPORT
-from tests.test_golden import ERRORS, LATENCY, NAMES
+from tests.incident import posted
 
-DAY = "2026-06-26T"
 TITLES = [
     "query_logs", "query_metrics", "get_deployments", "search_runbooks",
     "Build structured investigation prompt", "Investigation report",
 ]
 
 
-def snapshot():
-    """Five services, five deployments, 36 logs, 60 metric points, one incident."""
-    batch = {"generatedAt": f"{DAY}10:30:00.000Z", "services": [], "deployments": [], "logs": [], "metrics": []}
-
-    def clock(seconds):
-        return f"{DAY}{9 + (45 * 60 + seconds) // 3600:02d}:{(45 + seconds // 60) % 60:02d}:{seconds % 60:02d}.000Z"
-
-    for s, name in enumerate(NAMES):
-        batch["services"].append(
-            dict(name=name, displayName=name, description="d", ownerTeam="t", runtime="go", criticality="high")
-        )
-        batch["deployments"].append(
-            dict(
-                serviceName=name, version=f"{name}-1", commitSha="c", deployedBy="bot", environment="production",
-                status="succeeded", deployedAt=f"{DAY}{'09:42' if s == 0 else '09:10'}:00.000Z",
-                metadata={"risk": "low"},
-            )
-        )
-        for i in range(6):
-            batch["logs"].append(
-                dict(
-                    serviceName=name, deploymentVersion=f"{name}-1", timestamp=clock(45 * i + 7 * s), level="info",
-                    message="completed", attributes={"latencyMs": 120 + i, "synthetic": True, "endpoint": "/v1"},
-                )
-            )
-            for metric, unit, values in (("p95_latency_ms", "ms", LATENCY), ("http_error_rate", "ratio", ERRORS)):
-                batch["metrics"].append(
-                    dict(
-                        serviceName=name, timestamp=clock(120 * i), metricName=metric, unit=unit,
-                        metricValue=values[i] if s == 0 else values[0] / 10,
-                    )
-                )
-    for i, offset in enumerate((210, 360, 510, 660, 780, 870)):
-        batch["logs"].append(
-            dict(
-                serviceName="rec", timestamp=clock(offset), level="warn" if i < 2 else "error",
-                message="feature store timeout", attributes={"retryCount": i},
-            )
-        )
-    batch["incidents"] = [
-        dict(
-            id="rec-latency", title="Latency spike after deployment", serviceName="rec", severity="sev2",
-            startedAt=f"{DAY}09:47:00.000Z", detectedAt=f"{DAY}09:58:00.000Z",
-            detectionReason="p95 latency exceeded 1200ms", suspectedRootCause="timeout change",
-            affectedSignals=["p95_latency_ms"],
-        )
-    ]
-    return batch
-
-
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("workflow")
-    (folder / "posted.json").write_text(json.dumps(snapshot()))
+    (folder / "posted.json").write_text(json.dumps(posted()))
     raw = B.read_raw(spark, str(folder / "posted.json"))
     assert B.contract_violations(raw).count() == 0
     empty = {
@@ -86,20 +35,20 @@ def tables(spark, tmp_path_factory):
         "incidents": spark.createDataFrame([], ingest.INCIDENTS),
     }
     rewritten, appended, summary = ingest.ingest(empty, B.parse(raw))
-    assert rows(summary) == [{"insertedLogs": 36, "insertedMetrics": 60, "incidents": 1}]
+    assert rows(summary) == [{"insertedLogs": 9, "insertedMetrics": 8, "incidents": 1}]
     store = TableStore(spark, str(folder / "store"))
-    store.commit(1, rewritten, appended)
+    store.commit("posts", 1, rewritten, appended)
     named = ("services", "deployments", "incidents")
     stored = {name: store.rewritten(name) for name in named}
     stored |= {name: store.appended(name) for name in ("log_entries", "metric_points")}
     books = spark.createDataFrame(
         [
-            ("r1", "Latency Runbook", "rec-latency", "Symptoms: p95 latency above 1200ms.\nDiagnosis: inspect timeout."),
+            ("r1", "Latency Runbook", "cart-latency", "Symptoms: p95 latency above 1200ms.\nDiagnosis: inspect timeout."),
             ("r2", "Payments", "pay", "Check gateway response codes."),
         ],
         "id string, title string, slug string, body string",
     )
-    rec = stored["services"].filter("name = 'rec'").first()["id"]
+    rec = stored["services"].filter("name = 'cart'").first()["id"]
     stored["runbooks"] = books.withColumn("service_id", F.when(F.col("id") == "r1", rec))
     chunks, counts = runbooks.ingest_runbooks(stored["runbooks"], stored["services"])
     assert rows(counts) == [{"runbooks": 2, "chunks": 3}]
@@ -129,19 +78,19 @@ def test_stored_tables_are_sound(tables):
 
 def test_detection_on_stored_tables(tables):
     signals = detect.service_signals(tables["services"], tables["metric_points"], tables["log_entries"])
-    assert [(r["service_name"], r["errors"]) for r in rows(detect.detect_incidents(signals))] == [("rec", 4)]
+    assert [(r["service_name"], r["errors"]) for r in rows(detect.detect_incidents(signals))] == [("cart", 3)]
 
 
 def test_bundle(bundle):
     got = rows(bundle.drop("logs"))[0]
     times = [r["timestamp"] for r in bundle.select(F.explode("logs").alias("l")).select("l.*").collect()]
-    assert len(times) == 12 and times == sorted(times)
+    assert len(times) == 5 and times == sorted(times)
     assert [m["metricName"] for m in got["metrics"]] == ["http_error_rate", "p95_latency_ms"]
-    assert got["metrics"][1]["max"] == 2130.0 and got["metrics"][1]["samples"] == 6
-    assert [d["version"] for d in got["deployments"]] == ["rec-1"]
-    assert sorted(r["slug"] for r in got["runbooks"]) == ["pay", "rec-latency", "rec-latency"]
-    assert got["runbooks"][0]["slug"] == "rec-latency"
-    assert got["incident"]["metadata"]["scenarioId"] == "rec-latency"
+    assert got["metrics"][1]["max"] == 2400.0 and got["metrics"][1]["samples"] == 3
+    assert [d["version"] for d in got["deployments"]] == ["v7", "v6"]
+    assert sorted(r["slug"] for r in got["runbooks"]) == ["cart-latency", "cart-latency", "pay"]
+    assert got["runbooks"][0]["slug"] == "cart-latency"
+    assert got["incident"]["metadata"]["scenarioId"] == "cart-slow"
 
 
 def test_prompt(bundle):
@@ -155,8 +104,8 @@ def test_prompt(bundle):
     ]
     assert body["requiredToolSequenceAlreadyCompleted"] == TITLES[:4]
     assert list(body["outputSchema"]) == list(REPORT)
-    assert body["relevantLogs"][0]["attributes"] == {"endpoint": "/v1", "latencyMs": 120, "synthetic": True}
-    assert body["deploymentHistory"][0]["metadata"] == {"risk": "low"}
+    assert body["relevantLogs"][0]["attributes"] == {"place": "l2", "n": 1}
+    assert body["deploymentHistory"][0]["metadata"] == {"change": "v7"}
     assert list(body["retrievedRunbookExcerpts"][0]) == ["chunkId", "title", "slug", "content", "score"]
 
 
@@ -169,6 +118,8 @@ def investigate(bundle, answer, failures=None):
     prompts = inv.build_prompts(bundle).join(done, "incident_id").withColumnRenamed("tools_at", "created_at")
 
     def model(batch: pd.DataFrame, temperature: float, max_tokens: int) -> pd.Series:
+        if answer is None:
+            raise ConnectionError("model is offline")
         return pd.Series([answer] * len(batch))
 
     answers = inv.batch_generate(prompts, model).join(done, "incident_id")
@@ -213,7 +164,7 @@ def test_a_good_answer_is_stored_and_read_back(tables, bundle):
     assert [r["title"] for r in inv.steps_list(steps).collect()] == TITLES
     detail = inv.investigation_detail(investigations, tables["incidents"], tables["services"], calls, steps)
     report = rows(inv.investigation_report(detail))[0]
-    assert (report["status"], report["service_name"], report["confidence"]) == ("completed", "rec", 0.88)
+    assert (report["status"], report["service_name"], report["confidence"]) == ("completed", "cart", 0.88)
     assert report["evidence"] == REPORT["evidence"]
     assert report["generated_at"] == datetime(2026, 6, 26, 10, 0, 0, 600_000)
     assert [set(c) for c in report["supporting_tool_calls"]] == [{"tool_name", "status", "latency_ms", "created_at"}] * 4
@@ -229,7 +180,7 @@ def test_a_good_answer_is_stored_and_read_back(tables, bundle):
 def test_the_template_answer_is_a_valid_report(bundle):
     checked = rows(inv.validate_reports(inv.template_report(bundle)))[0]
     assert checked["reasons"] == [] and len(checked["report"]["evidence"]) == 4
-    assert checked["report"]["citedRunbooks"][0]["slug"] == "rec-latency"
+    assert checked["report"]["citedRunbooks"][0]["slug"] == "cart-latency"
 
 
 def test_an_invalid_answer_fails_the_investigation(tables, bundle):
@@ -255,4 +206,33 @@ def test_a_failed_tool_ends_the_investigation(spark, bundle):
     assert (state["status"], state["summary"]) == ("failed", "store is down")
     spans = {r["name"]: r for r in rows(observe.tool_spans(calls))}
     assert spans["query_metrics"]["level"] == "ERROR" and spans["query_metrics"]["result_count"] is None
-    assert spans["query_logs"]["result_count"] == 12
+    assert spans["query_logs"]["result_count"] == 5
+
+
+def test_a_failed_model_call_is_a_row(tables, bundle):
+    calls, checked, steps, investigations = investigate(bundle, None)
+    assert [r["title"] for r in inv.steps_list(steps).collect()] == TITLES[:5]
+    state = rows(investigations)[0]
+    assert (state["status"], state["summary"], state["latency_ms"]) == ("failed", "model is offline", None)
+    generation = rows(observe.generation_rows(checked))[0]
+    assert (generation["output"], generation["level"]) == (None, "ERROR")
+    assert generation["status_message"] == "model is offline" and not generation["structured_output_success"]
+    assert checked.first()["error_name"] == "ConnectionError" and checked.first()["parser_error"] is None
+
+
+def test_an_error_is_that_of_its_own_prompt(spark):
+    prompts = spark.createDataFrame([(i, str(i)) for i in range(40)], "incident_id long, prompt_text string").coalesce(1)
+
+    def model(batch: pd.DataFrame, temperature: float, max_tokens: int) -> pd.Series:
+        return batch["prompt_text"].map(lambda text: f"answer {6 // (int(text) % 7)}")
+
+    got = {r["incident_id"]: r for r in rows(inv.batch_generate(prompts, model))}
+    assert {i for i, r in got.items() if r["error_name"]} == {0, 7, 14, 21, 28, 35}
+    assert all((r["response"] is None) == (r["error_name"] == "ZeroDivisionError") for r in got.values())
+    assert got[3]["response"] == "answer 2" and got[7]["error_message"]
+
+
+def test_the_quote_of_a_template_answer_is_the_whole_passage(bundle):
+    passage = bundle.first()["runbooks"][0]["content"]
+    made = json.loads(rows(inv.template_report(bundle))[0]["response"])
+    assert made["citedRunbooks"][0]["quote"] == passage
