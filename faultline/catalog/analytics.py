@@ -10,7 +10,7 @@ from faultline.catalog.sqltext import sql
 from faultline.functions import embedding, text
 from faultline.operators import detect, evidence, lookup, search
 from faultline.plans import ingest, runbooks
-from faultline.session import spread
+from faultline.session import materialize, spread
 from faultline.sources import adapters as A
 
 # --- look-ups -------------------------------------------------------------------------
@@ -148,6 +148,38 @@ ranked AS (SELECT substr(q, 2) AS question, substr(i, 2) AS chunk_id, score, row
 SELECT incident_id, rank, chunk_id, 'doc-' || split_part(chunk_id, '#', 1) AS slug, round(score, 6) AS score
 FROM asked JOIN ranked USING (question) WHERE rank <= 5""")
 
+
+
+@ws.stored("embedded_chunks")
+def _embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table after an ingest; those of every seventh runbook have no vector yet."""
+    chunks, _ = runbooks.ingest_runbooks(A.runbooks(spark, sf_dir), A.services(spark, sf_dir))
+    return chunks.withColumn("embedding", F.when(F.col("runbook_id") % 7 != 0, F.col("embedding")))
+
+
+def search_stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = runbooks.incident_queries(A.incidents(spark, sf_dir), A.services(spark, sf_dir))
+    found = runbooks.search_stored_chunks(
+        asked, _embedded_chunks(spark, sf_dir), A.runbooks(spark, sf_dir), A.services(spark, sf_dir)
+    )
+    return found.select(F.md5("text").alias("question"), "rank", "chunk_id", "slug", F.round("score", 6).alias("score"))
+
+
+# Vectors as they are stored: 8 decimals, then single precision.
+STORED_SQL = sql(f"""
+, asked AS (SELECT DISTINCT i.title || ' ' || i.detection_reason || ' ' || s.name AS question
+    FROM m_incidents i JOIN m_services s ON s.id = i.service_id),
+texts AS (SELECT 'q' || question AS k, question AS t FROM asked
+    UNION ALL SELECT 'i' || runbook_id || '#' || chunk_index, content FROM m_chunks WHERE runbook_id % 7 <> 0),
+{BUCKETS.replace("counts", "counted").replace("norms", "lengths")},
+counts AS (SELECT k, bucket, CASE WHEN k LIKE 'i%' THEN CAST(CAST(round(n / sqrt(square), 8) AS FLOAT) AS DOUBLE) ELSE n END AS n
+  FROM counted JOIN lengths USING (k)),
+norms AS (SELECT k, sum(n * n) AS square FROM counts GROUP BY 1), {NEAREST},
+ranked AS (SELECT substr(q, 2) AS question, substr(i, 2) AS chunk_id, score, row_number() OVER (
+    PARTITION BY q ORDER BY CASE WHEN score IS NULL THEN 2 ELSE round(1 - score, 6) END, substr(i, 2)) AS rank FROM scored)
+SELECT md5(question) AS question, rank, chunk_id, 'doc-' || split_part(chunk_id, '#', 1) AS slug, round(score, 6) AS score
+FROM ranked WHERE rank <= 5""")
+
 # --- detection ------------------------------------------------------------------------
 
 THRESHOLD = 100.0
@@ -194,28 +226,41 @@ def detection_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detection_outcomes(_signals(spark, sf_dir), THRESHOLD)
 
 
-def detect_with_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rule per metric: half its highest value."""
+@ws.stored("rules")
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule per metric: half its highest value; purchases count warnings as well."""
     metrics = A.metric_points(spark, sf_dir)
-    rules = metrics.groupBy("metric_name").agg((F.max("metric_value") / 2).alias("threshold")).select(
-        F.concat(F.lit("half-"), "metric_name").alias("rule_id"), "metric_name", "threshold"
+    levels = F.when(F.col("metric_name") == "purchase", F.array(F.lit("warn"), F.lit("error"))).otherwise(
+        F.array(F.lit("error"), F.lit("fatal"))
+    )
+    return metrics.groupBy("metric_name").agg((F.max("metric_value") / 2).alias("threshold")).select(
+        F.concat(F.lit("half-"), "metric_name").alias("rule_id"), "metric_name", "threshold", levels.alias("levels")
     )
-    return detect.detect_with_rules(A.services(spark, sf_dir), metrics, A.log_entries(spark, sf_dir), rules)
+
+
+def detect_with_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics, logs = A.metric_points(spark, sf_dir), A.log_entries(spark, sf_dir)
+    return detect.detect_with_rules(A.services(spark, sf_dir), metrics, logs, _rules(spark, sf_dir))
 
 
 def detections_to_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected services as incidents, and how many logs the evidence around each has."""
+    metrics, logs = A.metric_points(spark, sf_dir), A.log_entries(spark, sf_dir)
     found = detect.detect_incidents(_signals(spark, sf_dir), THRESHOLD)
+    found = detect.with_times(found, metrics, logs, metric="view", threshold=THRESHOLD)
     # Scenarios of services whose error count is odd are stored already.
-    at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     shape = ingest.INCIDENTS.replace("service_id string", "service_id long")
     stored = detect.detections_to_incidents(
         found.filter(F.col("errors") % 2 == 1), spark.createDataFrame([], shape),
         F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), metric="view", threshold=THRESHOLD,
     )
-    merged = detect.detections_to_incidents(found, stored, at, metric="view", threshold=THRESHOLD)
-    return merged.select(
-        "id", "scenario_id", "service_id", "title", "severity", "detected_at", "detection_reason",
-        F.array_join("metadata.affectedSignals", ",").alias("signals"),
+    merged = materialize(
+        detect.detections_to_incidents(found, stored, metric="view", threshold=THRESHOLD), "detected"
+    )
+    around = evidence.incident_logs(merged, logs, "1 MINUTE", "1 MINUTE").groupBy("incident_id").agg(F.count("*").alias("logs"))
+    return merged.join(around, F.col("id") == F.col("incident_id"), "left").select(
+        "id", "scenario_id", "service_id", "title", "severity", "started_at", "detected_at", "detection_reason",
+        F.array_join("metadata.affectedSignals", ",").alias("signals"), F.coalesce("logs", F.lit(0)).alias("logs"),
     )
 
 
@@ -345,8 +390,21 @@ def rejected_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_runbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts = runbooks.ingest_runbooks(A.runbooks(spark, sf_dir), A.services(spark, sf_dir))
-    return counts
+    """Every chunk after an ingest over a store that holds half of them with other contents."""
+    old = ws.chunks(spark, sf_dir).filter(F.col("runbook_id") % 2 == 0).withColumns(
+        {"content": F.lit("old"), "embedding": F.lit(None).cast("array<float>")}
+    )
+    after, _ = runbooks.ingest_runbooks(A.runbooks(spark, sf_dir), A.services(spark, sf_dir), old)
+    vector = F.col("embedding")
+    weighed = F.transform(vector, lambda v, i: v.cast("double") * (i + 1))
+    return after.select(
+        "runbook_id",
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.md5("content").alias("content"),
+        F.size(vector).cast("long").alias("dimension"),
+        F.size(F.filter(vector, lambda v: v != 0)).cast("long").alias("buckets"),
+        F.round(F.aggregate(weighed, F.lit(0.0), lambda total, v: total + v), 6).alias("checksum"),
+    )
 
 
 QUERIES = {
@@ -432,18 +490,26 @@ QUERIES = {
         sql("""
             , r AS (SELECT 'half-' || metric_name AS rule_id, metric_name, max(metric_value) / 2 AS threshold FROM m_metrics GROUP BY metric_name),
             p AS (SELECT service_id, metric_name, max(metric_value) AS peak FROM m_metrics GROUP BY ALL),
-            e AS (SELECT service_id, count(*) AS errors FROM m_logs WHERE level IN ('error', 'fatal') GROUP BY 1)
-            SELECT rule_id, service_id, s.name AS service_name, metric_name, threshold, peak, errors
-            FROM p JOIN r USING (metric_name) JOIN e USING (service_id) JOIN m_services s ON s.id = service_id WHERE peak >= threshold"""),
+            e AS (SELECT service_id, level, count(*) AS n FROM m_logs GROUP BY ALL)
+            SELECT rule_id, service_id, s.name AS service_name, metric_name, threshold, peak, CAST(sum(n) AS BIGINT) AS errors
+            FROM p JOIN r USING (metric_name) JOIN e USING (service_id) JOIN m_services s ON s.id = service_id
+            WHERE peak >= threshold AND (CASE WHEN metric_name = 'purchase' THEN level IN ('warn', 'error')
+              ELSE level IN ('error', 'fatal') END) GROUP BY ALL"""),
     ),
     "detections_to_incidents": (
         detections_to_incidents,
         sql(SIGNALS + """
+            , b AS (SELECT service_id, min(timestamp) AS breach FROM m_metrics WHERE metric_name = 'view' AND metric_value >= 100 GROUP BY 1),
+            f AS (SELECT service_id, min(timestamp) AS error FROM m_logs WHERE level IN ('error', 'fatal') GROUP BY 1),
+            d AS (SELECT sig.*, CASE WHEN errors % 2 = 1 THEN TIMESTAMP '2024-01-30' ELSE least(breach, error) END AS started_at,
+                CASE WHEN errors % 2 = 1 THEN TIMESTAMP '2024-01-30' ELSE greatest(breach, error) END AS detected_at
+              FROM sig JOIN b USING (service_id) JOIN f USING (service_id) WHERE max_latency >= 100 AND errors > 0)
             SELECT sha256('incident/threshold-' || service_name) AS id, 'threshold-' || service_name AS scenario_id, service_id,
-              service_name || ' view spike' AS title, 'sev2' AS severity,
-              CASE WHEN errors % 2 = 1 THEN TIMESTAMP '2024-01-30' ELSE TIMESTAMP '2024-01-31' END AS detected_at,
-              service_name || ' view reached 100 with errors logged' AS detection_reason, 'view,error_logs' AS signals
-            FROM sig WHERE max_latency >= 100 AND errors > 0"""),
+              service_name || ' view spike' AS title, 'sev2' AS severity, started_at, detected_at,
+              service_name || ' view reached 100 with errors logged' AS detection_reason, 'view,error_logs' AS signals,
+              least(80, (SELECT count(*) FROM m_logs l WHERE l.service_id = d.service_id
+                AND l.timestamp BETWEEN started_at - INTERVAL 1 MINUTE AND detected_at + INTERVAL 1 MINUTE)) AS logs
+            FROM d"""),
     ),
     "normalize_text": (
         normalize_text,
@@ -479,8 +545,16 @@ QUERIES = {
     "vector_topk": (vector_topk, VECTOR_TOPK_SQL),
     "vector_topk_dense": (vector_topk_dense, DENSE_SQL),
     "rejected_queries": (rejected_queries, "SELECT conv_id, turn FROM conversations WHERE role = 'system' OR text = '' OR text IS NULL"),
+    "search_stored_chunks": (search_stored_chunks, STORED_SQL),
     "ingest_runbooks": (
         ingest_runbooks,
-        sql("SELECT (SELECT count(*) FROM documents) AS runbooks, (SELECT count(*) FROM m_chunks) AS chunks"),
+        sql(f"""
+            , texts AS (SELECT runbook_id || '#' || chunk_index AS k, content AS t FROM m_chunks), {BUCKETS},
+            v AS (SELECT k, count(*) AS buckets,
+                round(sum((bucket + 1) * CAST(CAST(round(n / sqrt(square), 8) AS FLOAT) AS DOUBLE)), 6) AS checksum
+              FROM counts JOIN norms USING (k) GROUP BY k)
+            SELECT runbook_id, chunk_index, md5(content) AS content, CAST(768 AS BIGINT) AS dimension,
+              coalesce(buckets, 0) AS buckets, coalesce(checksum, 0.0) AS checksum
+            FROM m_chunks LEFT JOIN v ON k = runbook_id || '#' || chunk_index"""),
     ),
 }

@@ -31,6 +31,11 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object
     return _built[key]
 
 
+def forget() -> None:
+    """Have every stored table built anew when it is asked for next."""
+    _built.clear()
+
+
 def stored(name: str):
     """Make a table builder write its result once per session and folder."""
 

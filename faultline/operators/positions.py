@@ -22,10 +22,45 @@ from pyspark.sql import functions as F
 from faultline.session import checkpoint, fits_broadcast, materialize
 
 BRANCH = 32
+# Facts are first dropped by slices of time: so many to the widest span, each an hour or more.
+SLICES, SLICE_MICROS = 32, 3_600_000_000
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id()
 _OPEN, _FACT, _CLOSE = 0, 1, 2  # sort order of rows at the same moment: both ends included
 
 
+def _near_spans(facts: DataFrame, spans: DataFrame, key: str, time: str) -> DataFrame:
+    """Facts that may lie in a span, before anything is shuffled.
+
+    The times of all spans together go to the scan. Then spans become (key, slice of time)
+    pairs, a slice being a piece of the widest span but an hour at least, and facts of
+    other pairs are dropped. With spans that have no lower end only the keys count.
+    """
+    seconds = F.unix_micros(F.col("closes").cast("timestamp")) - F.unix_micros(F.col("opens").cast("timestamp"))
+    found = spans.agg(
+        F.count_if(F.col("opens").isNull()).alias("endless"),
+        F.min("opens").alias("low"),
+        F.max("closes").alias("high"),
+        F.max(seconds).alias("widest"),
+    ).first()
+    if found["high"] is None:
+        return facts.filter(F.lit(False))
+    kind = spans.schema["closes"].dataType
+    facts = facts.filter(F.col(time) <= F.lit(found["high"]).cast(kind))
+    if found["endless"]:
+        used = spans.select(key).distinct()
+        return facts.join(F.broadcast(used), key, "left_semi") if fits_broadcast(used) else facts
+    facts = facts.filter(F.col(time) >= F.lit(found["low"]).cast(kind))
+    width = max(SLICE_MICROS, (found["widest"] or 0) // SLICES)
+
+    def slice_of(at: Column) -> Column:
+        return F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(width)).cast("long")
+
+    first, last = slice_of(F.col("opens")), slice_of(F.col("closes"))
+    pairs = spans.filter("opens <= closes").select(key, F.explode(F.sequence(first, last)).alias("_slice")).distinct()
+    pairs = F.broadcast(pairs) if fits_broadcast(pairs) else pairs
+    return facts.withColumn("_slice", slice_of(F.col(time))).join(pairs, [key, "_slice"], "left_semi").drop("_slice")
+
+
 def locate_spans(
     facts: DataFrame, spans: DataFrame, *, key: str, time: str, tie: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -35,10 +70,7 @@ def locate_spans(
     ``opens`` means no lower end. Returns the facts with ``position`` and
     (span_id, first, last) with ``last`` exclusive.
     """
-    facts = facts.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
-    used = spans.select(key).distinct()
-    if fits_broadcast(used):  # drop facts of keys no span asks for before the shuffle
-        facts = facts.join(F.broadcast(used), key, "left_semi")
+    facts = _near_spans(facts.filter(F.col(key).isNotNull() & F.col(time).isNotNull()), spans, key, time)
 
     payload = [c for c in facts.columns if c != key]
     span_type = spans.schema["span_id"].dataType

@@ -9,7 +9,7 @@ from faultline.functions.embedding import embedding_column
 from faultline.functions.text import chunk_text, utf16_length
 from faultline.operators import keyed
 from faultline.operators.lookup import service_names, with_service_name
-from faultline.operators.search import Vectorize, text_vectors, vector_topk
+from faultline.operators.search import Vectorize, dense_vectors, text_vectors, vector_topk
 from faultline.schemas import CHUNK_CHARACTERS, SEARCH_LIMIT
 from faultline.session import lookup_join, materialize, spread
 
@@ -104,6 +104,21 @@ def search_runbooks(
     return attach_passages(materialize(hits, "hits"), chunks, runbooks, services)
 
 
+def search_stored_chunks(
+    queries: DataFrame,
+    chunks: DataFrame,
+    runbooks: DataFrame,
+    services: DataFrame,
+    limit: int = SEARCH_LIMIT,
+) -> DataFrame:
+    """``search_runbooks`` over the vectors that an ingest has stored; chunks without one are skipped."""
+    embedded = chunks.filter(F.col("embedding").isNotNull())
+    return search_runbooks(
+        queries, embedded, runbooks, services, limit,
+        vector="embedding", to_vectors=dense_vectors, to_query_vectors=text_vectors,
+    )
+
+
 def incident_queries(incidents: DataFrame, services: DataFrame) -> DataFrame:
     """Search text of an incident: title, reason and service name."""
     named = with_service_name(incidents, services)

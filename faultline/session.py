@@ -30,6 +30,7 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.checkpoint.compress": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # The last of two equal keys counts, as in the JSON parser of the contract.
         "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.enabled": "false",

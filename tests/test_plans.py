@@ -8,7 +8,7 @@ from faultline.sources import adapters as A
 
 QUERIES = registry()
 PYTHON = {  # whole-batch array arithmetic, or the injected model call
-    "hash_embed", "vector_topk", "vector_topk_dense", "batch_generate",
+    "hash_embed", "vector_topk", "vector_topk_dense", "batch_generate", "ingest_runbooks",
 }
 
 

@@ -118,3 +118,14 @@ def test_all_facts_at_one_moment_of_one_service(spark):
     assert {(r["span_id"], r["samples"]) for r in got} == {(i, 500) for i in range(40)}
     first = P.first_in_span(numbered, where, 3).filter("span_id = 17").orderBy("rank").collect()
     assert [r["id"] for r in first] == [0, 1, 2]
+
+
+def test_only_facts_near_a_span_are_ordered(spark):
+    facts = [(i, i % 3, START + timedelta(hours=i // 3), "a", 1.0) for i in range(3000)]
+    spans = [(k, 1, START + timedelta(hours=h, minutes=-20), START + timedelta(hours=h, minutes=20)) for k, h in enumerate((50, 51, 900))]
+    numbered, where = located(spark, facts, spans)
+    assert numbered.count() <= 8
+    got = {(r["span_id"], r["id"]) for r in P.first_in_span(numbered, where, 5).collect()}
+    assert got == {(0, 151), (1, 154), (2, 2701)}
+    none, _ = located(spark, facts, [])
+    assert none.count() == 0
