@@ -10,12 +10,13 @@ from __future__ import annotations
 import public_tokenizers
 
 from faultline.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
-from faultline.llm.common import table
+from faultline.llm.common import small_batches, table
 from faultline.session import materialize
 
 
 def toxic_out(spark, docs, sf_dir):
     """Documents that score 0.7 or more go. Labels are those of the table beside them."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -26,16 +27,19 @@ def copies_out(spark, docs, sf_dir):
 
 def near_copies_out(spark, docs, sf_dir):
     """Of each component of near-duplicates the document with the smallest id stays."""
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def secrets_masked(spark, docs, sf_dir):
     """Every secret is replaced; a document stays, as all but its secrets is clean."""
+    small_batches(spark)
     return secret_scan.masked(docs)
 
 
 def packed(spark, docs, sf_dir):
     """One row per sequence with its bucket, batch and place."""
+    small_batches(spark)
     return packing.pack(packing.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 

@@ -139,7 +139,7 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, character_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_state(f"word-bpe-{vocabulary_path}", lambda: WordBpe(*sent.value))
+        coder = worker_state(f"word-bpe-{vocabulary_path}", lambda: WordBpe(*sent.value), alone=True)
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Bytes that separate words or are skipped when texts are compared: space and \t \n \v \f \r.
 BLANK = r"[\x20\x09-\x0D]"
+# Texts in a batch of a session that many stages share.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +46,23 @@ def smallest(value: Column) -> Column:
     return F.bitwise_not(value)
 
 
-def worker_state(key: str, make):
-    """What a Python worker keeps between tasks: loaded vocabularies and look-ups."""
-    home = sys.modules.setdefault("_faultline_worker", types.ModuleType("_faultline_worker"))
-    if key not in home.__dict__:
-        setattr(home, key, make())
-    return home.__dict__[key]
+def worker_state(key: str, make, alone: bool = False):
+    """What a Python worker keeps between tasks: loaded vocabularies and look-ups.
+
+    Of the large states, kept ``alone``, a worker has one at a time.
+    """
+    home = sys.modules.setdefault("_faultline_worker", types.ModuleType("_faultline_worker")).__dict__
+    if alone and home.get("large") != key:
+        home.pop(home.get("large"), None)
+        home["large"] = key
+    if key not in home:
+        home[key] = make()
+    return home[key]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand fewer texts to Python at once than Spark's 10,000, as a text may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def gapless(rows: DataFrame, group: str, draw: Column, cells: int, order: list[Column]) -> DataFrame:

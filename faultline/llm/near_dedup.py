@@ -32,7 +32,7 @@ PREFIX = COORDINATES - AGREE + 1
 # Counters of the frequency sketch: one fixed array, whatever the input.
 COUNTERS = 1 << 16
 # Bytes of text worked on at once; rows and bytes of one of the two chunks of a block.
-SLICE, BLOCK, BLOCK_BYTES = 1 << 20, 1024, 16 << 20
+SLICE, BLOCK, BLOCK_BYTES = 1 << 19, 1024, 16 << 20
 
 _fixed = np.random.default_rng(925)
 _STEPS = _fixed.integers(1, 1 << 63, WORDS + 1, dtype=np.uint64) | np.uint64(1)
@@ -53,7 +53,7 @@ def shingle_sets(values: list[str]) -> list[np.ndarray]:
     powers = worker_state("hash-powers", Powers)
     hashed = hashes(data, starts, ends, powers)
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
-    if len(powers.up) > 8 * SLICE:
+    if len(powers.up) > 4 * SLICE:
         powers.grow(1 << 16)  # a giant text leaves no giant tables behind
     total = np.zeros(max(0, len(hashed) - WORDS + 1), dtype=np.uint64)
     for i in range(WORDS):

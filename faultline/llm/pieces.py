@@ -240,6 +240,8 @@ class ArrayEncoder:
         if self.seen.count > KEPT:
             self.seen.clear()
         keys = hashes(layout.data, starts, ends, self.powers) ^ mixed(marks.astype(np.uint64))
+        if len(self.powers.up) > 8 * SLICE:
+            self.powers.grow(1 << 16)  # a giant text leaves no giant tables behind
 
         def new(at: np.ndarray) -> list:
             return self.encode_new(layout.data, starts[at].tolist(), ends[at].tolist(), marks[at].tolist())

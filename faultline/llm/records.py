@@ -173,7 +173,7 @@ def write_records(docs: DataFrame, vocabulary_path: str, folder: str, end_id: in
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, character_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_state(f"byte-bpe-{vocabulary_path}", lambda: ByteEncoder(*sent.value))
+        coder = worker_state(f"byte-bpe-{vocabulary_path}", lambda: ByteEncoder(*sent.value), alone=True)
         writer = Writer(folder, TaskContext.get().partitionId())
         end = np.array([end_id], dtype=coder.kind).tobytes()
         closed = []
