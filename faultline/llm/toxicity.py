@@ -7,8 +7,8 @@ linear support vector machine is trained on the Nyström features of stretches;
 kernel is a product of subsequence counts, the machine with all its landmarks folds into one
 table of weights per subsequence, and whole texts are scored with it by array work. The
 sum of weights over a stretch, divided by the norm of its counts, is the machine's value; a
-text has the largest value of a few stretches with the largest sums. Subsequences with
-fewer than two letters don't count.
+text has the largest value of all its stretches. Subsequences with fewer than two letters
+don't count.
 """
 
 from __future__ import annotations
@@ -38,11 +38,10 @@ GAP, OTHER = 0, 27
 TRAIN_ROWS, LANDMARKS, ROUNDS = 6000, 160, 6
 # Stretches taken of a toxic and of a clean document in each round.
 TAKEN = 2
-# Stretches of a text, by their sums of weights, of which the machine looks at the value.
-LOOKED = 8
 COST, NEWTON = 4.0, 30
 THRESHOLD = 0.7
-SLICE = 1 << 19
+# Characters of texts, and places of stretches, worked on at once.
+SLICE, PLACES = 1 << 19, 1 << 16
 
 OFFSETS = tuple(combinations(range(1, REACH), 2))
 WEIGHTS = tuple(DECAY ** (k - 2) for _, k in OFFSETS)
@@ -88,8 +87,59 @@ def responses(signs: np.ndarray, table: np.ndarray) -> np.ndarray:
     for (j, k), weight in zip(OFFSETS, WEIGHTS):
         code = (wide[:n] << (2 * SIGNS_BITS)) | (wide[j : n + j] << SIGNS_BITS) | wide[k : n + k]
         total += weight * table[code]
-    sums = np.concatenate([[0.0], np.cumsum(total)])
-    return sums[STRETCH:] - sums[:-STRETCH]
+    # Added up place by place: differences of running sums would not be 0 for gaps alone.
+    return sum(total[i : n + 1 - STRETCH + i] for i in range(STRETCH))
+
+
+def _meeting(signs: np.ndarray, n: int, apart: int) -> np.ndarray:
+    """Products of counts, added up where a subsequence from a place and one from ``apart`` on are equal."""
+    at = np.flatnonzero(signs[:n] == signs[apart : n + apart]) if apart else slice(0, n)
+    reach, ones = range(1, REACH), np.uint8
+    one = {k: signs[k : n + k][at] for k in reach}
+    two = {k: signs[apart + k : n + apart + k][at] for k in reach}
+    letter = (signs[:n][at] != GAP).view(ones)
+    letters = {k: (one[k] != GAP).view(ones) for k in reach}
+    zero = np.zeros(len(letter), dtype=ones)
+    # Of each pair of third signs, the pairs of second signs before it that are equal: letters, and all.
+    before = {(k, m): (zero, zero) for k in range(REACH) for m in range(REACH) if not k or not m}
+    total: dict[int, np.ndarray] = {}
+    for k in reach:
+        for m in reach:
+            same = (one[k] == two[m]).view(ones)
+            least, most = before[k - 1, m - 1]
+            if k > 1 and m > 1:
+                # With one letter in first and third sign the second needs none, else it is one.
+                both = letter & letters[k]
+                fit = (least * (letter ^ letters[k]) + most * both) * same
+                total[k + m] = total[k + m] + fit if k + m in total else fit
+            up, left = before[k - 1, m], before[k, m - 1]
+            before[k, m] = (up[0] + left[0] - least + (same & letters[k]), up[1] + left[1] - most + same)
+    met = np.zeros(len(letter))
+    for ends, count in total.items():
+        met += DECAY ** (ends - 4) * count
+    if not apart:
+        return met
+    found = np.zeros(n)
+    found[at] = met
+    return found
+
+
+def all_norms(signs: np.ndarray) -> np.ndarray:
+    """Lengths of the counts of the stretch from each place on, as ``norms`` has them."""
+    n = len(signs) - REACH
+    out = np.empty(n + 1 - STRETCH)
+    for first in range(0, len(out), PLACES):
+        size = min(PLACES, len(out) - first)
+        some = signs[first : first + size + STRETCH + REACH - 1]
+        inside = size + STRETCH - 1
+        # Of each place, the products with those up to ``apart`` places on.
+        reached, squares = np.zeros(inside), np.zeros(size)
+        for apart in range(STRETCH):
+            met = _meeting(some, inside - apart, apart)
+            reached[: inside - apart] += 2 * met if apart else met
+            squares += reached[STRETCH - 1 - apart : STRETCH - 1 - apart + size]
+        out[first : first + size] = np.sqrt(squares)
+    return out + 1e-12
 
 
 def _counting() -> np.ndarray:
@@ -133,27 +183,25 @@ def best_stretches(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``taken`` stretches of each text with the largest values: text, value, signs.
 
-    Of each text the LOOKED ones with the largest sums, apart from each other, are valued.
+    Every stretch is valued. The first is the best of the text, each further one the best of
+    those that overlap none before.
     """
     signs, starts, ends = signs_of(values)
-    sums = responses(signs, table)
+    level = responses(signs, np.where(worker_state("toxicity-counting", _counting), table, 0.0))
+    level /= all_norms(signs)
     of, places = [], []
     for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-        level = sums[a:b].copy()
-        for _ in range(LOOKED):
-            at = int(np.argmax(level))
-            if level[at] == -np.inf:
+        mine = level[a:b]
+        for _ in range(taken):
+            at = int(np.argmax(mine))
+            if mine[at] == -np.inf:
                 break
             of.append(i)
             places.append(a + at)
-            level[max(0, at - STRETCH) : at + STRETCH] = -np.inf
+            mine[max(0, at - STRETCH) : at + STRETCH] = -np.inf
     of = np.array(of, dtype=np.int64)
     rows = signs[np.array(places, dtype=np.int64)[:, None] + np.arange(STRETCH + REACH - 1)]
-    found = decisions(rows, table, offset)
-    order = np.lexsort((-found, of))
-    rank = np.arange(len(of)) - np.searchsorted(of, of)
-    order = order[rank < taken]
-    return of[order], found[order], rows[order]
+    return of, decisions(rows, table, offset), rows
 
 
 def sliced(values: list[str]) -> Iterator[tuple[int, int]]:

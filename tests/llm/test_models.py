@@ -275,6 +275,29 @@ def test_toxic_documents_and_inserted_characters(spark):
     assert {r["score"] for r in listed(toxicity.score(odd(spark), flat))} == {0.5}
 
 
+def test_every_stretch_is_valued(monkeypatch):
+    monkeypatch.setattr(toxicity, "PLACES", 500, raising=False)
+    rng = np.random.default_rng(5)
+    wide = toxicity.STRETCH + toxicity.REACH - 1
+    word = lambda: "".join(rng.choice(list("abcdeiot"), rng.integers(1, 9)))
+    long = [" ".join(word() for _ in range(n)) for n in (3, 400, 1500)]
+    insult = toxicity.signs_of(["i d i o t"])[0][:wide]
+    codes, counts = toxicity.stretch_counts(insult[None])
+    table = np.zeros(toxicity.CODES)
+    np.add.at(table, codes[0], counts[0])
+    table[toxicity.signs_of(["aaa"])[0][1:4].astype(int) @ (1 << 10, 1 << 5, 1)] = 0.5
+    # Runs of one sign have larger sums and smaller values than the one insult between them.
+    runs = " ".join(["a" * 40] * 30)
+    hidden = f"{runs} i d i o t {runs}"
+    for values, weights in (([*long, "", "  "], rng.normal(size=toxicity.CODES)), ([hidden, *long], table)):
+        of, found, _ = toxicity.best_stretches(values, weights, 0.25, 1)
+        assert of.tolist() == list(range(len(values)))
+        for i, value in enumerate(values):
+            signs, (start,), (end,) = toxicity.signs_of([value])
+            every = np.lib.stride_tricks.sliding_window_view(signs, wide)[start:end]
+            assert abs(found[i] - toxicity.decisions(every, weights, 0.25).max()) < 1e-9
+
+
 def test_labels_of_held_out_documents_are_not_read(spark):
     docs, labels = toxic_documents()
     frame = spark.createDataFrame(docs[:300], "doc_id long, text string")
