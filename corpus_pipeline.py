@@ -26,9 +26,9 @@ def copies_out(spark, docs, sf_dir):
 
 
 def near_copies_out(spark, docs, sf_dir):
-    """Of each component of near-duplicates the document with the smallest id stays."""
+    """Of each component of near-duplicates, from a similarity of 0.8 on, the smallest id stays."""
     small_batches(spark)
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, percent=80)
 
 
 def secrets_masked(spark, docs, sf_dir):

@@ -9,6 +9,7 @@ may still matter are counted over the whole signature, and who passes is compare
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,8 @@ from faultline.session import lookup_join, materialize
 WORDS = 5
 PERCENT = 85
 COORDINATES = 64
-# Of the coordinates, those that a pair must agree in. At a similarity of 0.85, 54.4 agree
-# on average; fewer than 40 in 1 of 400,000 pairs.
-AGREE = 40
-PREFIX = COORDINATES - AGREE + 1
+# The chance at most with which a pair at the limit itself is missed.
+MISS = 2.5e-6
 # Counters of the frequency sketch: one fixed array, whatever the input.
 COUNTERS = 1 << 16
 # Bytes of text worked on at once; rows and bytes of one of the two chunks of a block.
@@ -40,6 +39,24 @@ _FLIPS = _fixed.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _TIMES = _fixed.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 
 
+def agreement(percent: int) -> int:
+    """Of the coordinates, those that a pair must agree in: as many as ``MISS`` allows.
+
+    The number that agree has a binomial law; at 85 percent 40 have to, at 80 percent 35. A
+    limit so low that no number of at least one keeps to ``MISS`` is refused.
+    """
+    share, below, least = percent / 100, 0.0, 0
+    if 0 < share <= 1:
+        for k in range(COORDINATES):
+            below += math.comb(COORDINATES, k) * share**k * (1 - share) ** (COORDINATES - k)
+            if below > MISS:
+                break
+            least = k + 1
+    if not least:
+        raise ValueError(f"no number of {COORDINATES} coordinates finds pairs from {percent} percent on")
+    return least
+
+
 def shingle_sets(values: list[str]) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes."""
     encoded = [v.encode("utf-8") for v in values]
@@ -151,6 +168,7 @@ def near_links(sets: pd.DataFrame, percent: int) -> np.ndarray:
 
 def _agree(one: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those that agree in enough coordinates and whose sizes allow a link."""
+    least = agreement(percent)
     x = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sign").alias("x"))
     y = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("sign").alias("y"))
     pairs = one.join(x, "a").join(y, "b").where(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
@@ -162,7 +180,7 @@ def _agree(one: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
                     for c in (2, 3)
                 )
-                enough = pa.array((x == y).sum(axis=1) >= AGREE)
+                enough = pa.array((x == y).sum(axis=1) >= least)
                 yield batch.select(["a", "b"]).filter(enough)
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -269,7 +287,7 @@ def joining_pairs(rows: pa.Table, percent: int) -> pa.RecordBatch:
     low byte of each coordinate, then by the coordinates, then by the sets if there are any.
     """
     own, nodes, part, sizes = (rows[c].to_numpy() for c in ("own", "node", "part", "n_shingles"))
-    part, n = part.copy(), rows.num_rows
+    part, n, least = part.copy(), rows.num_rows, agreement(percent)
     one = rows["first"][0].as_py() == rows["second"][0].as_py()
     signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
     low = np.ascontiguousarray(signs.astype(np.uint8))
@@ -287,8 +305,8 @@ def joining_pairs(rows: pa.Table, percent: int) -> pa.RecordBatch:
         may &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
         at = np.flatnonzero(may) + i + 1
         if len(at):
-            at = at[agreeing(low[at], low[i]) >= AGREE]
-            at = at[(signs[at] == signs[i]).sum(axis=1) >= AGREE]
+            at = at[agreeing(low[at], low[i]) >= least]
+            at = at[(signs[at] == signs[i]).sum(axis=1) >= least]
         if exact and len(at):
             mine = places[bounds[i] : bounds[i + 1]]
             mark[mine] = True
@@ -311,7 +329,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     blanks; with fewer words the whole sequence is the one shingle. A null, empty or blank
     text has an empty set and is linked with nothing. Two texts are linked where
     100 * intersection >= ``percent`` * union, found through signatures and confirmed on the
-    full sets. component_id is the smallest doc_id reachable; kept is that document. Rows
+    full sets; a pair at the limit is missed with a chance of ``MISS`` at most, and a limit
+    for which signatures can't promise that is refused. component_id is the smallest doc_id reachable; kept is that document. Rows
     that repeat an id or a text are in one component; a row without an id has no component
     and is not kept, and a set that only such rows have links nothing. An empty table gives
     an empty result; other columns are not looked at.
@@ -327,6 +346,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     join two parts. A block returns fewer pairs than it has rows, so a family of thousands of
     texts that are all alike costs rows in proportion.
     """
+    prefix = COORDINATES - agreement(percent) + 1
     spark = docs.sparkSession
     signed = texts(docs).mapInArrow(_sign, "doc_id long, n_shingles long, key binary, sign binary")
     signed = materialize(signed, "signatures")
@@ -347,11 +367,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             tokens = tokens_of(batch.column(1))
             often = sent.value[_slot(tokens)]
             typical = np.log(often).sum(axis=1)
-            first = np.lexsort((tokens, often), axis=1)[:, :PREFIX]
+            first = np.lexsort((tokens, often), axis=1)[:, :prefix]
             columns = [
                 np.take_along_axis(tokens, first, axis=1).ravel().view(np.int64),
-                np.repeat(batch.column(0).to_numpy(), PREFIX),
-                np.repeat(typical.astype(np.float32), PREFIX),
+                np.repeat(batch.column(0).to_numpy(), prefix),
+                np.repeat(typical.astype(np.float32), prefix),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "typical"])
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from faultline.llm import embedding_dedup, exact_dedup, links, near_dedup, queries
 from llm_tables import ODD, listed, none, odd
 from test_oracles import duck, plain  # noqa: F401
@@ -152,6 +153,39 @@ def test_near_duplicates_of_odd_rows(spark):
     assert 2**62 not in ids and ids.count(None) == 2 and {1, 2, 3, 4, 5} <= set(ids)
 
 
+def test_limits_are_covered():
+    for percent, least in ((100, 64), (85, 40)):
+        assert near_dedup.agreement(percent) == least
+    for percent in range(20, 101):
+        least, share = near_dedup.agreement(percent), percent / 100
+        chances = [math.comb(64, k) * share**k * (1 - share) ** (64 - k) for k in range(64)]
+        assert least >= 1 and sum(chances[:least]) <= near_dedup.MISS < sum(chances[: least + 1]) + (least == 64)
+    for percent in (-5, 0, 10, 101):
+        with pytest.raises(ValueError):
+            near_dedup.agreement(percent)
+
+
+def test_pipeline_links_from_four_fifths_on(spark, sf):
+    rng, rows = random.Random(6), []
+    for i in range(60):
+        words = [f"w{i}x{j}" for j in range(54)]  # of 50 shingles 5 change, or 6
+        other = list(words)
+        for at in (20,) if i % 2 else (20, 53):
+            other[at] = f"n{rng.randrange(10**9)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets, linked = [shingles(t) for _, t in rows], Sets()
+    for a in range(len(rows)):
+        linked.find(a)
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                linked.join(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"] for r in listed(corpus_pipeline.near_copies_out(spark, docs, sf))}
+    between = [(a, a + 1) for a in range(0, 120, 2) if 80 <= 100 * len(sets[a] & sets[a + 1]) / len(sets[a] | sets[a + 1]) < 85]
+    assert len(between) > 20
+    assert found == {a for a in linked.up if linked.find(a) == a}
+
+
 def test_near_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     found = listed(queries.op9_near_dedup(spark, sf))
