@@ -330,10 +330,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     text has an empty set and is linked with nothing. Two texts are linked where
     100 * intersection >= ``percent`` * union, found through signatures and confirmed on the
     full sets; a pair at the limit is missed with a chance of ``MISS`` at most, and a limit
-    for which signatures can't promise that is refused. component_id is the smallest doc_id reachable; kept is that document. Rows
-    that repeat an id or a text are in one component; a row without an id has no component
-    and is not kept, and a set that only such rows have links nothing. An empty table gives
-    an empty result; other columns are not looked at.
+    for which signatures can't promise that is refused. component_id is the smallest doc_id
+    of linked texts; kept is that document. Rows that repeat a text are in one component,
+    rows that repeat an id only if their texts are linked; a row without an id has no
+    component and is not kept, and a set that only such rows have links nothing. An empty
+    table gives an empty result; other columns are not looked at.
 
     Equal sets are folded to one class before they are posted, so a group of copies is one
     row. In each posting list the most typical class (the one whose tokens are the most
@@ -346,8 +347,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     join two parts. A block returns fewer pairs than it has rows, so a family of thousands of
     texts that are all alike costs rows in proportion.
     """
-    prefix = COORDINATES - agreement(percent) + 1
-    spark = docs.sparkSession
+    return _components_of(docs, percent).drop("key")
+
+
+def _components_of(docs: DataFrame, percent: int) -> DataFrame:
+    """What ``near_duplicates`` returns, and the key of each row's set."""
+    spark, prefix = docs.sparkSession, COORDINATES - agreement(percent) + 1
     signed = texts(docs).mapInArrow(_sign, "doc_id long, n_shingles long, key binary, sign binary")
     signed = materialize(signed, "signatures")
     classes = signed.where("key IS NOT NULL").groupBy("key", "n_shingles", "sign").agg(F.min("doc_id").alias("rep"))
@@ -412,20 +417,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = named.join(smallest, "component").select("key", "component_id")
     found = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    found = found.select("doc_id", "n_shingles", component.alias("component_id"))
-    # Rows of one id may hold several texts; they are one document.
+    found = found.select("doc_id", "n_shingles", component.alias("component_id"), "key")
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, columns as they are.
 
-    Rows without an id stay, as no other row can name them.
+    Rows without an id stay, as no other row can name them. Of an id that stands on several
+    texts only the rows go whose own text is a copy of another document.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
-    gone = near_duplicates(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"))
-    gone = materialize(gone.distinct(), "near-gone")
+    found = _components_of(docs, percent).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "key", "kept")
+    found = materialize(found, "near-found")
+    gone = found.groupBy("_id").agg(F.max("kept").alias("some")).join(found.where("NOT kept"), "_id")
+    gone = materialize(gone.select("_id", F.col("key").alias("_key"), "some").distinct(), "near-gone")
     rows = docs.toDF(*names).withColumn("_id", F.col(names[id_at]).cast("long"))
-    kept = lookup_join(rows, gone, ["_id"], "left_anti", spread=[names[text_at]])
+    whole = gone.where("NOT some").select("_id").distinct()
+    kept = lookup_join(rows, whole, ["_id"], "left_anti", spread=[names[text_at]])
+    part = gone.where("some").select("_id", "_key")
+    if not part.isEmpty():
+        ids = part.select("_id").distinct().withColumn("_part", F.lit(True))
+        kept = lookup_join(kept, ids, ["_id"], "left", spread=[names[text_at]])
+        text = F.when(F.col("_part"), F.col(names[text_at]).cast("string"))
+        kept = kept.withColumn("_key", F.pandas_udf(_keys, "binary")(F.coalesce(text, F.lit(""))))
+        kept = lookup_join(kept, part, ["_id", "_key"], "left_anti", spread=[names[text_at]])
     return kept.select(*names).toDF(*docs.columns)
+
+
+def _keys(values: pd.Series) -> pd.Series:
+    """The key of each text's set; null for an empty one."""
+    sets = (shingle_sets([v])[0] for v in values)
+    return pd.Series([set_key(s) if len(s) else None for s in sets], dtype=object)

@@ -186,6 +186,14 @@ def test_pipeline_links_from_four_fifths_on(spark, sf):
     assert found == {a for a in linked.up if linked.find(a) == a}
 
 
+def test_a_unique_text_stays_beside_a_copy_with_its_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (5, one + " more"), (5, two), (6, one), (6, one.upper()), (7, "c d e"), (5, ""), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(repr, ((r[0], r[1]) for r in near_dedup.drop_near_duplicates(docs).collect())))
+    assert kept == sorted(map(repr, [(1, one), (5, two), (7, "c d e"), (5, ""), (None, one)]))
+
+
 def test_near_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     found = listed(queries.op9_near_dedup(spark, sf))
