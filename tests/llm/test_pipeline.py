@@ -16,7 +16,7 @@ def test_stages_work_on_what_the_one_before_kept(spark, sf):
     ids = [{r[0] for r in k.select("doc_id").collect()} for k in kept]
     assert ids[1] == ids[0] - toxic
     assert ids[2] == {r["doc_id"] for r in listed(exact_dedup.duplicate_groups(kept[1])) if r["kept"]}
-    assert ids[3] == {r["doc_id"] for r in listed(near_dedup.near_duplicates(kept[2])) if r["kept"]}
+    assert ids[3] == {r["doc_id"] for r in listed(near_dedup.near_duplicates(kept[2], near_dedup.CORPUS_PERCENT)) if r["kept"]}
     assert ids[4] == ids[5] == ids[3]
     for before, after in ((0, 1), (1, 2), (2, 3)):
         texts = {r.doc_id: r.text for r in kept[before].collect()}
