@@ -28,7 +28,7 @@ def copies_out(spark, docs, sf_dir):
 def near_copies_out(spark, docs, sf_dir):
     """Of each component of near-duplicates, from a similarity of 0.8 on, the smallest id stays."""
     small_batches(spark)
-    return near_dedup.drop_near_duplicates(docs, percent=80)
+    return near_dedup.drop_near_duplicates(docs, near_dedup.CORPUS_PERCENT)
 
 
 def secrets_masked(spark, docs, sf_dir):
