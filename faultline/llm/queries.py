@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, quality, records, secret_scan, shards, toxicity
+from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, phrases, quality, records, secret_scan, shards, toxicity
 from faultline.llm.common import table
 from faultline.session import materialize, scratch_path
 
@@ -64,6 +64,10 @@ def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrases(spark, sf_dir):
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 def registry():
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
@@ -76,4 +80,5 @@ def registry():
         "op8_packing": (op8_packing, None),
         "op9_near_dedup": (op9_near_dedup, None),
         "op10_embedding_dedup": (op10_embedding_dedup, embedding_dedup.SQL),
+        "op13_phrases": (op13_phrases, phrases.SQL),
     }
