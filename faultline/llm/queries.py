@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, phrases, quality, records, secret_scan, shards, toxicity
+from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, phrases, quality, records, repair, secret_scan, shards, toxicity
 from faultline.llm.common import table
 from faultline.session import materialize, scratch_path
 
@@ -64,6 +64,11 @@ def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_repair(spark, sf_dir):
+    rows = repair.clean(table(spark, sf_dir, "conversations"))
+    return repair.digests(repair.damaged(rows), rows)
+
+
 def op13_phrases(spark, sf_dir):
     return phrases.phrases(table(spark, sf_dir, "documents"))
 
@@ -80,5 +85,6 @@ def registry():
         "op8_packing": (op8_packing, None),
         "op9_near_dedup": (op9_near_dedup, None),
         "op10_embedding_dedup": (op10_embedding_dedup, embedding_dedup.SQL),
+        "op11_repair": (op11_repair, None),
         "op13_phrases": (op13_phrases, phrases.SQL),
     }
