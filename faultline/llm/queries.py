@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, phrases, quality, records, repair, secret_scan, shards, toxicity
+from faultline.llm import bpe, embedding_dedup, exact_dedup, near_dedup, packing, personal, phrases, quality, records, repair, secret_scan, shards, toxicity
 from faultline.llm.common import table
 from faultline.session import materialize, scratch_path
 
@@ -69,6 +69,10 @@ def op11_repair(spark, sf_dir):
     return repair.digests(repair.damaged(rows), rows)
 
 
+def op12_personal(spark, sf_dir):
+    return personal.digests(personal.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_phrases(spark, sf_dir):
     return phrases.phrases(table(spark, sf_dir, "documents"))
 
@@ -86,5 +90,6 @@ def registry():
         "op9_near_dedup": (op9_near_dedup, None),
         "op10_embedding_dedup": (op10_embedding_dedup, embedding_dedup.SQL),
         "op11_repair": (op11_repair, None),
+        "op12_personal": (op12_personal, None),
         "op13_phrases": (op13_phrases, phrases.SQL),
     }
