@@ -34,11 +34,11 @@ NO_LANG = "und"
 # Units of a level that tasks know by rank; a head word has at most so many bytes.
 HEAD, HEAD_BYTES = 1 << 17, 64
 # Ranks on a side of a tile; neighbours of a batch that make a tile dense; dense tiles kept.
-TILE, DENSE, TILES = 512, 8192, 48
+TILE, DENSE, TILES = 512, 8192, 16
 # 64-bit cells of a sieve.
 SIEVE = 1 << 20
 # Bytes of text worked on at once; words of an encoded row; entries that a task holds.
-SLICE, ROW_WORDS, HELD = 1 << 20, 1 << 20, 1 << 20
+SLICE, ROW_WORDS, HELD = 1 << 18, 1 << 18, 1 << 19
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(
@@ -86,7 +86,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = len(tally)
                 tally.update(words)
                 held += len(tally) - before
-                if held > HELD // 4:
+                if held > HELD // 2:
                     yield from out()
                     held = 0
     yield from out()
@@ -403,7 +403,8 @@ def counted(rows: DataFrame, levels: list[Level]) -> DataFrame:
             others.clear()
 
         for batch in batches:
-            for lang, raw, rest in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for row in range(batch.num_rows):  # one at a time: a batch holds many long rows
+                lang, raw, rest = (batch.column(i)[row].as_py() for i in range(3))
                 reader = Reader(lang, levels, np.frombuffer(raw, dtype=np.int32), rest)
                 places, last = reader.neighbours(depth)
                 a, b = reader.units[places], last[places]
