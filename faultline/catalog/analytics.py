@@ -137,14 +137,17 @@ scored AS (SELECT q.k AS q, i.k AS i, coalesce(dot, 0) / sqrt(CAST(qn.square AS
   FROM (SELECT k FROM texts WHERE k LIKE 'q%') q CROSS JOIN (SELECT k FROM texts WHERE k LIKE 'i%') i
   LEFT JOIN dots d ON d.q = q.k AND d.i = i.k LEFT JOIN norms qn ON qn.k = q.k LEFT JOIN norms n ON n.k = i.k)"""
 
-INCIDENT_RUNBOOKS_SQL = sql(f"""
+# Passages by nearness to each incident's question.
+RANKED = f"""
 , asked AS (SELECT i.id AS incident_id, i.title || ' ' || i.detection_reason || ' ' || s.name AS question
     FROM m_incidents i JOIN m_services s ON s.id = i.service_id),
 texts AS (SELECT DISTINCT 'q' || question AS k, question AS t FROM asked
     UNION ALL SELECT 'i' || runbook_id || '#' || chunk_index, content FROM m_chunks),
 {BUCKETS}, {NEAREST},
 ranked AS (SELECT substr(q, 2) AS question, substr(i, 2) AS chunk_id, score, row_number() OVER (
-    PARTITION BY q ORDER BY CASE WHEN score IS NULL THEN 2 ELSE round(1 - score, 6) END, substr(i, 2)) AS rank FROM scored)
+    PARTITION BY q ORDER BY CASE WHEN score IS NULL THEN 2 ELSE round(1 - score, 6) END, substr(i, 2)) AS rank FROM scored)"""
+
+INCIDENT_RUNBOOKS_SQL = sql(f"""{RANKED}
 SELECT incident_id, rank, chunk_id, 'doc-' || split_part(chunk_id, '#', 1) AS slug, round(score, 6) AS score
 FROM asked JOIN ranked USING (question) WHERE rank <= 5""")
 
@@ -152,9 +155,8 @@ FROM asked JOIN ranked USING (question) WHERE rank <= 5""")
 
 @ws.stored("embedded_chunks")
 def _embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk table after an ingest; those of every seventh runbook have no vector yet."""
-    chunks, _ = runbooks.ingest_runbooks(A.runbooks(spark, sf_dir), A.services(spark, sf_dir))
-    return chunks.withColumn("embedding", F.when(F.col("runbook_id") % 7 != 0, F.col("embedding")))
+    """The chunk table after an ingest."""
+    return runbooks.ingest_runbooks(A.runbooks(spark, sf_dir), A.services(spark, sf_dir))[0]
 
 
 def search_stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +172,7 @@ STORED_SQL = sql(f"""
 , asked AS (SELECT DISTINCT i.title || ' ' || i.detection_reason || ' ' || s.name AS question
     FROM m_incidents i JOIN m_services s ON s.id = i.service_id),
 texts AS (SELECT 'q' || question AS k, question AS t FROM asked
-    UNION ALL SELECT 'i' || runbook_id || '#' || chunk_index, content FROM m_chunks WHERE runbook_id % 7 <> 0),
+    UNION ALL SELECT 'i' || runbook_id || '#' || chunk_index, content FROM m_chunks),
 {BUCKETS.replace("counts", "counted").replace("norms", "lengths")},
 counts AS (SELECT k, bucket, CASE WHEN k LIKE 'i%' THEN CAST(CAST(round(n / sqrt(square), 8) AS FLOAT) AS DOUBLE) ELSE n END AS n
   FROM counted JOIN lengths USING (k)),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.catalog import workspace as ws
+from faultline.catalog.analytics import RANKED
 from faultline.catalog.sqltext import sql
 from faultline.functions.text import SPACE
 from faultline.plans import investigate as inv
@@ -62,17 +63,20 @@ def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundle = ws.bundle(spark, sf_dir)
     versions = F.transform("deployments", lambda d: d["version"])
-    slugs = F.filter(F.transform("runbooks", lambda r: r["slug"]), lambda s: s.isNull())
+    slugs = F.transform("runbooks", lambda r: r["slug"])
     made = inv.summary_prompt(F.col("incident.title"), versions, slugs)
     return bundle.select("incident_id", F.element_at(made, 2)["content"].alias("content"))
 
 
-SUMMARY_PROMPT_SQL = sql("""
-SELECT incident_id, 'Investigate this incident for the company.' || chr(10) || chr(10) || 'Incident summary:' || chr(10) || title
+SUMMARY_PROMPT_SQL = sql(f"""{RANKED},
+books AS (SELECT incident_id, string_agg('- doc-' || split_part(chunk_id, '#', 1), chr(10) ORDER BY rank) AS slugs
+  FROM asked JOIN ranked USING (question) WHERE rank <= 5 GROUP BY 1)
+SELECT b.incident_id, 'Investigate this incident for the company.' || chr(10) || chr(10) || 'Incident summary:' || chr(10) || title
   || chr(10) || chr(10) || 'Evidence:' || chr(10) || coalesce((SELECT string_agg('- ' || version, chr(10) ORDER BY rank)
      FROM m_incident_deployments x WHERE x.incident_id = b.incident_id), '- None provided')
-  || chr(10) || chr(10) || 'Runbook context:' || chr(10) || '- None provided' || chr(10) || chr(10)
-  || 'Return: probable root cause, confidence, supporting evidence, and missing information.' AS content FROM m_bundle b""")
+  || chr(10) || chr(10) || 'Runbook context:' || chr(10) || coalesce(k.slugs, '- None provided') || chr(10) || chr(10)
+  || 'Return: probable root cause, confidence, supporting evidence, and missing information.' AS content
+FROM m_bundle b LEFT JOIN books k ON k.incident_id = b.incident_id""")
 
 
 def build_eval_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,10 +490,7 @@ def overview_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incident_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Investigations of sev4 incidents are left out, so that some have not started."""
-    sev4 = A.incidents(spark, sf_dir).filter(F.col("severity") == "sev4").select(F.col("id").alias("incident_id"))
-    known = ws.investigations(spark, sf_dir).join(sev4, "incident_id", "left_anti")
-    return readmodel.incident_board(ws.listed_incidents(spark, sf_dir), known)
+    return readmodel.incident_board(ws.listed_incidents(spark, sf_dir), ws.investigations(spark, sf_dir))
 
 
 BOARD_SQL = sql("""
@@ -498,7 +499,7 @@ SELECT i.id AS incident_id, s.name AS service_name, i.title, upper(i.severity) A
   CASE v.status WHEN 'completed' THEN 'success' WHEN 'failed' THEN 'error' ELSE 'muted' END AS investigation_class,
   coalesce(CAST(CAST(floor(v.confidence * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%', '—') AS confidence
 FROM m_incidents i JOIN m_services s ON s.id = i.service_id
-LEFT JOIN m_investigations v ON v.incident_id = i.id AND i.severity <> 'sev4'""")
+LEFT JOIN m_investigations v ON v.incident_id = i.id""")
 
 
 def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
