@@ -10,10 +10,10 @@ from faultline.catalog.sqltext import ISO, LEVEL, sql
 from faultline.operators import keyed
 from faultline.operators.lookup import service_names
 from faultline.plans import ingest
-from faultline.session import lookup_join, scratch_path
+from faultline.session import lookup_join, materialize, scratch_path
 from faultline.sources import adapters as A
 from faultline.sources import batches as B
-from faultline.sources.tables import TableStore
+from faultline.sources.changes import ChangeLog
 from faultline.streaming.detect import signal_rows, stream_detect
 from faultline.streaming.ingest import stream_ingest
 
@@ -506,33 +506,69 @@ UNION ALL SELECT 'investigation_steps', investigation_id || '/' || step_index FR
 UNION ALL SELECT 'tool_calls', id FROM m_calls WHERE investigation_id IN (SELECT id FROM kept)""")
 
 
-def stream_ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The posted folder streamed into a store; its rows per table and key."""
+def streamed_log(spark: SparkSession, sf_dir: str) -> ChangeLog:
+    """The posted folder streamed into a store."""
+
+    def run() -> ChangeLog:
+        log = ChangeLog(spark, scratch_path(spark, "store"))
+        stream_ingest(spark, ws.posted_folder(spark, sf_dir), log, scratch_path(spark, "ingest")).awaitTermination()
+        return log
 
-    def run() -> TableStore:
-        store = TableStore(spark, scratch_path(spark, "store"))
-        stream_ingest(spark, ws.posted_folder(spark, sf_dir), store, scratch_path(spark, "ingest")).awaitTermination()
-        return store
+    return ws.once(spark, sf_dir, "streamed_store", run)
 
-    store = ws.once(spark, sf_dir, "streamed_store", run)
-    services = store.rewritten("services")
+
+def stream_ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the store that the posted folder was streamed into, with what it says."""
+    log = streamed_log(spark, sf_dir)
+    services = materialize(log.current("services"), "streamed-services")
     names = service_names(services)
-    facts = [
-        store.rewritten("deployments").select(F.lit("deployments").alias("table_name"), "id", "service_id"),
-        store.rewritten("incidents").select(F.lit("incidents").alias("table_name"), "id", "service_id"),
-        store.appended("log_entries").select(F.lit("log_entries").alias("table_name"), "id", "service_id"),
-        store.appended("metric_points").select(F.lit("metric_points").alias("table_name"), "id", "service_id"),
-    ]
-    counted = lookup_join(_union(facts), names, ["service_id"], spread=["id"])
-    return counted.groupBy("table_name", "service_name").agg(F.count("*").alias("rows"))
+
+    def rows(df: DataFrame, table: str, label: str, at: str, *content: str) -> DataFrame:
+        shown = df.select(
+            F.lit(table).alias("table_name"), "service_id", F.col(label).alias("label"),
+            F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.concat_ws("|", *content).alias("content"),
+            F.col("id").alias("_id"),
+        )
+        return lookup_join(shown, names, ["service_id"], spread=["_id"]).drop("service_id", "_id")
+
+    deployment = F.coalesce("deployment_id", F.lit("none")) == "none"
+    logs = log.facts("log_entries").withColumn("json", F.to_json("attributes")).withColumn("bare", deployment.cast("string"))
+    metrics = log.facts("metric_points").withColumn("json", F.to_json("attributes"))
+    metrics = metrics.withColumn("metric_value", F.round("metric_value", 6))
+    incidents = log.current("incidents").withColumn("json", F.to_json("metadata"))
+    own = services.select(
+        F.lit("services").alias("table_name"), F.col("name").alias("label"), F.lit(None).cast("string").alias("at"),
+        F.concat_ws("|", "id", "display_name", "description", "owner_team", "runtime", "criticality").alias("content"),
+        F.col("name").alias("service_name"),
+    )
+    return _union([
+        own,
+        rows(log.current("deployments"), "deployments", "version", "deployed_at", "id", "commit_sha", "deployed_by", "environment", "status"),
+        rows(incidents, "incidents", "scenario_id", "detected_at", "id", "title", "severity", "status", "detection_reason", "suspected_root_cause", "json"),
+        rows(logs, "log_entries", "level", "timestamp", "message", "bare", "json"),
+        rows(metrics, "metric_points", "metric_name", "timestamp", "metric_value", "unit", "json"),
+    ])
 
 
+# Of the posted rows of a key the last one counts, or the first; batches are ordered by their time.
 STREAM_INGEST_SQL = sql("""
-SELECT 'deployments' AS table_name, service AS service_name, count(DISTINCT event_id % 5) AS rows
-FROM m_posted WHERE event_type = 'signup' GROUP BY 2
-UNION ALL SELECT DISTINCT 'incidents', service, 1 FROM m_posted WHERE event_type = 'error' AND value >= 100
-UNION ALL SELECT 'log_entries', service, count(*) FROM m_posted GROUP BY 2
-UNION ALL SELECT 'metric_points', service, count(*) FROM m_posted GROUP BY 2""")
+, posted AS (SELECT *, max(stamp) OVER (PARTITION BY batch_id) AS generated,
+    strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS shown, CAST(json(props) AS VARCHAR) AS json,
+    'v' || (event_id % 5) AS version FROM m_posted),
+deployed AS (SELECT * FROM posted WHERE event_type = 'signup'
+  QUALIFY row_number() OVER (PARTITION BY service, version ORDER BY generated DESC, event_id DESC) = 1),
+raised AS (SELECT * FROM posted WHERE event_type = 'error' AND value >= 100
+  QUALIFY row_number() OVER (PARTITION BY service ORDER BY generated, event_id) = 1)
+SELECT DISTINCT 'services' AS table_name, service AS label, CAST(NULL AS VARCHAR) AS "at",
+  concat_ws('|', sha256('service/' || service), 'Service ' || user_id, 'account service', 'team-' || (user_id % 7), 'jvm',
+    ['low', 'medium', 'high', 'critical'][user_id % 4 + 1]) AS content, service AS service_name FROM posted
+UNION ALL SELECT 'deployments', version, shown, concat_ws('|', sha256('deployment/' || sha256('service/' || service)
+    || '/' || version || '/production'), sha1(CAST(event_id AS VARCHAR)), 'deploy-bot', 'production', 'succeeded'), service FROM deployed
+UNION ALL SELECT 'incidents', 'scenario-' || user_id, shown, concat_ws('|', sha256('incident/scenario-' || user_id),
+    'error value spike', 'sev2', 'detected', 'the value rose over the threshold of 100', 'unknown',
+    '{"scenarioId":"scenario-' || user_id || '","affectedSignals":["value"],"synthetic":true}'), service FROM raised
+UNION ALL SELECT 'log_entries', level, shown, concat_ws('|', event_type, 'true', json), service FROM posted
+UNION ALL SELECT 'metric_points', event_type, shown, concat_ws('|', CAST(round(value, 6) AS VARCHAR), 'u', '{}'), service FROM posted""")
 
 
 def stream_detect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

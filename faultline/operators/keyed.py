@@ -1,7 +1,7 @@
 """Key-based writes as joins: resolve, upsert, insert when absent, cascade, check.
 
 Parquet tables take no MERGE, so an upsert is the new content of the table as a
-DataFrame; ``sources.tables`` stores it as the next version.
+DataFrame; streams append changes instead, which ``sources.changes`` folds on read.
 """
 
 from __future__ import annotations
@@ -116,9 +116,10 @@ def absent_rows(
     )
 
 
-def insert_absent_incidents(target: DataFrame, source: DataFrame) -> DataFrame:
-    """The incident table with the scenarios it lacks added; stored ones never change."""
-    new = absent_rows(target, source, ["scenario_id"]).select(
+def stored_incidents(scenarios: DataFrame) -> DataFrame:
+    """Scenarios in the shape of the incident table, with their place in the batch if they have one."""
+    place = [c for c in ("batch_seq",) if c in scenarios.columns]
+    return scenarios.select(
         F.sha2(F.concat(F.lit("incident/"), F.col("scenario_id")), 256).alias("id"),
         "scenario_id",
         "service_id",
@@ -134,7 +135,13 @@ def insert_absent_incidents(target: DataFrame, source: DataFrame) -> DataFrame:
             F.col("affected_signals").alias("affectedSignals"),
             F.lit(True).alias("synthetic"),
         ).alias("metadata"),
+        *place,
     )
+
+
+def insert_absent_incidents(target: DataFrame, source: DataFrame) -> DataFrame:
+    """The incident table with the scenarios it lacks added; stored ones never change."""
+    new = stored_incidents(absent_rows(target, source, ["scenario_id"])).drop("batch_seq")
     return target.unionByName(new, allowMissingColumns=True)
 
 

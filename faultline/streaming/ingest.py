@@ -5,45 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.operators.keyed import stored_incidents
 from faultline.plans import ingest as I
 from faultline.session import materialize
 from faultline.sources import batches as B
-from faultline.sources.tables import TableStore
+from faultline.sources.changes import ChangeLog
 
-EMPTY = {"services": I.SERVICES, "deployments": I.DEPLOYMENTS, "incidents": I.INCIDENTS}
 
-
-def apply_batch(store: TableStore, lines: DataFrame, stream: str, epoch: int) -> None:
+def apply_batch(log: ChangeLog, lines: DataFrame, stream: str, epoch: int) -> None:
     """Check, resolve and store the batches of one trigger: rows of (file_path, value).
 
-    A (stream, epoch) that is committed already is left alone, so a replayed trigger
-    changes nothing; any other is stored, whatever else the store holds. Ids follow from
-    the batch and the row's place, so a retried trigger writes the same rows. Rejected
-    batches go to their own table with the broken rules. Only tables that the batches say
-    something about are rewritten.
+    Any number of streams may do so at once. Each table's rows of this (stream, epoch) are
+    set, services first, then deployments, then what names them, which is resolved against
+    all that is stored by then. A trigger that runs again sets the same rows again: ids and
+    places follow from the batch and the row in it. Rejected batches go to their own table
+    with the broken rules.
     """
-    spark = store.spark
-    if store.committed(stream, epoch):
-        return
     raw = materialize(B.identify(lines), "posted")  # the posted text is read once, then reused below
     violations = materialize(B.contract_violations(raw), "violations")
     good, _ = B.accept(raw, violations)
-    batches = materialize(B.parse(good), "batches")
-    tables = {
-        name: df if (df := store.rewritten(name)) is not None else spark.createDataFrame([], ddl)
-        for name, ddl in EMPTY.items()
-    }
-    rewritten, appended, _ = I.ingest(tables, batches)
-    named = batches.agg(*[F.max(F.size(name)).alias(name) for name in EMPTY]).first()
-    touched = {name: df for name, df in rewritten.items() if (named[name] or 0) > 0}
-    store.commit(stream, epoch, touched, {**appended, "rejected": violations})
-    store.drop_old_versions(tuple(touched))
+    parts = B.split(materialize(B.parse(good), "batches"))
+    log.put("services", I.service_rows(parts["services"]), stream, epoch)
+    services = materialize(log.current("services"), "services")
+    log.put("deployments", I.deployment_rows(parts["deployments"], services), stream, epoch)
+    deployments = materialize(log.current("deployments"), "deployments")
+    log.put("incidents", stored_incidents(I.incident_rows(parts["incidents"], services)), stream, epoch)
+    log.write("log_entries", I.log_rows(parts["logs"], services, deployments), stream, epoch)
+    log.write("metric_points", I.metric_rows(parts["metrics"], services), stream, epoch)
+    log.write("rejected", violations, stream, epoch)
 
 
 def stream_ingest(
     spark: SparkSession,
     source: str,
-    store: TableStore,
+    log: ChangeLog,
     checkpoint: str,
     *,
     files_per_trigger: int = 1000,
@@ -51,14 +46,14 @@ def stream_ingest(
 ):
     """Start the stream over ``source`` (one batch per line of its files).
 
-    ``files_per_trigger`` bounds a commit, however long the backlog is. A stream is known
+    ``files_per_trigger`` bounds a trigger, however long the backlog is. A stream is known
     by its checkpoint: what a new checkpoint reads is posted anew.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     lines = reader.text(source).select(F.col("_metadata.file_path").alias("file_path"), "value")
 
     def run(df: DataFrame, epoch: int) -> None:
-        apply_batch(store, df, checkpoint, epoch)
+        apply_batch(log, df, checkpoint, epoch)
 
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     if available_now:

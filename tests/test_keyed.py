@@ -10,7 +10,7 @@ from faultline.functions import display
 from faultline.operators import keyed, lookup
 from faultline.plans import ingest
 from faultline.sources import batches as B
-from faultline.sources.tables import TableStore
+from faultline.sources.changes import ChangeLog
 from tests.conftest import rows
 from tests.test_contract import BATCH, DEPLOYMENT, INCIDENT, LOG, METRIC, SERVICE
 
@@ -168,20 +168,6 @@ def test_integrity_ignores_null_keys(spark):
     ]
 
 
-def test_store_shows_committed_versions_only(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "store"))
-    assert store.last_version() == 0 and store.rewritten("services") is None
-    one, two = spark.range(1), spark.range(2)
-    store.commit("posts", 1, {"services": one}, {"log_entries": one})
-    store.commit("posts", 2, {}, {"log_entries": two})
-    assert store.rewritten("services").count() == 1 and store.appended("log_entries").count() == 3
-    two.write.parquet(str(tmp_path / "store" / "services" / "version=000000000003-x"))
-    two.write.parquet(str(tmp_path / "store" / "log_entries" / "batch=000000000003-x"))
-    assert store.rewritten("services").count() == 1 and store.appended("log_entries").count() == 3
-    store.commit("posts", 3, {"services": two}, {"log_entries": one})  # what a crash left stays unseen
-    assert store.rewritten("services").count() == 2 and store.appended("log_entries").count() == 4
-
-
 def test_display_rules(spark):
     values = [0.875, 0.615, 0.125, 0.995, 1.0, 0.0, None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
@@ -209,15 +195,14 @@ def test_runbooks_without_a_service_are_listed(spark):
 
 
 def test_facts_are_stored_by_day_and_read_by_day(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "store"))
-    _, appended, _ = ingest.ingest(
+    log = ChangeLog(spark, str(tmp_path / "store"))
+    rewritten, appended, _ = ingest.ingest(
         empty(spark),
         typed(spark, {**FULL, "logs": [LOG, {**LOG, "timestamp": "2026-06-27T01:00:00Z"}]}),
     )
-    rewritten, _, _ = ingest.ingest(empty(spark), typed(spark, FULL))
-    store.commit("posts", 1, rewritten, appended)
-    logs = store.appended("log_entries")
-    found = lookup.log_search(logs, store.rewritten("services"), start="2026-06-27 00:00:00")
+    log.write("log_entries", appended["log_entries"], "posts", 1)
+    logs = log.facts("log_entries")
+    found = lookup.log_search(logs, rewritten["services"], start="2026-06-27 00:00:00")
     assert [r["timestamp"] for r in found.collect()] == [datetime(2026, 6, 27, 1)]
     assert "day" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
 

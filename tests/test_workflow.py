@@ -12,7 +12,8 @@ from faultline.plans import ingest, observe, readmodel, runbooks
 from faultline.plans import investigate as inv
 from faultline.session import materialize
 from faultline.sources import batches as B
-from faultline.sources.tables import TableStore
+from faultline.sources.changes import ChangeLog
+from faultline.streaming.ingest import apply_batch
 from tests.conftest import rows
 from tests.test_contract import REPORT
 from tests.incident import posted
@@ -36,11 +37,12 @@ def tables(spark, tmp_path_factory):
     }
     rewritten, appended, summary = ingest.ingest(empty, B.parse(raw))
     assert rows(summary) == [{"insertedLogs": 9, "insertedMetrics": 8, "incidents": 1}]
-    store = TableStore(spark, str(folder / "store"))
-    store.commit("posts", 1, rewritten, appended)
-    named = ("services", "deployments", "incidents")
-    stored = {name: store.rewritten(name) for name in named}
-    stored |= {name: store.appended(name) for name in ("log_entries", "metric_points")}
+    log = ChangeLog(spark, str(folder / "store"))
+    lines = spark.read.text(str(folder / "posted.json")).selectExpr("_metadata.file_path AS file_path", "value")
+    apply_batch(log, lines, "posts", 0)
+    stored = {name: log.current(name) for name in ("services", "deployments", "incidents")}
+    assert {k: v.count() for k, v in stored.items()} == {k: rewritten[k].count() for k in stored}
+    stored |= {name: log.facts(name) for name in ("log_entries", "metric_points")}
     books = spark.createDataFrame(
         [
             ("r1", "Latency Runbook", "cart-latency", "Symptoms: p95 latency above 1200ms.\nDiagnosis: inspect timeout."),
