@@ -9,11 +9,12 @@ from faultline.catalog import workspace as ws
 from faultline.catalog.sqltext import ISO, LEVEL, sql
 from faultline.operators import keyed
 from faultline.operators.lookup import service_names
-from faultline.plans import ingest
+from faultline.plans import ingest, signals
 from faultline.session import lookup_join, materialize, scratch_path
 from faultline.sources import adapters as A
 from faultline.sources import batches as B
 from faultline.sources.changes import ChangeLog
+from faultline.streaming import episodes
 from faultline.streaming.detect import signal_rows, stream_detect
 from faultline.streaming.ingest import stream_ingest
 
@@ -511,7 +512,7 @@ def streamed_log(spark: SparkSession, sf_dir: str) -> ChangeLog:
 
     def run() -> ChangeLog:
         log = ChangeLog(spark, scratch_path(spark, "store"))
-        stream_ingest(spark, ws.posted_folder(spark, sf_dir), log, scratch_path(spark, "ingest")).awaitTermination()
+        stream_ingest(spark, ws.posted_folder(spark, sf_dir), log, scratch_path(spark, "ingest"), signal=("view", 100.0)).awaitTermination()
         return log
 
     return ws.once(spark, sf_dir, "streamed_store", run)
@@ -571,6 +572,58 @@ UNION ALL SELECT 'log_entries', level, shown, concat_ws('|', event_type, 'true',
 UNION ALL SELECT 'metric_points', event_type, shown, concat_ws('|', CAST(round(value, 6) AS VARCHAR), 'u', '{}'), service FROM posted""")
 
 
+def kept_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of every service from the partials that ingest has kept."""
+    log = streamed_log(spark, sf_dir)
+    found = signals.kept_signals(log, log.current("services"))
+    return found.withColumn("max_latency", F.round("max_latency", 6))
+
+
+KEPT_SIGNALS_SQL = sql("""
+SELECT sha256('service/' || service) AS service_id, service AS service_name,
+  round(max(value) FILTER (event_type = 'view'), 6) AS max_latency, count(*) FILTER (level = 'error') AS errors,
+  count(*) FILTER (event_type = 'view') AS n_metrics, min(ts) FILTER (event_type = 'view' AND value >= 100) AS first_breach
+FROM m_posted GROUP BY 1, 2""")
+
+
+def stream_episodes_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of the telemetry that was streamed into the store, streamed from there."""
+    log = streamed_log(spark, sf_dir)
+
+    def run() -> str:
+        target = scratch_path(spark, "episodes")
+        found = episodes.stored_signals(log, "view")
+        episodes.stream_episodes(
+            found, target, scratch_path(spark, "follow"), window="1 day", quiet="1 day", late="10 minutes", threshold=20.0
+        ).awaitTermination()
+        return target
+
+    rows = episodes.latest_episodes(spark.read.schema(episodes.ROWS).parquet(ws.once(spark, sf_dir, "streamed_episodes", run)))
+    closed = F.col("state") == "closed"
+    return rows.select(
+        "service_id", "state", F.col("started_at").cast("timestamp_ntz").alias("started_at"),
+        F.col("ended_at").cast("timestamp_ntz").alias("ended_at"),
+        *[F.when(closed, F.col(c)).alias(c) for c in ("peak", "errors", "windows")],
+    )
+
+
+# An open episode's figures are those of the trigger it opened in, so only its start is compared.
+EPISODES_SQL = sql("""
+, w AS (SELECT service, time_bucket(INTERVAL 1 DAY, ts) AS started, max(value) FILTER (event_type = 'view') AS peak,
+    count(*) FILTER (level = 'error') AS errors FROM m_posted WHERE event_type = 'view' OR level = 'error' GROUP BY 1, 2),
+mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS passed
+  FROM m_posted WHERE event_type = 'view' OR level = 'error'),
+b AS (SELECT service, started, started + INTERVAL 1 DAY AS ended, peak, errors, passed FROM w, mark
+  WHERE started + INTERVAL 1 DAY <= passed AND coalesce(peak, 0) >= 20 AND errors > 0),
+f AS (SELECT *, CASE WHEN started <= lag(ended) OVER (PARTITION BY service ORDER BY started) + INTERVAL 1 DAY THEN 0 ELSE 1 END AS head FROM b),
+g AS (SELECT *, sum(head) OVER (PARTITION BY service ORDER BY started) AS island FROM f),
+e AS (SELECT service, min(started) AS started_at, max(ended) AS ended_at, max(peak) AS peak, sum(errors)::BIGINT AS errors,
+    count(*) AS windows, max(ended) + INTERVAL 2 DAY < any_value(passed) AS done FROM g GROUP BY service, island)
+SELECT sha256('service/' || service) AS service_id, CASE WHEN done THEN 'closed' ELSE 'open' END AS state, started_at,
+  CASE WHEN done THEN ended_at END AS ended_at, CASE WHEN done THEN peak END AS peak, CASE WHEN done THEN errors END AS errors,
+  CASE WHEN done THEN windows END AS windows FROM e""")
+
+
 def stream_detect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals per service and hour, streamed; the windows the watermark has closed."""
 
@@ -636,5 +689,7 @@ QUERIES = {
     "ingest_summary": (ingest_summary, SUMMARY_SQL),
     "cascade_delete": (cascade_delete, CASCADE_SQL),
     "stream_ingest": (stream_ingest_rows, STREAM_INGEST_SQL),
+    "kept_signals": (kept_signals, KEPT_SIGNALS_SQL),
+    "stream_episodes": (stream_episodes_rows, EPISODES_SQL),
     "stream_detect": (stream_detect_rows, STREAM_DETECT_SQL),
 }

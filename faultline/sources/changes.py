@@ -97,19 +97,14 @@ class ChangeLog:
         return whole.withColumn("gone", gone())
 
     def _rows(self, table: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER" not in str(missing):
-                raise
-            return None
+        return self._read(f"{self.root}/{table}")
 
     def changes(self, table: str) -> DataFrame:
         """All change rows of a table, with their stream and epoch."""
         rows = self._rows(table)
         if rows is not None:
             return rows
-        return self._shaped(table, self.spark.createDataFrame([], f"gone boolean")).select(
+        return self._shaped(table, self.spark.createDataFrame([], "gone boolean")).select(
             "*", F.lit("").alias("stream"), F.lit(0).alias("epoch")
         )
 
@@ -124,6 +119,19 @@ class ChangeLog:
         rows = self._rows(table)
         return None if rows is None else rows.drop("stream", "epoch")
 
+    def epoch(self, table: str, stream: str, epoch: int) -> DataFrame | None:
+        """The facts of one epoch; only its own files are listed and read."""
+        return self._read(f"{self.root}/{table}/stream={stream_name(stream)}/epoch={epoch}")
+
+    def _read(self, path: str) -> DataFrame | None:
+        """A folder's rows, None before anything was written or while there are only empty folders."""
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
     def compact(self, table: str, closed: Mapping[str, int]) -> None:
         """Fold the changes of closed epochs: per stream name, those up to a number.
 
