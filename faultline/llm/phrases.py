@@ -31,14 +31,14 @@ from faultline.session import lookup_join, materialize
 # Fixed values of the contract: least count, words, share of a longer phrase, rows per language.
 LEAST, LONGEST, COVERED, KEPT = 10, 3, 50, 2000
 NO_LANG = "und"
-# Units of a level that tasks know by rank; a head word has at most so many bytes.
-HEAD, HEAD_BYTES = 1 << 17, 64
+# Words, and units of each longer level, that tasks know by rank; bytes of a head word at most.
+HEAD, HEAD_PHRASES, HEAD_BYTES = 1 << 17, 1 << 19, 64
 # Ranks on a side of a tile; neighbours of a batch that make a tile dense; dense tiles kept.
 TILE, DENSE, TILES = 512, 8192, 16
 # 64-bit cells of a sieve.
 SIEVE = 1 << 20
-# Bytes of text worked on at once; words of an encoded row; entries that a task holds.
-SLICE, ROW_WORDS, HELD = 1 << 18, 1 << 18, 1 << 19
+# Bytes of text worked on at once; words of an encoded row; cells and texts that a task holds.
+SLICE, ROW_WORDS, HELD, HELD_TEXTS = 1 << 18, 1 << 18, 1 << 19, 1 << 16
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(
@@ -168,7 +168,8 @@ def ranked(units: DataFrame, size: int) -> DataFrame:
 
 def level_of(units: DataFrame, heads: DataFrame, size: int, cells: int) -> Level:
     """The head and the sieve of a level, for tasks. ``units``: (lang, phrase, code, f)."""
-    rows = heads.select("lang", "phrase", "code").orderBy("lang", "rank").toArrow()
+    shown = F.when(F.col("code").isNull(), F.col("phrase")).alias("phrase")  # codes need no text
+    rows = heads.select("lang", shown, "code").orderBy("lang", "rank").toArrow()
     langs = np.array(rows.column("lang").to_pylist(), dtype=object)
     head: dict = {}
     for lang in dict.fromkeys(langs):
@@ -178,7 +179,7 @@ def level_of(units: DataFrame, heads: DataFrame, size: int, cells: int) -> Level
             head[lang] = [p.encode() for p in part.column("phrase").to_pylist()]
         else:
             head[lang] = part.column("code").to_numpy()
-    rest = units.join(F.broadcast(heads.select("lang", "phrase")), ["lang", "phrase"], "left_anti")
+    rest = units.join(heads.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
     return Level(head, sieve_of(rest.select("lang", "phrase"), cells), size)
 
 
@@ -409,13 +410,13 @@ def counted(rows: DataFrame, levels: list[Level]) -> DataFrame:
                 places, last = reader.neighbours(depth)
                 a, b = reader.units[places], last[places]
                 head = (a < levels[depth].size) & (b < levels[0].size)
-                tiles.setdefault(lang, Tiles(levels[depth].size)).add(a[head], b[head])
+                tiles.setdefault(lang, Tiles(levels[0].size)).add(a[head], b[head])
                 codes, times = np.unique((a[~head] << 32) | b[~head], return_counts=True)
                 tally = others.setdefault(lang, Counter())
                 for code, n in zip(codes.tolist(), times.tolist()):
                     tally[reader.name(depth, code >> 32) + b" " + reader.name(0, code & 0xFFFFFFFF)] += n
-                held = sum(t.merge() for t in tiles.values()) + sum(map(len, others.values()))
-                if held > HELD or sum(len(t.dense) for t in tiles.values()) > 2 * TILES or len(tiles) > 64:
+                held = sum(t.merge() for t in tiles.values())
+                if held > HELD or sum(map(len, others.values())) > HELD_TEXTS or sum(len(t.dense) for t in tiles.values()) > 2 * TILES or len(tiles) > 64:
                     yield from out()
         yield from out()
 
@@ -424,7 +425,7 @@ def counted(rows: DataFrame, levels: list[Level]) -> DataFrame:
 
 def named(found: DataFrame, firsts: DataFrame, words: DataFrame) -> DataFrame:
     """Codes of (lang, code, phrase, f) written out, by the heads that they are ranks of."""
-    one = F.broadcast(firsts.select("lang", F.col("rank").alias("_a"), F.col("phrase").alias("_first")))
+    one = firsts.select("lang", F.col("rank").alias("_a"), F.col("phrase").alias("_first"))
     two = F.broadcast(words.select("lang", F.col("rank").alias("_b"), F.col("phrase").alias("_last")))
     rows = found.withColumn("_a", F.shiftright("code", 32)).withColumn("_b", F.col("code").bitwiseAND(0xFFFFFFFF))
     rows = rows.join(one, ["lang", "_a"], "left").join(two, ["lang", "_b"], "left")
@@ -450,6 +451,7 @@ def phrases(
     covered: int = COVERED,
     kept: int = KEPT,
     head: int = HEAD,
+    head_phrases: int = HEAD_PHRASES,
     cells: int = SIEVE,
 ) -> DataFrame:
     """The ``kept`` best phrases of each language: lang, rank, phrase, a, l, r, n, score.
@@ -477,8 +479,8 @@ def phrases(
         longer.append(units.select("lang", "phrase", F.col("f").alias("a"), F.lit(size).alias("size")))
         counts = counts.unionByName(units.select("lang", "phrase", "f"))
         if size < longest:
-            heads.append(ranked(units.where("code IS NOT NULL"), head))
-            levels.append(level_of(units, heads[-1], head, cells))
+            heads.append(ranked(units.where("code IS NOT NULL"), head_phrases))
+            levels.append(level_of(units, heads[-1], head_phrases, cells))
     candidates = longer[0]
     for part in longer[1:]:
         candidates = candidates.unionByName(part)

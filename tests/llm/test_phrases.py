@@ -50,7 +50,7 @@ def test_small_heads_and_sieves_change_nothing(spark, sf, longest):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([(r.lang, r.text) for r in docs.collect()], longest=longest)
     assert found(docs, longest=longest) == want and len(want) > 50
-    assert found(docs.repartition(5), longest=longest, head=7, cells=16) == want
+    assert found(docs.repartition(5), longest=longest, head=7, head_phrases=9, cells=16) == want
 
 
 def test_query_names(spark, sf):
@@ -70,7 +70,7 @@ def test_odd_rows(spark):
     ]
     docs = odd(spark, rows * 4)
     want = brute([(r[2], r[1]) for r in rows * 4])
-    assert found(docs) == want and found(docs, head=1, cells=1) == want
+    assert found(docs) == want and found(docs, head=1, head_phrases=1, cells=1) == want
     assert found(odd(spark)) == brute([(r[2], r[1]) for r in ODD])
     assert found(none(spark)) == []
 
