@@ -397,15 +397,14 @@ def ingest_runbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"content": F.lit("old"), "embedding": F.lit(None).cast("array<float>")}
     )
     after, _ = runbooks.ingest_runbooks(A.runbooks(spark, sf_dir), A.services(spark, sf_dir), old)
-    vector = F.col("embedding")
-    weighed = F.transform(vector, lambda v, i: v.cast("double") * (i + 1))
+    vector = F.transform("embedding", lambda v, i: F.struct(i.alias("bucket"), F.round(v.cast("double") * 1e6).cast("long").alias("v")))
+    parts = F.transform(F.filter(vector, lambda x: x["v"] != 0), lambda x: F.concat_ws(":", x["bucket"], x["v"]))
     return after.select(
         "runbook_id",
         F.col("chunk_index").cast("long").alias("chunk_index"),
         F.md5("content").alias("content"),
-        F.size(vector).cast("long").alias("dimension"),
-        F.size(F.filter(vector, lambda v: v != 0)).cast("long").alias("buckets"),
-        F.round(F.aggregate(weighed, F.lit(0.0), lambda total, v: total + v), 6).alias("checksum"),
+        F.size("embedding").cast("long").alias("dimension"),
+        F.md5(F.array_join(parts, ",")).alias("vector"),
     )
 
 
@@ -552,11 +551,11 @@ QUERIES = {
         ingest_runbooks,
         sql(f"""
             , texts AS (SELECT runbook_id || '#' || chunk_index AS k, content AS t FROM m_chunks), {BUCKETS},
-            v AS (SELECT k, count(*) AS buckets,
-                round(sum((bucket + 1) * CAST(CAST(round(n / sqrt(square), 8) AS FLOAT) AS DOUBLE)), 6) AS checksum
-              FROM counts JOIN norms USING (k) GROUP BY k)
+            w AS (SELECT k, bucket, CAST(round(CAST(CAST(round(n / sqrt(square), 8) AS FLOAT) AS DOUBLE) * 1e6) AS BIGINT) AS v
+              FROM counts JOIN norms USING (k)),
+            v AS (SELECT k, md5(string_agg(bucket || ':' || v, ',' ORDER BY bucket)) AS vector FROM w WHERE v <> 0 GROUP BY k)
             SELECT runbook_id, chunk_index, md5(content) AS content, CAST(768 AS BIGINT) AS dimension,
-              coalesce(buckets, 0) AS buckets, coalesce(checksum, 0.0) AS checksum
+              coalesce(vector, md5('')) AS vector
             FROM m_chunks LEFT JOIN v ON k = runbook_id || '#' || chunk_index"""),
     ),
 }

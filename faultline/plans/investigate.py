@@ -9,14 +9,15 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schemas
 from faultline.functions import jsontypes as J
 from faultline.functions.display import bullets, two_decimals
 from faultline.operators.lookup import with_service_name
-from faultline.session import materialize
+from faultline.session import lookup_join, materialize, scratch_path
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -292,42 +293,86 @@ Generate = Callable[[pd.DataFrame, float, int], pd.Series]
 
 
 ANSWER = "response string, error_name string, error_message string, duration_ms long"
+# Prompts of a task, which is what may be asked again when an executor is lost.
+ANSWER_GROUP = 64
+# Finished tasks leave their answers in the log at once, also when the job fails later.
+AT_ONCE = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
 
 
-def batch_generate(prompts: DataFrame, generate: Generate) -> DataFrame:
+def answer_key(model: str) -> Column:
+    """What an answer is kept under: the prompt and all that the call depends on."""
+    return F.sha2(F.concat_ws("\x00", F.lit(model), F.lit(str(TEMPERATURE)), F.lit(str(MAX_TOKENS)), "prompt_text"), 256)
+
+
+def kept_answers(spark: SparkSession, path: str) -> DataFrame | None:
+    """(key, response, ...) of an answer log, one row per key: an answer before an error."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    rest = [c for c in rows.columns if c != "key"]
+    order = F.struct(F.col("error_name").isNotNull(), -F.col("asked_at"), "duration_ms")
+    return rows.groupBy("key").agg(F.min_by(F.struct(*rest), order).alias("_row")).select("key", "_row.*")
+
+
+def batch_generate(
+    prompts: DataFrame, generate: Generate, *, answers: str | None = None, model: str = "", group: int = ANSWER_GROUP
+) -> DataFrame:
     """Answers of a model call per prompt: incident_id, response, error_name, error_message, duration_ms.
 
-    ``generate(batch, temperature, max_tokens)`` gets Arrow batches of (incident_id,
-    prompt_text) on the executors and returns one text per row. A call that raises is a
-    row without a response and with the error: when a batch raises, its rows are asked one
-    by one, so an error is that of its own prompt. Answers are stored before anything reads
-    them; what reads them never asks again.
+    ``generate(batch, temperature, max_tokens)`` gets batches of (incident_id, prompt_text)
+    on the executors and returns one text per row; equal prompts are asked once, for the
+    smallest of their ids. ``answers`` is the folder of a log of answers by prompt, ``model``
+    and parameters, which later runs consult and extend; without it, it lasts for this call.
+    A task asks about ``group`` prompts and leaves their answers in the log when it is done,
+    so a lost executor or a failed job costs the groups at hand only. A call that raises is a
+    row without a response and with the error: a batch that raises is halved until the error
+    is that of its own prompt. Later runs ask again what got an error.
     """
-    key = prompts.schema["incident_id"].dataType.simpleString()
+    spark = prompts.sparkSession
+    path = answers or scratch_path(spark, "answers")
+    keyed_prompts = materialize(prompts.select("incident_id", "prompt_text", answer_key(model).alias("key")), "prompts")
+    key_type = keyed_prompts.schema["incident_id"].dataType.simpleString()
+    todo = keyed_prompts.groupBy("key").agg(F.min_by(F.struct("incident_id", "prompt_text"), "incident_id").alias("_p"))
+    todo = todo.select("key", "_p.*")
+    kept = kept_answers(spark, path)
+    if kept is not None:
+        todo = todo.join(kept.where("error_name IS NULL").select("key"), "key", "left_anti")
+    todo = materialize(todo, "asked")
 
     def asked(rows: pd.DataFrame) -> list[tuple]:
         start = time.monotonic()
         try:
-            answers, error = list(generate(rows, TEMPERATURE, MAX_TOKENS)), (None, None)
-            if len(answers) != len(rows):
+            found, error = list(generate(rows, TEMPERATURE, MAX_TOKENS)), (None, None)
+            if len(found) != len(rows):
                 raise ValueError("a model call has to give one text per prompt")
         except Exception as problem:  # whatever the injected callable raises is data
             if len(rows) > 1:
-                return [answer for i in range(len(rows)) for answer in asked(rows.iloc[i : i + 1])]
-            answers, error = [None], (type(problem).__name__, str(problem))
+                half = len(rows) // 2
+                return asked(rows.iloc[:half]) + asked(rows.iloc[half:])
+            found, error = [None], (type(problem).__name__, str(problem))
         spent = round((time.monotonic() - start) * 1000 / len(rows))
-        return [(answer, *error, spent) for answer in answers]
+        return [(answer, *error, spent) for answer in found]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["response", "error_name", "error_message", "duration_ms"]
         for batch in batches:
-            if len(batch):
-                found = pd.DataFrame(asked(batch), columns=names).astype({n: object for n in names[:3]})
-                found.insert(0, "incident_id", batch["incident_id"].to_numpy())
+            for at in range(0, len(batch), group):
+                some = batch.iloc[at : at + group]
+                found = pd.DataFrame(asked(some[["incident_id", "prompt_text"]]), columns=names)
+                found = found.astype({n: object for n in names[:3]})
+                found.insert(0, "key", some["key"].to_numpy())
+                found["asked_at"] = int(time.time() * 1000)
                 yield found
 
-    answers = prompts.select("incident_id", "prompt_text").mapInPandas(run, f"incident_id {key}, {ANSWER}")
-    return materialize(answers, "answers")
+    tasks = max(1, -(-todo.count() // group))
+    made = todo.repartition(tasks, "key").mapInPandas(run, f"key string, {ANSWER}, asked_at long")
+    made.write.mode("append").option(*AT_ONCE).parquet(path)
+    found = kept_answers(spark, path).drop("asked_at")
+    given = lookup_join(keyed_prompts.select("incident_id", "key"), found, ["key"], spread=["incident_id"])
+    return materialize(given.select("incident_id", *[c.split(" ")[0] for c in ANSWER.split(", ")]), "answers")
 
 
 def call_error(df: DataFrame) -> Column:

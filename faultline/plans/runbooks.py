@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.embedding import embedding_column
@@ -38,14 +40,47 @@ def chunk_runbooks(runbooks: DataFrame, limit: int = CHUNK_CHARACTERS) -> DataFr
     )
 
 
+def content_hash() -> Column:
+    return F.sha2("content", 256)
+
+
+def content_vectors(chunks: DataFrame, stored: DataFrame | None, embed: Callable[[Column], Column]) -> DataFrame:
+    """(content_hash, embedding) of every distinct content of ``chunks``, written out.
+
+    A content that ``stored`` has a vector for takes it from there; only the others go
+    through ``embed``, each once, however many chunks hold it.
+    """
+    wanted = chunks.select(content_hash().alias("content_hash"), "content")
+    contents = materialize(wanted.groupBy("content_hash").agg(F.any_value("content").alias("content")), "contents")
+    if stored is None:
+        return materialize(spread(contents).select("content_hash", embed(F.col("content")).alias("embedding")), "vectors")
+    known = stored.where("embedding IS NOT NULL").select(content_hash().alias("content_hash"), "embedding")
+    known = known.join(contents.select("content_hash"), "content_hash", "left_semi")
+    known = materialize(known.groupBy("content_hash").agg(F.any_value("embedding").alias("embedding")), "known-vectors")
+    unseen = materialize(contents.join(known.select("content_hash"), "content_hash", "left_anti"), "unseen")
+    fresh = spread(unseen).select("content_hash", embed(F.col("content")).alias("embedding"))
+    return known.unionByName(materialize(fresh, "vectors"))
+
+
 def ingest_runbooks(
-    runbooks: DataFrame, services: DataFrame, stored: DataFrame | None = None
+    runbooks: DataFrame,
+    services: DataFrame,
+    stored: DataFrame | None = None,
+    embed: Callable[[Column], Column] = embedding_column,
 ) -> tuple[DataFrame, DataFrame]:
-    """(chunk table after the upsert, {runbooks, chunks} written)."""
+    """(chunk table after the upsert, {runbooks, chunks} written).
+
+    Vectors belong to contents: chunks of equal content share one, and what is stored
+    already isn't embedded again. ``embed`` has to give a content the same vector always.
+    """
     listed = with_service_name(spread(runbooks), services, "left")
-    chunks = chunk_runbooks(listed).withColumn("embedding", embedding_column(F.col("content")))
+    chunks = materialize(chunk_runbooks(listed), "chunks")
+    hashed = chunks.withColumn("content_hash", content_hash())
+    # One content, a licence line say, may be that of many chunks.
+    vectors = content_vectors(chunks, stored, embed)
+    chunks = lookup_join(hashed, vectors, ["content_hash"], spread=["id"]).drop("content_hash")
     written = runbooks.select(F.lit("runbook").alias("kind")).unionByName(
-        chunks.select(F.lit("chunk").alias("kind"))
+        hashed.select(F.lit("chunk").alias("kind"))
     )
     counts = written.agg(
         F.count_if(F.col("kind") == "runbook").alias("runbooks"),
