@@ -182,65 +182,67 @@ def cascade_delete(
     return left
 
 
+def _row_tests(name: str, df: DataFrame) -> dict[tuple[str, str], Column]:
+    """(rule, column) -> what is true of a row that breaks it."""
+    tests: dict[tuple[str, str], Column] = {}
+    for c in schemas.REQUIRED.get(name, ()):
+        if c in df.columns:
+            tests["not_null", c] = F.col(c).isNull()
+    for c, allowed in schemas.ENUMS.get(name, {}).items():
+        if c in df.columns:
+            tests["enum", c] = ~F.col(c).isin(*allowed)
+    for c, (low, high) in schemas.RANGES.get(name, {}).items():
+        if c in df.columns:
+            outside = F.lit(False) if low is None else F.col(c) < low
+            tests["range", c] = outside if high is None else outside | (F.col(c) > high)
+    return tests
+
+
+def _key_text(key: Sequence[str]) -> Column:
+    """A key as one text, the same for equal keys only."""
+    texts = [F.col(c).cast("string") for c in key]
+    if len(texts) == 1:
+        return texts[0]
+    return F.concat(*[F.concat(F.octet_length(t).cast("string"), F.lit(":"), t) for t in texts])
+
+
 def check_integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Violations as (table_name, rule, columns, rows); empty when all tables are sound.
+    """(table_name, rule, columns, rows) of the rules that rows break.
 
-    Row rules of a table are counted in one pass. UNIQUE and FOREIGN KEY group by the
-    key first, so a hot key is folded before the shuffle.
+    Each table is read once and says for every row what matters to any rule: that it breaks
+    one of its own, which unique key it holds, whom it refers to, and whom others may refer
+    to. These tagged keys are folded where they lie, so a key that most rows share is one
+    row per task, and one shuffle brings the rest together for all rules of all tables. Null
+    keys take no part.
     """
-    found: list[DataFrame] = []
-
-    def add(table: str, rule: str, columns: str, counted: DataFrame) -> None:
-        found.append(
-            counted.select(
-                F.lit(table).alias("table_name"),
-                F.lit(rule).alias("rule"),
-                F.lit(columns).alias("columns"),
-                F.col("rows").cast("long").alias("rows"),
-            )
-        )
+    rules: list[tuple[str, str, str]] = []
+    said: dict[str, list[Column]] = {name: [] for name in tables}
+
+    def entry(rule: int, when: Column, key: Column | None, parent: bool = False) -> Column:
+        count = [F.lit(int(not parent)).alias("held"), F.lit(int(parent)).alias("known")]
+        text = F.lit(None).cast("string") if key is None else key
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), text.alias("key"), *count))
 
     for name, df in tables.items():
-        rules: dict[tuple[str, str], Column] = {}
-        for c in schemas.REQUIRED.get(name, ()):
-            if c in df.columns:
-                rules["not_null", c] = F.col(c).isNull()
-        for c, allowed in schemas.ENUMS.get(name, {}).items():
-            if c in df.columns:
-                rules["enum", c] = ~F.col(c).isin(*allowed)
-        for c, (low, high) in schemas.RANGES.get(name, {}).items():
-            if c in df.columns:
-                outside = F.lit(False) if low is None else F.col(c) < low
-                rules["range", c] = outside if high is None else outside | (F.col(c) > high)
-        if rules:
-            counts = df.agg(
-                *[F.count_if(test).alias(f"r{i}") for i, test in enumerate(rules.values())]
-            )
-            entries = F.array(
-                *[
-                    F.struct(
-                        F.lit(rule).alias("rule"), F.lit(c).alias("columns"), F.col(f"r{i}").alias("rows")
-                    )
-                    for i, (rule, c) in enumerate(rules)
-                ]
-            )
-            found.append(
-                counts.select(F.lit(name).alias("table_name"), F.inline(entries)).filter("rows > 0")
-            )
+        for (rule, c), test in _row_tests(name, df).items():
+            said[name].append(entry(len(rules), test, None))
+            rules.append((name, rule, c))
         for key in schemas.UNIQUE.get(name, ()):
             if set(key) <= set(df.columns):
                 whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
-                repeated = (
-                    df.filter(whole).groupBy(*key).count().filter("count > 1")
-                    .agg(F.sum("count").alias("rows")).filter("rows > 0")
-                )
-                add(name, "unique", ",".join(key), repeated)
+                said[name].append(entry(len(rules), whole, _key_text(key)))
+                rules.append((name, "unique", ",".join(key)))
         for c, parent in schemas.FOREIGN.get(name, {}).items():
             if c in df.columns and parent in tables:
-                used = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("id")).count()
-                orphans = (
-                    used.join(tables[parent].select("id"), "id", "left_anti")
-                    .agg(F.sum("count").alias("rows")).filter("rows > 0")
-                )
-                add(name, "foreign_key", c, orphans)
-    return reduce(DataFrame.unionByName, found)
+                said[name].append(entry(len(rules), F.col(c).isNotNull(), _key_text([c])))
+                said[parent].append(entry(len(rules), F.col("id").isNotNull(), _key_text(["id"]), parent=True))
+                rules.append((name, "foreign_key", c))
+    tagged = [df.select(F.inline(F.array_compact(F.array(*said[name])))) for name, df in tables.items() if said[name]]
+    keys = reduce(DataFrame.unionByName, tagged).groupBy("rule", "key").agg(
+        F.sum("held").alias("held"), F.sum("known").alias("known")
+    )
+    names = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("table_name", "rule", "columns"), r)]) for r in rules])
+    kind = F.element_at(names, F.col("rule") + 1)["rule"]
+    broken = F.when(kind == "unique", F.col("held") > 1).when(kind == "foreign_key", F.col("known") == 0).otherwise(True)
+    found = keys.where(broken & (F.col("held") > 0)).groupBy("rule").agg(F.sum("held").alias("rows"))
+    return found.select(F.element_at(names, F.col("rule") + 1).alias("_of"), "rows").select("_of.*", "rows")

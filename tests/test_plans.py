@@ -47,3 +47,22 @@ def test_detection_reads_only_what_it_needs(spark, sf):
 def test_ranks_are_limited_before_the_shuffle(spark, sf):
     text = plan(QUERIES["vector_topk"][0](spark, sf))
     assert "WindowGroupLimit" in text
+
+
+def test_integrity_reads_each_table_once_and_shuffles_keys_once(spark, tmp_path):
+    from faultline.operators import keyed
+
+    services = spark.range(50).selectExpr("concat('s', id) AS id", "concat('n', id) AS name")
+    # One service has most logs; one log names none that is known, and one id stands twice.
+    logs = spark.range(4000).selectExpr(
+        "concat('l', if(id = 7, 8, id)) AS id", "CASE WHEN id = 3 THEN 'gone' WHEN id % 3 = 0 THEN concat('s', id % 50) ELSE 's1' END AS service_id"
+    )
+    tables = {"services": services, "log_entries": logs, "incidents": logs.limit(9)}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    found = keyed.check_integrity({name: spark.read.parquet(f"{tmp_path}/{name}") for name in tables})
+    text = plan(found)
+    assert text.count("FileScan parquet") == 3 and text.count("Exchange") == 2
+    assert text.count("hashpartitioning(rule") == 2 and "Join" not in text
+    broken = {tuple(r[c] for c in ("table_name", "rule", "columns", "rows")) for r in found.collect()}
+    assert {("log_entries", "foreign_key", "service_id", 1), ("log_entries", "unique", "id", 2)} <= broken
