@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,6 +67,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def batches_up_to(spark: SparkSession, size: str) -> Iterator[None]:
+    """Jobs started inside hand Python no more bytes at once; the session is left as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def gapless(rows: DataFrame, group: str, draw: Column, cells: int, order: list[Column]) -> DataFrame:
     """``rows`` with ``slot``: 0, 1, 2, ... inside each group, in the order of a hash.
 

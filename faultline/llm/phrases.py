@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import pick
+from faultline.llm.common import batches_up_to, pick
 from faultline.session import lookup_join, materialize
 
 # Fixed values of the contract: least count, words, share of a longer phrase, rows per language.
@@ -38,6 +38,7 @@ TILE, DENSE, TILES = 512, 8192, 16
 # 64-bit cells of a sieve.
 SIEVE = 1 << 20
 # Bytes of text worked on at once; words of an encoded row; cells and texts that a task holds.
+BATCH_BYTES = "8m"
 SLICE, ROW_WORDS, HELD, HELD_TEXTS = 1 << 18, 1 << 18, 1 << 19, 1 << 16
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -466,21 +467,22 @@ def phrases(
     texts = rows.select(
         F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("raw")
     )
-    words = materialize(word_counts(texts, least), "phrase-words")
-    totals = words.where("word IS NULL").select("lang", F.col("f").alias("n"))
-    units = words.where("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), F.lit(None).cast("long").alias("code"), "f")
-    heads = [ranked(units, head)]
-    levels = [level_of(units, heads[0], head, cells)]
-    ids = materialize(encoded(texts, levels[0]), "phrase-ids")
-    counts, longer = units.select("lang", "phrase", "f"), []
-    for size in range(2, longest + 1):
-        found = counted(ids, levels).groupBy("lang", "code", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-        units = materialize(named(found, heads[-1], heads[0]), "phrase-counts")
-        longer.append(units.select("lang", "phrase", F.col("f").alias("a"), F.lit(size).alias("size")))
-        counts = counts.unionByName(units.select("lang", "phrase", "f"))
-        if size < longest:
-            heads.append(ranked(units.where("code IS NOT NULL"), head_phrases))
-            levels.append(level_of(units, heads[-1], head_phrases, cells))
+    with batches_up_to(docs.sparkSession, BATCH_BYTES):
+        words = materialize(word_counts(texts, least), "phrase-words")
+        totals = words.where("word IS NULL").select("lang", F.col("f").alias("n"))
+        units = words.where("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), F.lit(None).cast("long").alias("code"), "f")
+        heads = [ranked(units, head)]
+        levels = [level_of(units, heads[0], head, cells)]
+        ids = materialize(encoded(texts, levels[0]), "phrase-ids")
+        counts, longer = units.select("lang", "phrase", "f"), []
+        for size in range(2, longest + 1):
+            found = counted(ids, levels).groupBy("lang", "code", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+            units = materialize(named(found, heads[-1], heads[0]), "phrase-counts")
+            longer.append(units.select("lang", "phrase", F.col("f").alias("a"), F.lit(size).alias("size")))
+            counts = counts.unionByName(units.select("lang", "phrase", "f"))
+            if size < longest:
+                heads.append(ranked(units.where("code IS NOT NULL"), head_phrases))
+                levels.append(level_of(units, heads[-1], head_phrases, cells))
     candidates = longer[0]
     for part in longer[1:]:
         candidates = candidates.unionByName(part)
