@@ -21,6 +21,8 @@ from faultline.session import spread
 
 # Fixed value: multiplier of the token hash.
 HASH_FACTOR = 33
+# Characters, and texts, that are hashed at once; several numbers are held for each.
+SLICE, TEXTS = 1 << 20, 1000
 
 
 def _powers(dimension: int) -> tuple[np.ndarray, int, int]:
@@ -36,21 +38,58 @@ def _powers(dimension: int) -> tuple[np.ndarray, int, int]:
     return np.array(table, dtype=np.int64), start, len(table) - start
 
 
+def text_slices(texts: pd.Series) -> Iterator[slice]:
+    """Runs of at most ``TEXTS`` texts and ``SLICE`` characters, or of one text that is longer."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        own = len(text) if isinstance(text, str) else 0
+        if i > at and (size + own > SLICE or i - at == TEXTS):
+            yield slice(at, i)
+            at, size = i, 0
+        size += own
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def _pieces(token: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``SLICE`` bytes that cut no token; the last byte is of none."""
+    at = 0
+    while at < len(token):
+        stop = min(at + SLICE, len(token))
+        while token[stop - 1]:
+            stop += 1
+        yield at, stop
+        at = stop
+
+
 def count_buckets(
     texts: pd.Series, dimension: int = EMBEDDING_DIMENSION
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, bucket, tokens in it) of a batch, ordered by text and bucket."""
-    empty = np.empty(0, dtype=np.int64)
+    """(text index, bucket, tokens in it) of a batch, ordered by text and bucket.
+
+    The arrays of numbers per byte are those of one piece of the texts at a time.
+    """
     encoded = [("" if t is None else t).lower().encode("utf-8") + b"\n" for t in texts]
-    if not encoded:
-        return empty, empty, empty
     codes = np.frombuffer(b"".join(encoded), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(encoded)), [len(e) for e in encoded])
-    kept = np.flatnonzero(
-        ((codes >= ord("a")) & (codes <= ord("z"))) | ((codes >= ord("0")) & (codes <= ord("9")))
-    )
+    ends = np.cumsum([len(e) for e in encoded], dtype=np.int64)
+    token = ((codes >= ord("a")) & (codes <= ord("z"))) | ((codes >= ord("0")) & (codes <= ord("9")))
+    parts = [_count_cells(codes[a:b], np.flatnonzero(token[a:b]), a, ends, dimension) for a, b in _pieces(token)]
+    if len(parts) == 1:
+        cell, count = parts[0]
+    else:  # a text may lie in several pieces
+        cells = np.concatenate([np.empty(0, dtype=np.int64), *[c for c, _ in parts]])
+        cell, place = np.unique(cells, return_inverse=True)
+        count = np.zeros(len(cell), dtype=np.int64)
+        np.add.at(count, place, np.concatenate([np.empty(0, dtype=np.int64), *[n for _, n in parts]]))
+    return cell // dimension, cell % dimension, count
+
+
+def _count_cells(
+    codes: np.ndarray, kept: np.ndarray, start_at: int, ends: np.ndarray, dimension: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(text index * dimension + bucket, tokens in it) of bytes of which ``kept`` are in tokens."""
     if len(kept) == 0:
-        return empty, empty, empty
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     opens = np.ones(len(kept), dtype=bool)
     opens[1:] = np.diff(kept) != 1
     token = np.cumsum(opens) - 1
@@ -61,15 +100,16 @@ def count_buckets(
     right = np.where(right < len(table), right, start + (right - start) % period)
     terms = codes[kept].astype(np.int64) * table[right]
     bucket = np.add.reduceat(terms, first) % dimension
-    cell, count = np.unique(owner[kept[first]] * dimension + bucket, return_counts=True)
-    return cell // dimension, cell % dimension, count
+    owner = np.searchsorted(ends, kept[first] + start_at, side="right")
+    return np.unique(owner * dimension + bucket, return_counts=True)
 
 
 def count_matrix(texts: pd.Series, dimension: int = EMBEDDING_DIMENSION) -> np.ndarray:
     """Token counts per bucket, one row per text."""
     matrix = np.zeros((len(texts), dimension))
-    row, bucket, count = count_buckets(texts, dimension)
-    matrix[row, bucket] = count
+    for some in text_slices(texts):
+        row, bucket, count = count_buckets(texts.iloc[some], dimension)
+        matrix[some.start + row, bucket] = count
     return matrix
 
 
@@ -81,16 +121,17 @@ def hash_embed(
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            row, bucket, count = count_buckets(batch[text], dimension)
-            norm = np.sqrt(np.bincount(row, weights=count * count, minlength=len(batch)))
-            yield pd.DataFrame(
-                {
-                    key: batch[key].to_numpy()[row],
-                    "bucket": bucket,
-                    "tokens": count,
-                    "weight": count / norm[row],
-                }
-            )
+            for some in text_slices(batch[text]):
+                row, bucket, count = count_buckets(batch[text].iloc[some], dimension)
+                norm = np.sqrt(np.bincount(row, weights=count * count, minlength=some.stop - some.start))
+                yield pd.DataFrame(
+                    {
+                        key: batch[key].to_numpy()[some][row],
+                        "bucket": bucket,
+                        "tokens": count,
+                        "weight": count / norm[row],
+                    }
+                )
 
     return spread(df.select(key, text)).mapInPandas(
         embed, f"{key} {key_type}, bucket long, tokens long, weight double"
@@ -102,11 +143,13 @@ def embedding_column(text: Column, dimension: int = EMBEDDING_DIMENSION) -> Colu
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        counts = count_matrix(texts, dimension)
-        norm = np.sqrt((counts * counts).sum(axis=1))
-        norm[norm == 0] = 1.0
-        fixed = np.round(counts / norm[:, None], 8).astype(np.float32)
-        return pd.Series(list(fixed))
+        fixed: list[np.ndarray] = []
+        for some in text_slices(texts):
+            counts = count_matrix(texts.iloc[some], dimension)
+            norm = np.sqrt((counts * counts).sum(axis=1))
+            norm[norm == 0] = 1.0
+            fixed += list(np.round(counts / norm[:, None], 8).astype(np.float32))
+        return pd.Series(fixed, dtype=object)
 
     return embed(text)
 
