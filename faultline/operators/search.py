@@ -3,7 +3,8 @@
 Scoring is a matrix product per Arrow batch. Each task keeps only the best k per query,
 so what is shuffled is k rows per query and task and never a (query, passage) pair list.
 
-* Up to ``QUERY_ROWS`` queries of at most ``SIDE_BYTES`` travel to the tasks as one
+* Queries of equal vectors are scored once, for all of them.
+* Up to ``QUERY_ROWS`` vectors of at most ``SIDE_BYTES`` travel to the tasks as one
   broadcast matrix, and the passages are scored where they are read.
 * Beyond that both sides are cut into blocks of bounded rows and bytes and every pair of
   blocks is one task's work; a block holds a hash share of its side, so no key can make it
@@ -12,6 +13,7 @@ so what is shuffled is k rows per query and task and never a (query, passage) pa
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -23,13 +25,14 @@ from pyspark.sql import functions as F
 
 from faultline.functions.embedding import count_matrix
 from faultline.schemas import SEARCH_LIMIT, SEARCH_LIMIT_MAX
-from faultline.session import measure, spread
+from faultline.session import lookup_join, materialize, measure, spread
 
 QUERY_ROWS = 20_000
 BLOCK_ROWS = 20_000
 SIDE_BYTES = 256 * 1024 * 1024
 _CELLS = 4_000_000  # scores held at once by a task
 _QUERIES_OUT = 10_000  # queries per frame a task gives back
+_HASHED = 1000  # vectors held at once where they are compared
 _NOTHING = pd.DataFrame({"query": [], "item": [], "score": []}, dtype=object)
 
 Vectorize = Callable[[pd.Series], np.ndarray]
@@ -123,6 +126,27 @@ def _rows(ids: np.ndarray, items: np.ndarray, scores: np.ndarray) -> Iterator[pd
         yield pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in frame.items()})
 
 
+def _fingerprint(to_vectors: Vectorize):
+    """The digest of a content's vector, as a column function."""
+
+    @F.pandas_udf("string")
+    def digest(contents: pd.Series) -> pd.Series:
+        found: list[str] = []
+        for at in range(0, len(contents), _HASHED):
+            vectors = np.ascontiguousarray(to_vectors(contents.iloc[at : at + _HASHED]))
+            found += [hashlib.sha256(v.tobytes()).hexdigest() for v in vectors]
+        return pd.Series(found, dtype=object)
+
+    return digest
+
+
+def _nearest(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """The best k rows per ``by``, with their rank."""
+    distance = F.round(1 - F.col("score"), 6)
+    order = W.partitionBy(by).orderBy(distance.asc(), F.col("item").asc())
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+
+
 def _grid(
     queries: DataFrame,
     items: DataFrame,
@@ -185,8 +209,13 @@ def vector_topk(
     i = items.filter(F.col(item_content).isNotNull()).select(
         F.col(item_key).alias("item"), F.col(item_content).alias("content")
     )
-    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query"), (i, "item"))}
-    schema = f"query {kinds['query']}, item {kinds['item']}, score double"
+    schema = f"query string, item {i.schema['item'].dataType.simpleString()}, score double"
+
+    # Texts that differ may well have one vector: a name hashes to one of so many buckets.
+    asking = materialize(q.withColumn("same", _fingerprint(query_vectors)(F.col("content"))), "asking")
+    q = materialize(
+        asking.groupBy(F.col("same").alias("query")).agg(F.any_value("content").alias("content")), "query-vectors"
+    )
 
     rows, size = measure(q)
     if rows > query_rows or size > SIDE_BYTES:
@@ -208,12 +237,9 @@ def vector_topk(
 
     # Arrow frames carry NaN as null.
     found = found.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
-    distance = F.round(1 - F.col("score"), 6)
-    nearest = W.partitionBy("query").orderBy(distance.asc(), F.col("item").asc())
-    return (
-        found.withColumn("rank", F.row_number().over(nearest).cast("long"))
-        .filter(F.col("rank") <= k)
-        .select(
-            F.col("query").alias(query_key), F.col("item").alias(item_key), "rank", "score"
-        )
+    best = materialize(_nearest(found, "query", k).select(F.col("query").alias("same"), "item", "score"), "nearest")
+    # Rows that share a key are ranked together.
+    hits = lookup_join(asking.select("query", "same"), best, ["same"], spread=["query"])
+    return _nearest(hits, "query", k).select(
+        F.col("query").alias(query_key), F.col("item").alias(item_key), "rank", "score"
     )
