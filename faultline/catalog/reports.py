@@ -14,6 +14,7 @@ from faultline.catalog.sqltext import sql
 from faultline.functions.text import SPACE
 from faultline.plans import investigate as inv
 from faultline.plans import observe, readmodel
+from faultline.session import sorted_join
 from faultline.sources import adapters as A
 
 # --- investigations -------------------------------------------------------------------
@@ -163,9 +164,7 @@ def tool_call_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     failed = F.get_json_object("output", "$.error")
     asked = F.coalesce(F.get_json_object("input", "$.query"), F.get_json_object("input", "$.incidentId"))
-    return _calls(made).join(
-        made.select("id", failed.alias("error"), asked.alias("asked")), "id"
-    )
+    return sorted_join(_calls(made), made.select("id", failed.alias("error"), asked.alias("asked")), "id")
 
 
 LEDGER_SQL = sql("""

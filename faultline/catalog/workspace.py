@@ -15,7 +15,7 @@ from faultline.operators import evidence, lookup
 from faultline.plans import investigate as inv
 from faultline.plans import ingest, observe, runbooks
 from faultline.schemas import PROMPT_VERSION
-from faultline.session import materialize, scratch_path, spread
+from faultline.session import materialize, scratch_path, sorted_join, spread
 from faultline.sources import adapters as A
 from faultline.sources import batches as B
 
@@ -270,7 +270,7 @@ def tools_done(spark: SparkSession, sf_dir: str) -> DataFrame:
 @stored("prompts")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = inv.build_prompts(bundle(spark, sf_dir))
-    return made.join(tools_done(spark, sf_dir), "incident_id").withColumnRenamed("tools_at", "created_at")
+    return sorted_join(made, tools_done(spark, sf_dir), "incident_id").withColumnRenamed("tools_at", "created_at")
 
 
 CALL_ERROR = "model offline"
@@ -299,7 +299,7 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers of all prompts, checked."""
     no = F.col("incident_id")
     duration = 1000 + no % 2000
-    answers = inv.template_report(bundle(spark, sf_dir)).join(tools_done(spark, sf_dir), "incident_id")
+    answers = sorted_join(inv.template_report(bundle(spark, sf_dir)), tools_done(spark, sf_dir), "incident_id")
     calls = answers.select(
         "incident_id",
         "investigation_id",
@@ -344,7 +344,7 @@ def investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = inv.investigation_events(started, tool_calls(spark, sf_dir), checked(spark, sf_dir))
     state = inv.investigation_status(events).drop("started_at")
     return (
-        started.join(state, "investigation_id")
+        sorted_join(started, state, "investigation_id")
         .withColumn("created_at", F.col("started_at"))
         .withColumnRenamed("investigation_id", "id")
     )

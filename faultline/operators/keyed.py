@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schemas
-from faultline.session import lookup_join
+from faultline.session import lookup_join, sorted_join
 
 
 def resolve_service(
@@ -173,7 +173,7 @@ def cascade_delete(
     """The parent table and its children without the rows of the deleted ids."""
     gone = ids.select(F.col("id")).distinct()
     left = dict(tables)
-    left[parent] = tables[parent].join(gone, "id", "left_anti")
+    left[parent] = sorted_join(tables[parent], gone, "id", "left_anti")
     for child, column in schemas.CASCADES[parent].items():
         if child in tables:
             left[child] = lookup_join(

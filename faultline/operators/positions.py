@@ -19,7 +19,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import checkpoint, fits_broadcast, materialize
+from faultline.session import checkpoint, fits_broadcast, materialize, sorted_join
 
 BRANCH = 32
 # Facts are first dropped by slices of time: so many to the widest span, each an hour or more.
@@ -154,7 +154,7 @@ def first_in_span(facts: DataFrame, spans: DataFrame, n: int) -> DataFrame:
     wanted = spans.filter("first < last").select(
         "span_id", "first", F.explode(F.sequence(F.col("first"), stop)).alias("position")
     )
-    return wanted.join(facts, "position").withColumn(
+    return sorted_join(wanted, facts, "position").withColumn(
         "rank", (F.col("position") - F.col("first") + 1).cast("long")
     ).drop("position", "first")
 
@@ -165,7 +165,7 @@ def last_in_span(facts: DataFrame, spans: DataFrame, n: int) -> DataFrame:
     wanted = spans.filter("first < last").select(
         "span_id", "last", F.explode(F.sequence(start, F.col("last") - 1)).alias("position")
     )
-    return wanted.join(facts, "position").withColumn(
+    return sorted_join(wanted, facts, "position").withColumn(
         "rank", (F.col("last") - F.col("position")).cast("long")
     ).drop("position", "last")
 
@@ -239,7 +239,7 @@ def summarize_spans(
     wanted = F.concat(*[at_level(n) for n in range(levels)])
     needed = spans.select("span_id", F.inline(wanted))
     return (
-        needed.join(blocks, ["level", "block"])
+        sorted_join(needed, blocks, ["level", "block"])
         .groupBy("span_id", *groups)
         .agg(*measures)
         .select(

@@ -17,7 +17,7 @@ from faultline import schemas
 from faultline.functions import jsontypes as J
 from faultline.functions.display import bullets, two_decimals
 from faultline.operators.lookup import with_service_name
-from faultline.session import lookup_join, materialize, scratch_path
+from faultline.session import lookup_join, materialize, scratch_path, sorted_join
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -99,7 +99,7 @@ def evidence_bundle(
     }
     bundle = heads
     for part in arrays.values():
-        bundle = bundle.join(part, "incident_id", "left")
+        bundle = sorted_join(bundle, part, "incident_id", "left")
     return bundle.withColumns({name: F.coalesce(F.col(name), F.array()) for name in arrays})
 
 
@@ -218,7 +218,7 @@ def build_eval_prompts(
         F.lit("Return JSON with score from 0 to 1 and a short rationale."),
     )
     messages = F.array(message("system", F.lit(system)), message("user", user))
-    return expected.join(actual, "incident_id").select("incident_id", messages.alias("messages"))
+    return sorted_join(expected, actual, "incident_id").select("incident_id", messages.alias("messages"))
 
 
 # --- generation -----------------------------------------------------------------------
@@ -339,7 +339,7 @@ def batch_generate(
     todo = todo.select("key", "_p.*")
     kept = kept_answers(spark, path)
     if kept is not None:
-        todo = todo.join(kept.where("error_name IS NULL").select("key"), "key", "left_anti")
+        todo = sorted_join(todo, kept.where("error_name IS NULL").select("key"), "key", "left_anti")
     todo = materialize(todo, "asked")
 
     def asked(rows: pd.DataFrame) -> list[tuple]:
@@ -478,7 +478,7 @@ def tool_call_ledger(
         failed = failures.select(
             "incident_id", F.col("tool_index").alias("_failed"), F.col("error").alias("_error")
         )
-        bundle = bundle.join(failed, "incident_id", "left")
+        bundle = sorted_join(bundle, failed, "incident_id", "left")
     else:
         bundle = bundle.withColumns({"_failed": F.lit(None).cast("int"), "_error": F.lit(None).cast("string")})
 
@@ -696,7 +696,7 @@ def investigation_detail(
         F.col("id").alias("incident_id"), "service_id", F.col("title").alias("incident_title")
     )
     heads = with_service_name(
-        investigations.drop("service_id").join(titles, "incident_id"), services
+        sorted_join(investigations.drop("service_id"), titles, "incident_id"), services
     ).withColumnRenamed("id", "investigation_id")
     call = F.struct("created_at", "id", "tool_name", "input", "output", "status", "latency_ms")
     step = F.struct("step_index", "id", "step_type", "title", "content", "metadata", "created_at")
@@ -705,7 +705,7 @@ def investigation_detail(
     report = extract_final_report(steps).select("investigation_id", "report")
     joined = heads
     for part in (call_lists, step_lists, report):
-        joined = joined.join(part, "investigation_id", "left")
+        joined = sorted_join(joined, part, "investigation_id", "left")
     return joined.select(
         F.col("investigation_id").alias("id"),
         "incident_id",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from faultline.functions.text import TOKENS_PER_MESSAGE, estimate_tokens
 from faultline.plans.investigate import TEMPERATURE, call_error, extract_final_report, result_count
 from faultline.schemas import ROLES
+from faultline.session import sorted_join
 
 
 def trace_rows(
@@ -19,11 +20,8 @@ def trace_rows(
     ``service_names`` is (incident_id, service_name).
     """
     report = extract_final_report(steps).select("investigation_id", "report")
-    joined = (
-        investigations.withColumnRenamed("id", "investigation_id")
-        .join(service_names, "incident_id")
-        .join(report, "investigation_id", "left")
-    )
+    named = sorted_join(investigations.withColumnRenamed("id", "investigation_id"), service_names, "incident_id")
+    joined = sorted_join(named, report, "investigation_id", "left")
     over = F.col("status").isin("completed", "failed")
     failed = F.col("status") == "failed"
     citations = F.transform(

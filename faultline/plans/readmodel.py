@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.display import DASH, milliseconds, percent, status_class
+from faultline.session import sorted_join
 
 
 def latest_investigations(investigations: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def incident_board(listed: DataFrame, investigations: DataFrame) -> DataFrame:
     """Incident rows with the state of their latest investigation."""
     latest = latest_investigations(investigations)
     status = F.coalesce("investigation_status", F.lit("not started"))
-    return listed.join(latest, listed["id"] == latest["incident_id"], "left").select(
+    return listed.join(latest.hint("merge"), listed["id"] == latest["incident_id"], "left").select(
         listed["id"].alias("incident_id"),
         "service_name",
         "title",
@@ -80,7 +81,7 @@ def timeline_rows(investigations: DataFrame, calls: DataFrame, steps: DataFrame)
         .groupBy("investigation_id")
         .agg(F.min("created_at").alias("_final_at"))
     )
-    whole = inv.join(counts, "investigation_id", "left").join(final, "investigation_id", "left")
+    whole = sorted_join(sorted_join(inv, counts, "investigation_id", "left"), final, "investigation_id", "left")
     n_tools = F.coalesce("_tools", F.lit(0))
     has_final = F.col("_final_at").isNotNull()
     latency = F.col("latency_ms").cast("long").alias("latency_ms")
@@ -144,7 +145,7 @@ def trace_panel(
     counts = calls.groupBy(F.col("investigation_id").alias("id")).agg(F.count("*").alias("_calls"))
     prefix = f"{base_url.rstrip('/')}/project/{project}/traces/"
     link = F.concat(F.lit(prefix), F.url_encode("trace_id"))
-    return investigations.join(counts, "id", "left").select(
+    return sorted_join(investigations, counts, "id", "left").select(
         F.col("id").alias("investigation_id"),
         F.coalesce("trace_id", F.lit("Disabled / unavailable")).alias("trace"),
         milliseconds(F.col("latency_ms")).alias("duration"),

@@ -13,7 +13,7 @@ from faultline.operators import keyed
 from faultline.operators.lookup import service_names, with_service_name
 from faultline.operators.search import Vectorize, dense_vectors, text_vectors, vector_topk
 from faultline.schemas import CHUNK_CHARACTERS, SEARCH_LIMIT
-from faultline.session import lookup_join, materialize, spread
+from faultline.session import lookup_join, materialize, sorted_join, spread
 
 
 def chunk_runbooks(runbooks: DataFrame, limit: int = CHUNK_CHARACTERS) -> DataFrame:
@@ -55,9 +55,9 @@ def content_vectors(chunks: DataFrame, stored: DataFrame | None, embed: Callable
     if stored is None:
         return materialize(spread(contents).select("content_hash", embed(F.col("content")).alias("embedding")), "vectors")
     known = stored.where("embedding IS NOT NULL").select(content_hash().alias("content_hash"), "embedding")
-    known = known.join(contents.select("content_hash"), "content_hash", "left_semi")
+    known = sorted_join(known, contents.select("content_hash"), "content_hash", "left_semi")
     known = materialize(known.groupBy("content_hash").agg(F.any_value("embedding").alias("embedding")), "known-vectors")
-    unseen = materialize(contents.join(known.select("content_hash"), "content_hash", "left_anti"), "unseen")
+    unseen = materialize(sorted_join(contents, known.select("content_hash"), "content_hash", "left_anti"), "unseen")
     fresh = spread(unseen).select("content_hash", embed(F.col("content")).alias("embedding"))
     return known.unionByName(materialize(fresh, "vectors"))
 
@@ -96,12 +96,9 @@ def attach_passages(
 ) -> DataFrame:
     """Text and titles of the chunks found; only chunks that were hit are read out."""
     wanted = hits.select(F.col("chunk_id").alias("id")).distinct()
-    passages = (
-        chunks.select("id", "runbook_id", "chunk_index", "content")
-        .join(wanted, "id", "left_semi")
-        .withColumnRenamed("id", "chunk_id")
-        .join(runbooks.select(F.col("id").alias("runbook_id"), "title", "slug", "service_id"), "runbook_id")
-    )
+    hit = sorted_join(chunks.select("id", "runbook_id", "chunk_index", "content"), wanted, "id", "left_semi")
+    heads = runbooks.select(F.col("id").alias("runbook_id"), "title", "slug", "service_id")
+    passages = sorted_join(hit.withColumnRenamed("id", "chunk_id"), heads, "runbook_id")
     # Most runbooks may have no service, so the look-up spreads that one key.
     named = lookup_join(passages, service_names(services), ["service_id"], "left", spread=["chunk_id"])
     passages = materialize(named.drop("service_id"), "passages")

@@ -122,6 +122,15 @@ def salt(spread: list[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
 
 
+def sorted_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the input, shuffled and sorted whatever their files' size.
+
+    Spark takes a table's size from that of its files and a text for 20 bytes, so tables whose
+    texts repeat (evidence, prompts, steps) look small enough to go through the driver.
+    """
+    return left.join(right.hint("merge"), keys, how)
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -136,7 +145,7 @@ def lookup_join(
     A lookup of proven size is broadcast. For a larger one the facts are counted per key:
     facts of the few keys with ``HOT_ROWS`` or more are spread over ``SALTS`` tasks, by
     ``spread`` (columns that identify a fact), and only these keys of the lookup are copied
-    as often; all others are joined plainly. ``how``: inner, left, left_semi or left_anti.
+    as often; all others are joined by sorting. ``how``: inner, left, left_semi or left_anti.
     """
     if fits_broadcast(lookup, rows):
         return facts.join(F.broadcast(lookup), keys, how)
@@ -144,10 +153,11 @@ def lookup_join(
     hot = counts.orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS).select(*keys).dropna()
     hot = materialize(hot.withColumn("_hot", F.lit(True)), "hot-keys")
     if hot.isEmpty():
-        return facts.join(lookup, keys, how)
+        return sorted_join(facts, lookup, keys, how)
     facts = facts.join(F.broadcast(hot), keys, "left")  # at most HOT_KEYS rows
     salted = facts.where("_hot").drop("_hot").withColumn("_salt", salt(spread, SALTS))
     copies = lookup.join(F.broadcast(hot.drop("_hot")), keys, "left_semi")
     copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cold = facts.where("_hot IS NULL").drop("_hot").join(lookup, keys, how)
-    return cold.unionByName(salted.join(copies, [*keys, "_salt"], how).drop("_salt"))
+    cold = facts.where("_hot IS NULL").drop("_hot")
+    cold = sorted_join(cold, lookup, keys, how)
+    return cold.unionByName(sorted_join(salted, copies, [*keys, "_salt"], how).drop("_salt"))
