@@ -397,7 +397,12 @@ def ingest_runbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"content": F.lit("old"), "embedding": F.lit(None).cast("array<float>")}
     )
     after, _ = runbooks.ingest_runbooks(A.runbooks(spark, sf_dir), A.services(spark, sf_dir), old)
-    vector = F.transform("embedding", lambda v, i: F.struct(i.alias("bucket"), F.round(v.cast("double") * 1e6).cast("long").alias("v")))
+    # Most of the components are zero; only the others are rounded.
+    indexed = F.transform("embedding", lambda v, i: F.struct(i.alias("bucket"), v.alias("v")))
+    vector = F.transform(
+        F.filter(indexed, lambda x: x["v"] != 0),
+        lambda x: F.struct(x["bucket"].alias("bucket"), F.round(x["v"].cast("double") * 1e6).cast("long").alias("v")),
+    )
     parts = F.transform(F.filter(vector, lambda x: x["v"] != 0), lambda x: F.concat_ws(":", x["bucket"], x["v"]))
     return after.select(
         "runbook_id",
