@@ -155,7 +155,7 @@ def posted_folder(spark: SparkSession, sf_dir: str) -> str:
 
     def write() -> str:
         path = scratch_path(spark, "posted")
-        batch_texts(spark, sf_dir).select("value").write.text(path)
+        batch_texts(spark, sf_dir).select("value").write.option("compression", "lz4").text(path)
         return path
 
     return once(spark, sf_dir, "posted_folder", write)

@@ -32,7 +32,7 @@ def is_missing(value: Column) -> Column:
 
 def is_string(value: Column, minimum: int = 0) -> Column:
     text = F.try_variant_get(value, "$", "string")
-    return (F.length(text) >= minimum) & (scalar_type(value) == "STRING")
+    return (F.length(text) >= minimum) & (F.schema_of_variant(value) == "STRING")
 
 
 def is_number(value: Column) -> Column:
@@ -56,7 +56,7 @@ def is_one_of(value: Column, allowed: tuple[str, ...]) -> Column:
 
 def is_datetime(value: Column) -> Column:
     text = F.try_variant_get(value, "$", "string")
-    return text.rlike(DATETIME) & F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd").isNotNull()
+    return text.rlike(DATETIME) & F.substring(text, 1, 10).try_cast("date").isNotNull()
 
 
 def elements(value: Column, path: str = "$") -> Column:

@@ -32,13 +32,19 @@ def resolve_service(
 def resolve_deployment(
     rows: DataFrame, deployments: DataFrame, spread: Sequence[str]
 ) -> DataFrame:
-    """(service_id, deployment_version) -> deployment_id, null when there is none."""
+    """(service_id, deployment_version) -> deployment_id, null when there is none.
+
+    Rows that name no version have no deployment and stay where they are.
+    """
     ids = deployments.groupBy("service_id", F.col("version").alias("deployment_version")).agg(
         F.min("id").alias("deployment_id")
     )
-    return lookup_join(
-        rows, ids, ["service_id", "deployment_version"], "left", spread=list(spread)
+    named, plain = rows.where("deployment_version IS NOT NULL"), rows.where("deployment_version IS NULL")
+    found = lookup_join(
+        named, ids, ["service_id", "deployment_version"], "left", spread=list(spread)
     )
+    none = F.lit(None).cast(ids.schema["deployment_id"].dataType)
+    return found.unionByName(plain.withColumn("deployment_id", none))
 
 
 def latest_per_key(source: DataFrame, keys: Sequence[str], order: str, *, first=False) -> DataFrame:

@@ -88,8 +88,13 @@ class ChangeLog:
         self.write(table, self._shaped(table, stones), stream, epoch)
 
     def put(self, table: str, rows: DataFrame, stream: str, epoch: int) -> None:
-        """Change rows as they were sent: the table's columns and ``batch_seq``."""
-        self.write(table, self._shaped(table, rows), stream, epoch)
+        """Change rows as they were sent: the table's columns and ``batch_seq``.
+
+        Where the last one of a key counts, earlier ones of the epoch are never read and not
+        stored. Where the first one does, a tombstone may fall between two, so all are.
+        """
+        whole, folding = self._shaped(table, rows), FOLDINGS[table]
+        self.write(table, whole if folding.first else decisive(whole, folding), stream, epoch)
 
     def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
         empty = self.spark.createDataFrame([], f"{FOLDINGS[table].shape}, batch_seq {ORDER}, gone boolean")
