@@ -57,8 +57,11 @@ def _near_spans(facts: DataFrame, spans: DataFrame, key: str, time: str) -> Data
 
     first, last = slice_of(F.col("opens")), slice_of(F.col("closes"))
     pairs = spans.filter("opens <= closes").select(key, F.explode(F.sequence(first, last)).alias("_slice")).distinct()
-    pairs = F.broadcast(pairs) if fits_broadcast(pairs) else pairs
-    return facts.withColumn("_slice", slice_of(F.col(time))).join(pairs, [key, "_slice"], "left_semi").drop("_slice")
+    sliced = facts.withColumn("_slice", slice_of(F.col(time)))
+    if fits_broadcast(pairs):
+        return sliced.join(F.broadcast(pairs), [key, "_slice"], "left_semi").drop("_slice")
+    # Spark takes the pairs for a part of the spans' files; they are many to a span.
+    return sorted_join(sliced, pairs, [key, "_slice"], "left_semi").drop("_slice")
 
 
 def locate_spans(
