@@ -1,9 +1,13 @@
 """What passes the driver stays bounded while tables grow."""
 
+import re
 from datetime import datetime, timedelta
 
+from faultline import session
+from faultline.catalog import reports
 from faultline.catalog import workspace as ws
-from faultline.operators import positions
+from faultline.operators import positions, search
+from faultline.plans import investigate, runbooks
 from tests.test_plans import plan
 
 
@@ -38,3 +42,22 @@ def test_slices_of_spans_are_broadcast_only_when_counted_small(spark, tmp_path,
     assert kept == sorted(r["id"] for r in small.collect())
     # Every fact inside a span is kept, and none that is an hour or more away from all of them.
     assert set(range(0, 31, 3)) | set(range(4, 35, 3)) | set(range(100, 131, 3)) <= set(kept) and len(kept) < 40
+
+
+def test_a_report_broadcasts_only_what_was_counted(spark, sf, monkeypatch):
+    """With nothing counted as small, only the starts of partitions are broadcast, one row for each partition."""
+    made = []
+    for step in ("materialize", "checkpoint"):
+        write = getattr(session, step)
+        for module in (session, positions, search, investigate, runbooks, ws):
+            if hasattr(module, step):
+                monkeypatch.setattr(module, step, lambda df, *label, write=write: made.append(plan(df)) or write(df, *label))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
+    ws.forget()
+    try:
+        made.append(plan(reports.investigation_report(spark, sf)))
+    finally:
+        ws.forget()
+    joins = re.findall(r"BroadcastHashJoin (\[.*?\], \[.*?\])", "\n".join(made))
+    assert len(made) > 10 and joins  # those of the starts
+    assert [keys for keys in joins if not re.fullmatch(r"\[_part#\d+L\], \[_part#\d+L\]", keys)] == []
