@@ -393,17 +393,15 @@ def rejected_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_runbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk after an ingest over a store that holds half of them with other contents."""
-    old = ws.chunks(spark, sf_dir).filter(F.col("runbook_id") % 2 == 0).withColumns(
-        {"content": F.lit("old"), "embedding": F.lit(None).cast("array<float>")}
-    )
+    half = runbooks.chunk_runbooks(ws.listed_runbooks(spark, sf_dir).filter(F.col("id") % 2 == 0))
+    old = half.withColumns({"content": F.lit("old"), "embedding": F.lit(None).cast("array<float>")})
+    old = materialize(old, "old-chunks", lean=True)
     after, _ = runbooks.ingest_runbooks(A.runbooks(spark, sf_dir), A.services(spark, sf_dir), old)
-    # Most of the components are zero; only the others are rounded.
-    indexed = F.transform("embedding", lambda v, i: F.struct(i.alias("bucket"), v.alias("v")))
-    vector = F.transform(
-        F.filter(indexed, lambda x: x["v"] != 0),
-        lambda x: F.struct(x["bucket"].alias("bucket"), F.round(x["v"].cast("double") * 1e6).cast("long").alias("v")),
+    # Most of the components are zero; they and those rounded to zero are null, which the join leaves out.
+    rounded = lambda v: F.round(v.cast("double") * 1e6).cast("long")
+    parts = F.transform(
+        "embedding", lambda v, i: F.when(v != 0, F.when(rounded(v) != 0, F.concat_ws(":", i, rounded(v))))
     )
-    parts = F.transform(F.filter(vector, lambda x: x["v"] != 0), lambda x: F.concat_ws(":", x["bucket"], x["v"]))
     return after.select(
         "runbook_id",
         F.col("chunk_index").cast("long").alias("chunk_index"),

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,15 +142,17 @@ def hash_embed(
 def embedding_column(text: Column, dimension: int = EMBEDDING_DIMENSION) -> Column:
     """The whole vector as stored: components fixed to 8 decimals, then single precision."""
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        fixed: list[np.ndarray] = []
-        for some in text_slices(texts):
-            counts = count_matrix(texts.iloc[some], dimension)
-            norm = np.sqrt((counts * counts).sum(axis=1))
-            norm[norm == 0] = 1.0
-            fixed += list(np.round(counts / norm[:, None], 8).astype(np.float32))
-        return pd.Series(fixed, dtype=object)
+    # Arrow takes the numbers as they lie; a list of arrays would be made number by number.
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        series = texts.to_pandas()
+        vectors = np.zeros((len(series), dimension), dtype=np.float32)
+        for some in text_slices(series):
+            row, bucket, count = count_buckets(series.iloc[some], dimension)
+            norm = np.sqrt(np.bincount(row, weights=count * count, minlength=some.stop - some.start))
+            vectors[some.start + row, bucket] = np.round(count / norm[row], 8)
+        ends = np.arange(len(series) + 1, dtype=np.int32) * dimension
+        return pa.ListArray.from_arrays(ends, vectors.ravel())
 
     return embed(text)
 

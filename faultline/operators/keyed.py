@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schemas
-from faultline.session import lookup_join, sorted_join
+from faultline.session import BROADCAST_ROWS, lookup_join, sorted_join
 
 
 def resolve_service(
@@ -74,7 +74,7 @@ def upsert(
     rows = latest_per_key(source, keys, order).drop(order)
     old = target.withColumn("_old", F.lit(True)).alias("o")
     new = rows.withColumn("_new", F.lit(True)).alias("n")
-    joined = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
+    joined = old.join(new.hint("merge"), [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
     stored, sent = F.col("o._old").isNotNull(), F.col("n._new").isNotNull()
 
     def column(name: str) -> Column:
@@ -103,14 +103,29 @@ def upsert_runbooks(target: DataFrame, source: DataFrame, *, body_only: bool = F
     return upsert(target, source, ["slug"], [*update, "updated_at"])
 
 
-def upsert_chunks(target: DataFrame, source: DataFrame, *, prune_stale: bool = False) -> DataFrame:
-    """By (runbook_id, chunk_index). Stale higher chunks stay unless ``prune_stale``."""
+def upsert_chunks(
+    target: DataFrame, source: DataFrame, *, prune_stale: bool = False, contents: DataFrame | None = None
+) -> DataFrame:
+    """By (runbook_id, chunk_index). Stale higher chunks stay unless ``prune_stale``.
+
+    With ``contents`` (content_hash, content, embedding) the source names its contents by
+    ``content_hash``. Keys are settled without texts and vectors then, which are moved once.
+    """
     keys = ["runbook_id", "chunk_index"]
     if prune_stale:
         sent = source.select("runbook_id").distinct()
         stale = target.join(sent, "runbook_id", "left_semi").join(source, keys, "left_anti")
         target = target.join(stale.select(*keys), keys, "left_anti")
-    return upsert(target, source, keys, ["content", "embedding", "metadata"])
+    if contents is None:
+        return upsert(target, source, keys, ["content", "embedding", "metadata"])
+    named = target.drop("content", "embedding").withColumn("content_hash", F.lit(None).cast("binary"))
+    sent = upsert(named, source, keys, ["content_hash", "metadata"]).where("content_hash IS NOT NULL")
+    # One content, a licence line say, may be that of many chunks.
+    large = contents.count() > BROADCAST_ROWS
+    sent = lookup_join(sent, contents, ["content_hash"], spread=keys, large=large).select(*target.columns)
+    old, new = target.alias("o"), source.select(*keys).alias("n").hint("merge")
+    left = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "left_anti")
+    return sent.unionByName(left)
 
 
 def absent_rows(

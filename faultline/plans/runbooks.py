@@ -13,7 +13,7 @@ from faultline.operators import keyed
 from faultline.operators.lookup import service_names, with_service_name
 from faultline.operators.search import Vectorize, dense_vectors, text_vectors, vector_topk
 from faultline.schemas import CHUNK_CHARACTERS, SEARCH_LIMIT
-from faultline.session import lookup_join, materialize, sorted_join, spread
+from faultline.session import lookup_join, materialize, passing, sorted_join, spread
 
 
 def chunk_runbooks(runbooks: DataFrame, limit: int = CHUNK_CHARACTERS) -> DataFrame:
@@ -41,25 +41,26 @@ def chunk_runbooks(runbooks: DataFrame, limit: int = CHUNK_CHARACTERS) -> DataFr
 
 
 def content_hash() -> Column:
-    return F.sha2("content", 256)
+    return F.unhex(F.sha2("content", 256))
 
 
 def content_vectors(chunks: DataFrame, stored: DataFrame | None, embed: Callable[[Column], Column]) -> DataFrame:
-    """(content_hash, embedding) of every distinct content of ``chunks``, written out.
+    """(content_hash, content, embedding) of every distinct content of ``chunks``, written out.
 
     A content that ``stored`` has a vector for takes it from there; only the others go
-    through ``embed``, each once, however many chunks hold it.
+    through ``embed``, each once, however many chunks hold it. Texts are shuffled once and
+    embedded where they arrive.
     """
-    wanted = chunks.select(content_hash().alias("content_hash"), "content")
-    contents = materialize(wanted.groupBy("content_hash").agg(F.any_value("content").alias("content")), "contents")
-    if stored is None:
-        return materialize(spread(contents).select("content_hash", embed(F.col("content")).alias("embedding")), "vectors")
-    known = stored.where("embedding IS NOT NULL").select(content_hash().alias("content_hash"), "embedding")
-    known = sorted_join(known, contents.select("content_hash"), "content_hash", "left_semi")
-    known = materialize(known.groupBy("content_hash").agg(F.any_value("embedding").alias("embedding")), "known-vectors")
-    unseen = materialize(sorted_join(contents, known.select("content_hash"), "content_hash", "left_anti"), "unseen")
-    fresh = spread(unseen).select("content_hash", embed(F.col("content")).alias("embedding"))
-    return known.unionByName(materialize(fresh, "vectors"))
+    contents = chunks.groupBy("content_hash").agg(F.any_value("content").alias("content"))
+    if stored is not None:
+        known = stored.where("embedding IS NOT NULL").select(content_hash().alias("content_hash"), "content", "embedding")
+        known = sorted_join(known, chunks.select("content_hash"), "content_hash", "left_semi")
+        one = F.any_value(F.struct("content", "embedding")).alias("_one")
+        known = known.groupBy("content_hash").agg(one).select("content_hash", "_one.*")
+        known = materialize(known, "known-vectors", lean=True)
+        contents = sorted_join(contents, known.select("content_hash"), "content_hash", "left_anti")
+    fresh = materialize(contents.withColumn("embedding", embed(F.col("content"))), "vectors", lean=True)
+    return fresh if stored is None else known.unionByName(fresh)
 
 
 def ingest_runbooks(
@@ -72,23 +73,27 @@ def ingest_runbooks(
 
     Vectors belong to contents: chunks of equal content share one, and what is stored
     already isn't embedded again. ``embed`` has to give a content the same vector always.
+
+    Texts and vectors are most of the disk this takes. They are kept once per content, away
+    from the chunks, which name theirs by its hash; only the result brings them together.
     """
     listed = with_service_name(spread(runbooks), services, "left")
-    chunks = materialize(chunk_runbooks(listed), "chunks")
-    hashed = chunks.withColumn("content_hash", content_hash())
-    # One content, a licence line say, may be that of many chunks.
-    vectors = content_vectors(chunks, stored, embed)
-    chunks = lookup_join(hashed, vectors, ["content_hash"], spread=["id"]).drop("content_hash")
+    hashed = chunk_runbooks(listed).withColumn("content_hash", content_hash())
+    with passing(hashed, "chunks") as chunks:
+        vectors = content_vectors(chunks, stored, embed)
+        heads = materialize(chunks.drop("content"), "chunk-heads", lean=True)
     written = runbooks.select(F.lit("runbook").alias("kind")).unionByName(
-        hashed.select(F.lit("chunk").alias("kind"))
+        heads.select(F.lit("chunk").alias("kind"))
     )
     counts = written.agg(
         F.count_if(F.col("kind") == "runbook").alias("runbooks"),
         F.count_if(F.col("kind") == "chunk").alias("chunks"),
     )
     if stored is None:
-        return chunks, counts
-    return keyed.upsert_chunks(stored, chunks.withColumn("batch_seq", F.lit(0))), counts
+        # One content, a licence line say, may be that of many chunks.
+        chunks = lookup_join(heads, vectors, ["content_hash"], spread=["id"])
+        return chunks.select("id", "runbook_id", "chunk_index", "content", "metadata", "embedding"), counts
+    return keyed.upsert_chunks(stored, heads.withColumn("batch_seq", F.lit(0)), contents=vectors), counts
 
 
 def attach_passages(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 # Rows that make a key hot, and hot keys that are treated on their own at most.
 HOT_ROWS, HOT_KEYS = 1_000_000, 4096
+# Has an execution remove its shuffle files when it ends; else they stay until the driver collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _fallback_dirs: dict[str, str] = {}
 
@@ -62,20 +66,54 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/faultline/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, cutting the lineage."""
+def materialize(df: DataFrame, label: str, *, lean: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, cutting the lineage.
+
+    ``lean``: smaller files for more work, and what was shuffled for them goes when they are written.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    if lean:
+        with _freed_shuffles(df.sparkSession):
+            df.write.option("compression", "zstd").parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove what this application has materialized."""
-    path = f"{shared_dir(spark)}/faultline/{spark.sparkContext.applicationId}"
+@contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
+@contextmanager
+def passing(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` as ``materialize`` gives it, for a block after which nothing reads it: its files go at the end."""
+    spark, written = df.sparkSession, materialize(df, label, lean=True)
+    try:
+        yield written
+    finally:
+        for path in {file.rsplit("/", 1)[0] for file in written.inputFiles()}:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has materialized."""
+    _remove(spark, f"{shared_dir(spark)}/faultline/{spark.sparkContext.applicationId}")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: keeps partitions and row order, survives lost executors."""
     shared_dir(df.sparkSession)
@@ -139,6 +177,7 @@ def lookup_join(
     *,
     spread: list[str],
     rows: int | None = None,
+    large: bool = False,
 ) -> DataFrame:
     """Join many facts to a lookup of their keys, where one key may have most of the facts.
 
@@ -146,12 +185,13 @@ def lookup_join(
     facts of the few keys with ``HOT_ROWS`` or more are spread over ``SALTS`` tasks, by
     ``spread`` (columns that identify a fact), and only these keys of the lookup are copied
     as often; all others are joined by sorting. ``how``: inner, left, left_semi or left_anti.
+    A lookup that is known to be ``large`` isn't read to be measured.
     """
-    if fits_broadcast(lookup, rows):
+    if not large and fits_broadcast(lookup, rows):
         return facts.join(F.broadcast(lookup), keys, how)
     counts = facts.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= HOT_ROWS)
     hot = counts.orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS).select(*keys).dropna()
-    hot = materialize(hot.withColumn("_hot", F.lit(True)), "hot-keys")
+    hot = materialize(hot.withColumn("_hot", F.lit(True)), "hot-keys", lean=True)
     if hot.isEmpty():
         return sorted_join(facts, lookup, keys, how)
     facts = facts.join(F.broadcast(hot), keys, "left")  # at most HOT_KEYS rows
