@@ -58,7 +58,9 @@ def content_vectors(chunks: DataFrame, stored: DataFrame | None, embed: Callable
         one = F.any_value(F.struct("content", "embedding")).alias("_one")
         known = known.groupBy("content_hash").agg(one).select("content_hash", "_one.*")
         known = materialize(known, "known-vectors", lean=True)
-        contents = sorted_join(contents, known.select("content_hash"), "content_hash", "left_anti")
+        # An anti join would go below the fold, and the rows of a hot content to one task.
+        seen = known.select("content_hash", F.lit(True).alias("_seen"))
+        contents = sorted_join(contents, seen, "content_hash", "left").where("_seen IS NULL").drop("_seen")
     fresh = materialize(contents.withColumn("embedding", embed(F.col("content"))), "vectors", lean=True)
     return fresh if stored is None else known.unionByName(fresh)
 

@@ -10,6 +10,7 @@ from faultline.functions.embedding import embedding_column
 from faultline.operators import keyed
 from faultline.plans import runbooks
 from tests.conftest import rows
+from tests.test_plans import plan
 
 CHUNK = "id string, runbook_id long, chunk_index int, content string, embedding array<float>, note string, metadata string"
 
@@ -47,6 +48,23 @@ def test_an_ingest_keeps_every_text_once(spark):
         assert all(vector == want[text] for text, vector in got.values())
 
 
+def test_contents_are_folded_before_they_are_shuffled(spark, monkeypatch):
+    """A line that most chunks share leaves a task once, whether vectors are stored already or not."""
+    made = {}
+    monkeypatch.setattr(
+        runbooks, "materialize", lambda df, label, **k: made.setdefault(label, plan(df)) and session.materialize(df, label, **k)
+    )
+    services = spark.createDataFrame([], "id long, name string")
+    first = session.materialize(runbooks.ingest_runbooks(books(spark), services)[0], "stored")
+    for stored in (None, first):
+        made.clear()
+        runbooks.ingest_runbooks(books(spark), services, stored)
+        steps = made["vectors"].split("\n")
+        at = next(i for i, step in enumerate(steps) if "partial_first(content" in step)
+        assert "Exchange" in steps[at - 1] and steps[at - 1].count("content_hash") == 1
+        assert not any("Exchange" in step for step in steps[at + 1 : at + 3]) and "FileScan" in steps[at + 2]
+
+
 def test_a_lean_write_leaves_no_shuffle_files(spark):
     before = shuffled(spark)
     setting = spark.conf.get(session.FREE_SHUFFLES, None)
