@@ -191,7 +191,8 @@ def lookup_join(
         return facts.join(F.broadcast(lookup), keys, how)
     counts = facts.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= HOT_ROWS)
     hot = counts.orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS).select(*keys).dropna()
-    hot = materialize(hot.withColumn("_hot", F.lit(True)), "hot-keys", lean=True)
+    with _freed_shuffles(facts.sparkSession):
+        hot = materialize(hot.withColumn("_hot", F.lit(True)), "hot-keys")
     if hot.isEmpty():
         return sorted_join(facts, lookup, keys, how)
     facts = facts.join(F.broadcast(hot), keys, "left")  # at most HOT_KEYS rows
